@@ -1,0 +1,30 @@
+"""Lookups by content fingerprint, where one content may make up a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 8
+
+
+def salted_lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    spread_by: Sequence[str],
+    how: str = "left",
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """Join ``rows`` to ``table``, which holds each key once, without piling a key up in one task.
+
+    The rows of a key go to ``salts`` groups by the hash of their own identity (the same in every
+    attempt of a task), and each table row is offered to all groups. Adaptive execution splits
+    what is still too large, and sends the table to all tasks instead when it turns out small.
+    """
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    offered = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = rows.withColumn("_salt", salt).join(offered, [key, "_salt"], how)
+    return joined.drop("_salt")
