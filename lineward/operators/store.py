@@ -36,6 +36,11 @@ def empty_store(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STORE_SCHEMA)
 
 
+def _moment(at: datetime) -> Column:
+    """A time without zone is meant in the time zone of the session, as in SQL."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp")
+
+
 def with_fingerprint(
     df: DataFrame, content: str, config: ScanConfig, extractor: str = ""
 ) -> DataFrame:
@@ -48,7 +53,7 @@ def store_entries(results: DataFrame, kind: str, scanned_at: datetime) -> DataFr
     entries = results.select(
         F.lit(kind).alias("kind"),
         "fp",
-        F.lit(scanned_at).cast("timestamp").alias("scanned_at"),
+        _moment(scanned_at).alias("scanned_at"),
         "hits",
         (F.col("note") if "note" in have else F.lit("")).alias("note"),
         (F.col("file_type") if "file_type" in have else F.lit("")).alias("file_type"),
@@ -67,13 +72,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def ttl_seconds(kind: Column) -> Column:
     """Lifetime of a result by kind of source; null for an unknown kind."""
     return F.coalesce(
-        *[F.when(kind == k, F.lit(seconds)) for k, seconds in RESULT_TTL_SECONDS.items()]
+        *[
+            F.when(kind == k, F.lit(seconds).cast("bigint"))
+            for k, seconds in RESULT_TTL_SECONDS.items()
+        ]
     )
 
 
 def live_entries(store: DataFrame, as_of: datetime) -> DataFrame:
     """Entries still valid at ``as_of``; an entry lapses at the very end of its lifetime."""
-    moment = F.lit(as_of).cast("timestamp")
+    moment = _moment(as_of)
     expires = F.unix_micros("scanned_at") + ttl_seconds(F.col("kind")) * F.lit(1_000_000)
     return store.where(expires > F.unix_micros(moment))
 

@@ -636,7 +636,7 @@ ORACLES = {
         f"WHERE ts + to_seconds({_EVENT_TTL}) > TIMESTAMP '{STORE_AS_OF}'"
     ),
     "latest_entries": (
-        f"SELECT {_EVENT_KIND} AS kind, md5(props) AS fp, epoch_us(max(ts)) AS scanned_us "
+        f"SELECT {_EVENT_KIND} AS kind, md5(props) AS fp, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS scanned_at "
         "FROM events GROUP BY 1, 2"
     ),
     "store_clear": (

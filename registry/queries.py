@@ -536,7 +536,7 @@ def ttl_filter(spark, folder):
 
 def latest_entries_query(spark, folder):
     newest = latest_entries(_event_store(spark, folder))
-    return newest.select("kind", "fp", F.unix_micros("scanned_at").alias("scanned_us"))
+    return newest.select("kind", "fp", F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss").alias("scanned_at"))
 
 
 def store_stats_query(spark, folder):
