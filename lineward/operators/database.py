@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from lineward.config import ScanConfig
 from lineward.functions.match import hits
 from lineward.functions.text import table_content
-from lineward.operators.scan import spread
 from lineward.sources.tables import Table, text_columns
 
 SAMPLES_PER_FIELD = 3
@@ -36,7 +35,7 @@ def table_cells(table: Table) -> DataFrame | None:
     columns = text_columns(table.data)
     if not columns:
         return None
-    rows = spread(table.data).select(
+    rows = table.data.select(
         F.lit(table.name).alias("table"), row_key(table).alias("row_pk"), *columns
     )
     cells = rows.unpivot(["table", "row_pk"], columns, "column", "value")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lineward.config import INLINE_KEYWORD_LIMIT, ScanConfig
 from lineward.functions.text import let, strip
-from lineward.operators.scan import numbered_lines, scan_text, spread
+from lineward.operators.scan import numbered_lines, scan_text
 
 _ANCHOR = 3
 
@@ -144,7 +144,7 @@ def join_keywords(
     ).first()
     lengths = sorted(measured["lengths"])
 
-    lines = numbered_lines(spread(df, *keys), keys, text)
+    lines = numbered_lines(df, keys, text)
     if config.is_fuzzy:
         anchors = _fuzzy_anchors(F.lower(F.col("content")), lengths, config.max_insert)
     else:

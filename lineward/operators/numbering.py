@@ -16,7 +16,7 @@ _ROW_BITS = 33  # monotonically_increasing_id() keeps the row number in its lowe
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3, ... in the given order.
 
-    Rows are range-partitioned and sorted; the sorted copy is written once, which fixes where each
+    ``df`` is read twice, so it should be a table or a cut result rather than a scan. Rows are range-partitioned and sorted; the sorted copy is written once, which fixes where each
     row stands. The offset of a partition comes from the row counts of the partitions before it, a
     table with one row per partition.
     """

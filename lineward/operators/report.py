@@ -25,8 +25,8 @@ from lineward.operators.summary import (
     overview,
     per_source,
     source_summary,
-    type_distribution,
 )
+from lineward.session import cut
 from lineward.sources.sinks import REPORT_ORDER
 
 
@@ -143,14 +143,19 @@ def _md_row(*values: Column | str) -> Column:
 
 def _summary_row(results: DataFrame, layout: Layout) -> DataFrame:
     """One row: the counts, and for images the list of types with their counts."""
-    counts = source_summary(results)
     if not layout.type_counts:
-        return counts
+        return source_summary(results)
     # One row per file type, of which there are a handful.
-    types = type_distribution(results).agg(
-        F.sort_array(F.collect_list(F.struct("file_type", "targets"))).alias("types")
+    found = F.size("hits")
+    per_type = results.groupBy("file_type").agg(
+        F.count("*").alias("targets"),
+        F.count_if(found > 0).alias("hit_targets"),
+        F.sum(found).alias("hits"),
+    )
+    return per_type.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in _COUNTS],
+        F.sort_array(F.collect_list(F.struct("file_type", F.col("targets")))).alias("types"),
     )
-    return counts.join(F.broadcast(types))
 
 
 _COUNTS = ("targets", "hit_targets", "hits")
@@ -262,10 +267,11 @@ def target_report(
     only files with hits, the others all targets.
     """
     layout = LAYOUTS[kind]
+    # Written once: the summary, the numbering and the details all read this copy, not the scan.
+    results = cut(results)
     listed = results if layout.lists_clean_targets else results.where(F.size("hits") > 0)
     ranked = numbered(listed, order or [name], "target_no")
-    # Numbering has written the listed targets; where all are listed, the summary reads that copy.
-    summary = _summary_row(ranked if layout.lists_clean_targets else results, layout)
+    summary = _summary_row(results, layout)
     if fmt == "txt":
         head, target = _head_txt(layout, mode, checked_at), _target_txt(layout, name)
         empty = {"web": [NOTHING_SCANNED], "file": [NOTHING_FOUND]}.get(kind, [])
@@ -367,6 +373,10 @@ def combined_report(
     field stats)``. A kind without any target does not appear.
     """
     kinds = list(KIND_LABELS)
+    targets = {
+        kind: (cut(df.select(F.col(name).cast("string").alias(name), "hits")), name)
+        for kind, (df, name) in targets.items()
+    }
     parts = [per_source(df, kind, name) for kind, (df, name) in targets.items()]
     if database:
         parts.append(database_source(database[2], database[0]))
@@ -429,7 +439,7 @@ def combined_report(
         )
 
     for kind, (results, name) in targets.items():
-        ranked = numbered(results.select(F.col(name).cast("string").alias("source"), "hits"), ["source"], "target_no")
+        ranked = numbered(results.withColumnRenamed(name, "source"), ["source"], "target_no")
         lines = F.concat(
             _texts(F.concat(F.lit("    "), F.col("target_no").cast("string"), F.lit(". 来源："), "source")),
             F.when(F.size("hits") == 0, _texts("      无涉密内容")).otherwise(

@@ -12,19 +12,6 @@ from lineward.functions.match import hits, inserts_needed, text_may_hit
 from lineward.functions.text import let, lines_of
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a scan of few input splits.
-
-    Matching costs far more than reading, and a small table stored as a single row group would
-    occupy a single core. A large input has more splits than there are cores and passes unchanged,
-    so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def numbered_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """``(keys..., line, content)``: every line with its number from 1."""
     return df.select(*keys, F.posexplode(lines_of(F.col(text))).alias("pos", "content")).select(
@@ -49,12 +36,12 @@ def flat_hits(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def scan_text(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig) -> DataFrame:
     """One row per hit of a text column."""
-    return flat_hits(scan_targets(spread(df, *keys), keys, text, config), keys)
+    return flat_hits(scan_targets(df, keys, text, config), keys)
 
 
 def full_check(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig) -> DataFrame:
     """Hits of each target and the number of distinct lines they are on."""
-    return scan_targets(spread(df, *keys), keys, text, config).select(
+    return scan_targets(df, keys, text, config).select(
         *keys,
         "hits",
         F.size(F.array_distinct(F.transform("hits", lambda h: h["line"]))).alias(
@@ -80,12 +67,8 @@ def insert_sweep(
         )
         return F.when(text_may_hit(lowered, widest), F.filter(per_line, lambda n: n.isNotNull()))
 
-    counted = (
-        spread(df)
-        .select(F.explode(let(F.lower(F.col(text)), needs)).alias("need"))
-        .groupBy("need")
-        .agg(F.count("*").alias("lines"))
-    )
+    needed = df.select(F.explode(let(F.lower(F.col(text)), needs)).alias("need"))
+    counted = needed.groupBy("need").agg(F.count("*").alias("lines"))
     return (
         counted.select(
             F.explode(F.sequence(F.greatest("need", F.lit(low)), F.lit(high))).alias("max_insert"),

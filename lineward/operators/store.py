@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from lineward.config import RESULT_TTL_SECONDS, ScanConfig
 from lineward.functions.fingerprint import fingerprint
 from lineward.functions.match import HITS_TYPE, hits
-from lineward.operators.scan import spread
 from lineward.operators.skew import DEFAULT_SALTS, salted_lookup
 
 STORE_SCHEMA = T.StructType(
@@ -155,7 +154,7 @@ def scan_unique(
     Only contents that hit are joined back, and the copies of a content are spread over ``salts``
     groups.
     """
-    rows = with_fingerprint(spread(df, *keys), text, config).select(*keys, "fp", text)
+    rows = with_fingerprint(df, text, config).select(*keys, "fp", text)
     distinct = rows.select("fp", text).dropDuplicates(["fp"])
     found = distinct.select("fp", hits(F.col(text), config).alias("hits"))
     hitting = found.where(F.size("hits") > 0)

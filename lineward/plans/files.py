@@ -75,7 +75,7 @@ def scan_files(files: DataFrame, config: ScanConfig, uploaded: bool = False) ->
     ``uploaded`` is for files handed in by name: they are never hidden, and their notes tell an
     empty file from one without text.
     """
-    texts = with_file_text(classify_files(files), "content", "text")
+    texts = with_file_text(classify_files(files), "content", "text", "file_type")
     size = F.octet_length("content")
     encrypted, pseudo = F.col("is_encrypted"), F.col("is_pseudo")
     if uploaded:

@@ -11,18 +11,29 @@ from lineward.config import ScanConfig
 from lineward.functions.html import page_note, with_html_text
 from lineward.functions.match import hits
 from lineward.operators.report import target_report
-from lineward.operators.scan import spread
 from lineward.operators.skew import salted_lookup
 from lineward.operators.store import known_results, with_fingerprint
-from lineward.sources.pages import distinct_pages
 
 
 def scan_pages(pages: DataFrame, config: ScanConfig) -> DataFrame:
-    """``(url, hits, note)`` for every distinct address."""
-    texts = with_html_text(distinct_pages(spread(pages, "url")), "html", "text")
-    return texts.select(
-        "url", hits(F.col("text"), config).alias("hits"), page_note(F.col("text")).alias("note")
+    """``(url, hits, note)`` for every distinct address.
+
+    Pages are scanned where they are read, and versions of an address are merged afterwards: that
+    way only hits go through the shuffle, never page sources.
+    """
+    texts = with_html_text(pages.select("url", "html"), "html", "text")
+    scanned = texts.select(
+        "url",
+        F.md5("html").alias("version"),
+        hits(F.col("text"), config).alias("hits"),
+        page_note(F.col("text")).alias("note"),
     )
+    return _one_version(scanned, "version", "hits", "note")
+
+
+def _one_version(results: DataFrame, version: str, *columns: str) -> DataFrame:
+    kept = F.min_by(F.struct(*columns), version).alias("kept")
+    return results.groupBy("url").agg(kept).select("url", "kept.*")
 
 
 def scan_new_pages(
@@ -32,13 +43,13 @@ def scan_new_pages(
 
     The fingerprint covers the page source, so an unchanged page is not even reduced to text.
     """
-    rows = with_fingerprint(distinct_pages(spread(pages, "url")), "html", config)
+    rows = with_fingerprint(pages.select("url", "html"), "html", config)
     known = known_results(store, "web", as_of)
     joined = salted_lookup(rows, known, "fp", ["url"], "left")
     reused = F.col("known_hits").isNotNull()
     fresh = joined.withColumn("html", F.when(~reused, F.col("html")))
     texts = with_html_text(fresh, "html", "text")
-    return texts.select(
+    results = texts.select(
         "url",
         "fp",
         F.when(reused, F.col("known_hits"))
@@ -47,6 +58,7 @@ def scan_new_pages(
         F.when(reused, F.lit("")).otherwise(page_note(F.col("text"))).alias("note"),
         reused.alias("reused"),
     )
+    return _one_version(results, "fp", "fp", "hits", "note", "reused")
 
 
 def page_report(results: DataFrame, checked_at: str, fmt: str = "md") -> DataFrame:

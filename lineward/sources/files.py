@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineward.functions.sniff import office_kind
+from lineward.functions.sniff import OFFICE_MEMBERS, office_kind
 from lineward.session import cut
 from lineward.sources.office import office_text
 
@@ -141,13 +141,22 @@ def decode_text(content: Column) -> Column:
 _OPAQUE_HEADS = (b"%PDF-", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1")
 
 
-def with_file_text(df: DataFrame, content: str, text: str) -> DataFrame:
-    """Add the text of each file: office archives by their reader, everything else decoded."""
+def with_file_text(
+    df: DataFrame, content: str, text: str, file_type: str | None = None
+) -> DataFrame:
+    """Add the text of each file: office archives by their reader, everything else decoded.
+
+    ``file_type`` names a column with the type of the content, where it is known already.
+    """
     body = F.col(content)
+    if file_type:
+        kind = F.when(F.col(file_type).isin(*OFFICE_MEMBERS), F.col(file_type))
+    else:
+        kind = office_kind(body)
     opaque = F.lit(False)
     for head in _OPAQUE_HEADS:
         opaque = opaque | F.startswith(body, F.lit(bytearray(head)))
-    kinds = df.withColumn("_kind", office_kind(body))
+    kinds = df.withColumn("_kind", kind)
     return kinds.withColumn(
         text,
         F.when(F.col("_kind").isNotNull(), office_text(F.col("_kind"), body))

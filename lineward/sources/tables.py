@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Type-name prefixes of the columns that are scanned.
@@ -47,14 +48,44 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
+def read_spread(spark: SparkSession, path: str, *keys: str, fmt: str = "parquet") -> DataFrame:
+    """Read a file or folder so that a scan of it uses all cores.
+
+    Matching costs far more than reading, and a small table stored as a single row group would
+    occupy a single core: such an input is dealt out by ``keys``. A large input has more splits
+    than there are cores and is returned as it is, without a shuffle.
+    """
+    df = spark.read.format(fmt).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_folder_tables(
-    spark: SparkSession, folder: str, keys: Mapping[str, str | None], fmt: str = "parquet"
+    spark: SparkSession,
+    folder: str,
+    keys: Mapping[str, str | None],
+    fmt: str = "parquet",
+    spread: Iterable[str] = (),
 ) -> list[Table]:
-    """One table per file or sub-folder ``{name}.{fmt}``, with the given key columns."""
-    return [
-        Table(name, spark.read.format(fmt).load(f"{folder}/{name}.{fmt}"), key)
-        for name, key in keys.items()
-    ]
+    """One table per file or sub-folder ``{name}.{fmt}``, with the given key columns.
+
+    ``spread`` names the tables with long texts, see ``read_spread``.
+    """
+    tables = []
+    for name, key in keys.items():
+        path = f"{folder}/{name}.{fmt}"
+        if name in spread:
+            data = read_spread(spark, path, *([key] if key else []), fmt=fmt)
+        else:
+            data = spark.read.format(fmt).load(path)
+        tables.append(Table(name, data, key))
+    return tables
+
+
+def read_whole_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, text)`` of UTF-8 text files, one row per file."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_catalog_tables(

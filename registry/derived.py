@@ -11,11 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineward.sources.tables import read_spread
 from lineward.functions.sniff import AUDIO_SIGNATURES, FILE_SIGNATURES, IMAGE_SIGNATURES
 
 
+# Tables with long texts, and the column to deal them out by when they come as a single split.
+SPREAD_BY = {"documents": "doc_id", "pages": "url", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    if name in SPREAD_BY:
+        return read_spread(spark, path, SPREAD_BY[name])
+    return spark.read.parquet(path)
 
 
 def _picked(number: Column, choices: list) -> Column:

@@ -11,6 +11,8 @@ from lineward.functions.html import page_note, with_html_text
 from lineward.functions.match import has_charset, line_hit
 from lineward.functions.sniff import (
     audio_type,
+    base_name,
+    extension,
     extension_mismatch,
     file_type,
     image_type,
@@ -32,7 +34,6 @@ from lineward.operators.scan import (
     numbered_lines,
     scan_targets,
     scan_text,
-    spread,
 )
 from lineward.operators.store import (
     known_results,
@@ -51,10 +52,8 @@ from lineward.plans.database import database_report, scan_database
 from lineward.plans.files import classify_files, scan_files
 from lineward.plans.media import audio_report
 from lineward.plans.web import page_report, scan_new_pages, scan_pages
-from lineward.session import cut
 from lineward.sources.files import decode_text, read_files, with_file_text
 from lineward.sources.office import zip_encryption
-from lineward.functions.sniff import base_name, extension
 from lineward.sources.pages import distinct_pages
 from lineward.sources.tables import Table, read_folder_tables, text_columns
 from registry import derived
@@ -82,7 +81,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, folder: str) -> list[Table]:
-    return read_folder_tables(spark, folder, TABLE_KEYS)
+    return read_folder_tables(spark, folder, TABLE_KEYS, spread=["documents", "pages"])
 
 
 def _big(df: DataFrame) -> DataFrame:
@@ -91,7 +90,7 @@ def _big(df: DataFrame) -> DataFrame:
 
 
 def _document_results(spark, folder, config=TEXT_FUZZY):
-    return scan_targets(spread(_documents(spark, folder), "doc_id"), ["doc_id"], "text", config)
+    return scan_targets(_documents(spark, folder), ["doc_id"], "text", config)
 
 
 def _summed(results: DataFrame, *keys: str) -> DataFrame:
@@ -156,7 +155,7 @@ def split_lines(spark, folder):
 
 
 def _page_texts(spark, folder):
-    pages = spread(read(spark, folder, "pages"), "page_id")
+    pages = read(spark, folder, "pages")
     return with_html_text(pages, "html", "text")
 
 
@@ -174,13 +173,13 @@ def decode_text_query(spark, folder):
 
 
 def ooxml_text(spark, folder):
-    files = derived.office_files(spread(_documents(spark, folder), "doc_id"))
+    files = derived.office_files(_documents(spark, folder))
     texts = with_file_text(files, "content", "text")
     return texts.select("doc_id", "path", "text")
 
 
 def ooxml_scan(spark, folder):
-    files = derived.office_files(spread(_documents(spark, folder), "doc_id"))
+    files = derived.office_files(_documents(spark, folder))
     results = scan_files(files.select("path", "content"), TEXT_FUZZY)
     return _summed(results, "path", "file_type", "note")
 
@@ -346,7 +345,7 @@ def is_hidden_query(spark, folder):
 
 
 def zip_encryption_query(spark, folder):
-    files = derived.zip_files(spread(_documents(spark, folder), "doc_id"))
+    files = derived.zip_files(_documents(spark, folder))
     flags = zip_encryption(extension(F.col("path")), F.col("content"))
     return files.select("doc_id", flags.alias("f")).select(
         "doc_id", "f.is_encrypted", "f.is_pseudo"
@@ -354,14 +353,14 @@ def zip_encryption_query(spark, folder):
 
 
 def file_note(spark, folder):
-    files = derived.zip_files(spread(_documents(spark, folder), "doc_id"))
+    files = derived.zip_files(_documents(spark, folder))
     results = scan_files(files.select("path", "content"), TEXT_EXACT)
     return results.select("path", "note")
 
 
 def file_scan(spark, folder):
     """The file scan over bytes with foreign signatures, names and types."""
-    files = derived.signed_files(spread(_documents(spark, folder), "doc_id"))
+    files = derived.signed_files(_documents(spark, folder))
     results = scan_files(files.select("path", "content"), TEXT_EXACT)
     return _summed(results, "path", "file_type", "is_hidden", "ext_mismatch")
 
@@ -420,7 +419,7 @@ def field_stats(spark, folder):
 
 
 def extract_links(spark, folder):
-    pages = spread(read(spark, folder, "pages"), "url")
+    pages = read(spark, folder, "pages")
     return links.extract_links(pages)
 
 
@@ -488,13 +487,13 @@ def fingerprint_query(spark, folder):
 def _store(spark, folder):
     """A store holding the results of the labelled documents."""
     docs = _documents(spark, folder).join(read(spark, folder, "labels"), "doc_id", "left_semi")
-    rows = with_fingerprint(spread(docs, "doc_id"), "text", TEXT_FUZZY)
+    rows = with_fingerprint(docs, "text", TEXT_FUZZY)
     results = scan_targets(rows, ["doc_id"], "text", TEXT_FUZZY, keep=["fp"])
     return store_entries(results, "file", STORE_SCANNED_AT)
 
 
 def _rows(spark, folder):
-    return with_fingerprint(spread(_documents(spark, folder), "doc_id"), "text", TEXT_FUZZY)
+    return with_fingerprint(_documents(spark, folder), "text", TEXT_FUZZY)
 
 
 def reuse_results_query(spark, folder):
@@ -625,7 +624,7 @@ def keyword_frequency(spark, folder):
 def verdict(spark, folder):
     """Verdicts on the documents of each source."""
     results = scan_targets(
-        spread(_documents(spark, folder), "doc_id"), ["source"], "text", TEXT_FUZZY
+        _documents(spark, folder), ["source"], "text", TEXT_FUZZY
     )
     total = results.groupBy("source").agg(F.sum(F.size("hits")).alias("hits"))
     return total.select("source", summary.verdict(F.col("hits")).alias("verdict"))
@@ -651,13 +650,11 @@ def report_md(spark, folder):
 
 
 def report_file(spark, folder):
-    results = cut(
-        _document_results(spark, folder).select(
-            F.format_string("%09d.txt", "doc_id").alias("path"),
-            "hits",
-            F.lit("text").alias("file_type"),
-            F.lit("").alias("note"),
-        )
+    results = _document_results(spark, folder).select(
+        F.format_string("%09d.txt", "doc_id").alias("path"),
+        "hits",
+        F.lit("text").alias("file_type"),
+        F.lit("").alias("note"),
     )
     return target_report(results, "file", "path", "文件路径检查", CHECKED_AT, "txt")
 
