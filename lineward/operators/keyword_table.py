@@ -1,9 +1,9 @@
 """Scanning with a keyword list that arrives as a table and may be long.
 
 Up to ``INLINE_KEYWORD_LIMIT`` keywords become Column expressions. A longer list is joined: every
-keyword is filed under an anchor (its first letters), every line offers the anchors it holds, the
-equi-join pairs them, and each pair is checked with the matcher itself. Nothing is dropped: a
-keyword can only hit a line that offers its anchor.
+keyword is filed under an anchor (its first letters), every place of a line offers the anchors that
+begin there, the equi-join pairs them, and each pair is checked on the spot. Nothing is dropped: a
+keyword can only hit where its anchor is offered.
 """
 
 from __future__ import annotations
@@ -14,52 +14,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineward.config import INLINE_KEYWORD_LIMIT, ScanConfig
-from lineward.functions.text import let, strip
+from lineward.functions.text import strip
 from lineward.operators.scan import numbered_lines, scan_text
 
-_ANCHOR = 3
+# Lengths of the anchors of exact keywords: each keyword uses the longest that fits into it.
+_EXACT_ANCHORS = (8, 4, 2, 1)
 
 # A keyword table up to this size, as measured, is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def _letters(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
+def _units(col: Column) -> Column:
+    """The text with two bytes per unit, so that any place in it can be cut out directly."""
+    return F.encode(col, "UTF-16BE")
 
 
-def _joined(letters: Column, at: Column, length: int) -> Column:
-    """``length`` letters from a position on; null at the end of the line."""
-    return F.concat(*[F.get(letters, at + i) for i in range(length)])
+def _cut_out(units: Column, at: Column, count: Column) -> Column:
+    return F.substring(units, at * 2 + 1, count * 2)
 
 
-def _runs(letters: Column, length: int) -> Column:
-    """All runs of ``length`` neighbouring letters."""
-    if length == 1:
-        return letters
-    whole = F.transform(letters, lambda c, i: _joined(letters, i, length))
-    return F.filter(whole, lambda r: r.isNotNull())
+def _places(lines: DataFrame, kept: Sequence[str], config: ScanConfig, window: int) -> DataFrame:
+    """``(kept..., at, units, window)``: every place of a line and the units that follow it."""
+    searched = F.lower(F.col("content")) if config.is_fuzzy else F.col("content")
+    placed = lines.where(F.col("content") != "").select(
+        *kept, _units(searched).alias("units"), F.length(searched).alias("letters")
+    )
+    size = (F.octet_length("units") / 2).cast("int")
+    return placed.select(
+        *kept,
+        "units",
+        (size > F.col("letters")).alias("wide"),
+        F.explode(F.sequence(F.lit(0), size - 1)).alias("at"),
+    ).withColumn("window", _cut_out(F.col("units"), F.col("at"), F.lit(window)))
 
 
-def _exact_anchors(line: Column, lengths: Sequence[int]) -> Column:
-    """The distinct runs of letters of a line, in the lengths in use."""
-    return let(
-        _letters(line),
-        lambda letters: F.array_distinct(F.flatten(F.array(*[_runs(letters, n) for n in lengths]))),
-    )
+def _exact_offers(places: DataFrame, kept: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """``(kept..., at, window, anchor)``, the anchors in all lengths in use."""
+    sized = places.withColumn("size", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    anchor = F.substring(F.col("window"), F.lit(1), F.col("size") * 2)
+    return sized.select(*kept, "at", "window", F.xxhash64(anchor).alias("anchor"))
 
 
-def _fuzzy_anchors(low: Column, lengths: Sequence[int], max_insert: int) -> Column:
-    """The distinct letters, and pairs of letters at most ``max_insert`` apart, of a line."""
+def _fuzzy_offers(
+    places: DataFrame, kept: Sequence[str], lengths: Sequence[int], max_insert: int
+) -> DataFrame:
+    """``(kept..., at, window, anchor)``: a letter with each letter that may follow it, or alone.
+
+    Letters beyond the basic plane take two units, so in lines that hold some (``wide``) the second
+    letter may be up to twice as far away. A distance of 0 offers the letter alone.
+    """
+    reach = F.when(F.col("wide"), 2 * max_insert + 1).otherwise(max_insert + 1)
+    nearest = F.lit(0 if 1 in lengths else 1)
+    farthest = reach if 2 in lengths else F.lit(0)
+    paired = places.withColumn("distance", F.explode(F.sequence(nearest, farthest)))
+    first = F.substring("window", 1, 2)
+    second = _cut_out(F.col("window"), F.col("distance"), F.lit(1))
+    anchor = F.when(F.col("distance") == 0, first).otherwise(F.concat(first, second))
+    return paired.select(*kept, "at", "window", F.xxhash64(anchor).alias("anchor"))
+
+
+def _begins_here(config: ScanConfig) -> Column:
+    """Whether the keyword of a pair begins at its place; for the fuzzy matcher, whether it may."""
+    if not config.is_fuzzy:
+        size = F.octet_length("keyword_units")
+        return F.substring(F.col("window"), F.lit(1), size) == F.col("keyword_units")
+    # A window that ends inside a two-unit letter is cut before it.
+    last = F.substring("window", -2, 1)
+    torn = last.between(F.lit(bytearray(b"\xd8")), F.lit(bytearray(b"\xdb")))
+    whole = F.when(
+        torn, F.substring(F.col("window"), F.lit(1), F.octet_length("window") - 2)
+    ).otherwise(F.col("window"))
+    return F.regexp_like(F.decode(whole, "UTF-16BE"), F.concat(F.lit("^"), F.col("bounded")))
 
-    def pairs(letters: Column) -> Column:
-        parts = [letters] if 1 in lengths else []
-        if 2 in lengths:
-            for gap in range(1, max_insert + 2):
-                pair = F.transform(letters, lambda c, i: F.concat(c, F.get(letters, i + gap)))
-                parts.append(pair)
-        return F.filter(F.array_distinct(F.flatten(F.array(*parts))), lambda p: p.isNotNull())
 
-    return let(_letters(low), pairs)
+def _letters(col: Column) -> Column:
+    return F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
 
 
 def _with_patterns(keywords: DataFrame, max_insert: int) -> DataFrame:
@@ -86,27 +115,48 @@ def _with_patterns(keywords: DataFrame, max_insert: int) -> DataFrame:
     ).drop("_quoted")
 
 
-def _judged(pairs: DataFrame, keys: Sequence[str], config: ScanConfig) -> DataFrame:
-    """Check each (line, keyword) pair and keep the best one of each line."""
+# A rank orders occurrences by their end and, at the same end, the longer ones first.
+_RANK_STEP = 1 << 24
+
+
+def _exact_ranks(pairs: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """The best occurrence of each line as one number, which merges in place before the shuffle."""
+    size = (F.octet_length("keyword_units") / 2).cast("bigint")
+    rank = (F.col("at") + size) * _RANK_STEP + (_RANK_STEP - size)
+    return pairs.groupBy(*kept).agg(F.min(rank).alias("rank"))
+
+
+def _exact_hits(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Read the keyword back from the line: its end and length are known."""
+    size = _RANK_STEP - F.pmod("rank", F.lit(_RANK_STEP))
+    start = F.floor(F.col("rank") / _RANK_STEP) - size
+    keyword = F.decode(
+        _cut_out(_units(F.col("content")), start.cast("int"), size.cast("int")), "UTF-16BE"
+    )
+    found = ranked.select(*keys, "line", keyword.alias("keyword"), "content")
+    return found.select(
+        *keys,
+        "line",
+        "keyword",
+        strip(F.col("content")).alias("content"),
+        F.col("keyword").alias("matched_text"),
+    )
+
+
+def _fuzzy_hits(candidates: DataFrame, keys: Sequence[str], max_insert: int) -> DataFrame:
+    """The first keyword in list order whose stretches on the whole line include an accepted one."""
     size = F.length("keyword")
-    if config.is_fuzzy:
-        low = F.lower(F.col("content"))
-        stretches = F.filter(
-            F.regexp_extract_all(low, F.col("stretch"), F.lit(1)),
-            lambda m: F.length(m).between(size, size + config.max_insert),
-        )
-        matched = F.when(F.regexp_like(low, F.col("bounded")), F.get(stretches, F.lit(0)))
-        rank = [F.col("ord").alias("rank")]
-    else:
-        place = F.instr(F.col("content"), F.col("keyword"))
-        matched = F.when(place > 0, F.col("keyword"))
-        rank = [(place + size - 1).alias("rank"), (-size).alias("tie")]
-    checked = pairs.withColumn("matched_text", matched).where(F.col("matched_text").isNotNull())
+    stretches = F.filter(
+        F.regexp_extract_all(F.lower(F.col("content")), F.col("stretch"), F.lit(1)),
+        lambda m: F.length(m).between(size, size + max_insert),
+    )
+    matched = candidates.withColumn("matched_text", F.get(stretches, F.lit(0)))
     best = F.min(
-        F.struct(*rank, "keyword", strip(F.col("content")).alias("content"), "matched_text")
+        F.struct("ord", "keyword", strip(F.col("content")).alias("content"), "matched_text")
     )
     return (
-        checked.groupBy(*keys, "line")
+        matched.where(F.col("matched_text").isNotNull())
+        .groupBy(*keys, "line")
         .agg(best.alias("best"))
         .select(*keys, "line", "best.keyword", "best.content", "best.matched_text")
     )
@@ -124,43 +174,64 @@ def join_keywords(
     """The join form of the scan, for keyword tables ``(ord, keyword)`` of any length.
 
     A keyword table whose measured size is within ``broadcast_bytes`` is sent to all tasks, and the
-    lines are never shuffled. A larger one is joined by anchor: the lines of a frequent anchor are
-    spread over ``salts`` groups, only (line, anchor) goes through the shuffle, and the pairs found
-    fetch their line afterwards.
+    lines are never shuffled. A larger one is joined by anchor: the places of a frequent anchor are
+    spread over ``salts`` groups, a place brings only as many letters as the longest keyword has, and
+    the pairs found fetch their line afterwards.
     """
-    anchor_length = 2 if config.is_fuzzy else _ANCHOR
     kw = (
         keywords.where(F.length("keyword") > 0)
         .groupBy("keyword")
         .agg(F.min("ord").alias("ord"))
-        .withColumn("anchor", F.left("keyword", F.lit(anchor_length)))
+        .withColumn("keyword_units", _units(F.col("keyword")))
     )
+    units = F.octet_length("keyword_units") / 2
+    sizes = (2, 1) if config.is_fuzzy else _EXACT_ANCHORS
+    size = F.coalesce(*[F.when(units >= n, F.lit(n)) for n in sizes])
+    # Anchors meet as 64-bit hashes, which Spark looks up several times faster than byte strings;
+    # a collision only adds a pair that fails the check behind the join.
+    anchor = F.substring(F.col("keyword_units"), F.lit(1), size * 2)
+    kw = kw.withColumn("size", size).withColumn("anchor", F.xxhash64(anchor))
     if config.is_fuzzy:
         kw = _with_patterns(kw, config.max_insert)
-    # One row: the anchor lengths in use (three values at most) and the size of the table.
-    width = sum((F.octet_length(c) for c in kw.columns if c != "ord"), F.lit(64))
+    # One row: the anchor lengths in use (four values at most), the longest keyword, the table size.
+    texts = [c for c in kw.columns if c not in ("ord", "size", "anchor")]
+    width = sum((F.octet_length(c) for c in texts), F.lit(64))
     measured = kw.agg(
-        F.collect_set(F.length("anchor")).alias("lengths"), F.sum(width).alias("bytes")
+        F.collect_set("size").alias("lengths"),
+        F.max(units).cast("int").alias("longest"),
+        F.sum(width).alias("bytes"),
     ).first()
-    lengths = sorted(measured["lengths"])
+    lengths = sorted(measured["lengths"]) or [1]
+    window = measured["longest"] or 1
+    if config.is_fuzzy:
+        window += 2 * config.max_insert
 
     lines = numbered_lines(df, keys, text)
+    small = (measured["bytes"] or 0) <= broadcast_bytes
+    kept = [*keys, "line", "content"] if small else [*keys, "line"]
+    places = _places(lines, kept, config, window)
     if config.is_fuzzy:
-        anchors = _fuzzy_anchors(F.lower(F.col("content")), lengths, config.max_insert)
+        offers = _fuzzy_offers(places, kept, lengths, config.max_insert)
     else:
-        anchors = _exact_anchors(F.col("content"), lengths)
+        offers = _exact_offers(places, kept, lengths)
 
-    if (measured["bytes"] or 0) <= broadcast_bytes:
-        offered = lines.select(*keys, "line", "content", F.explode(anchors).alias("anchor"))
-        return _judged(offered.join(F.broadcast(kw), "anchor"), keys, config)
-
-    salt = F.pmod(F.xxhash64(*keys, "line"), F.lit(salts)).cast("int")
-    offered = lines.select(
-        *keys, "line", salt.alias("salt"), F.explode(anchors).alias("anchor")
-    )
-    spread_kw = kw.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = offered.join(spread_kw, ["anchor", "salt"]).drop("anchor", "salt")
-    return _judged(pairs.join(lines, [*keys, "line"]), keys, config)
+    if small:
+        pairs = offers.join(F.broadcast(kw), "anchor")
+    else:
+        salt = F.pmod(F.xxhash64(*keys, "line"), F.lit(salts)).cast("int")
+        spread_kw = kw.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = offers.withColumn("salt", salt).join(spread_kw, ["anchor", "salt"])
+    begun = pairs.where(_begins_here(config))
+    # Many places of a long line may hit: they merge to one row per line, or per line and keyword,
+    # before anything is sorted or sent.
+    if config.is_fuzzy:
+        merged = begun.select(*kept, "ord", "keyword", "stretch").distinct()
+    else:
+        merged = _exact_ranks(begun, kept)
+    found = merged if small else merged.join(lines, [*keys, "line"])
+    if config.is_fuzzy:
+        return _fuzzy_hits(found, keys, config.max_insert)
+    return _exact_hits(found, keys)
 
 
 def scan_keyword_table(

@@ -30,8 +30,12 @@ def scan_targets(
 
 
 def flat_hits(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys..., line, keyword, content, matched_text)``, one row per hit."""
-    return targets.select(*keys, F.inline("hits"))
+    """``(keys..., line, keyword, content, matched_text)``, one row per hit.
+
+    The outer form with a filter behind it: the inner one makes the optimizer test the array for
+    emptiness first, which would run the whole scan a second time.
+    """
+    return targets.select(*keys, F.inline_outer("hits")).where(F.col("line").isNotNull())
 
 
 def scan_text(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig) -> DataFrame:
