@@ -84,7 +84,7 @@ def read_folder_tables(
 
 def read_whole_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, text)`` of UTF-8 text files, one row per file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
