@@ -142,15 +142,21 @@ def may_hit(text: Column, config: ScanConfig) -> Column:
 
 
 def text_may_hit(text: Column, config: ScanConfig) -> Column:
-    """``may_hit`` for a whole text, behind the letter test where that is selective.
+    """``may_hit`` for a whole text, behind cheaper tests: its size, and its letters.
 
     Nearly every text holds the plain Latin letters, so for such keywords the letter test only
     costs time. Letters of other scripts are rare enough to rule out most texts by substring search.
     """
     keywords = config.keyword_list
+    possible = F.octet_length(text) >= min(len(k.encode()) for k in keywords)
     if config.is_fuzzy and all(any(ord(c) > 127 for c in k) for k in keywords):
-        return _any_of([has_charset(text, k) for k in keywords]) & may_hit(text, config)
-    return may_hit(text, config)
+        possible = possible & _any_of([has_charset(text, k) for k in keywords])
+    return possible & may_hit(text, config)
+
+
+def searched(text: Column, config: ScanConfig) -> Column:
+    """The form of a text that the matcher looks at."""
+    return F.lower(text) if config.is_fuzzy else text
 
 
 def hits(text: Column, config: ScanConfig) -> Column:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lineward.functions.html import resolve_references, without_opaque
 from lineward.functions.text import strip
@@ -39,41 +35,54 @@ def netloc(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
 
 
-@F.pandas_udf(T.StringType())
-def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
-    def join(b, h):
-        try:
-            return None if h is None else urljoin(b, h)
-        except ValueError:
-            return None
-
-    return pd.Series([join(b, h) for b, h in zip(base, href)], dtype="object")
+def _needs_walk(path: Column) -> Column:
+    return path.rlike(r"(?:^|/)\.\.?(?:/|$)") | path.contains("//")
 
 
-def needs_path_walk(href: Column) -> Column:
-    """Dot segments and doubled slashes need the path walk of the URL standard."""
-    path = F.regexp_extract(href, r"^([^?#]*)", 1)
-    return ~href.rlike(_SCHEME) & (
-        path.rlike(r"(?:^|/)\.\.?(?:/|$)") | path.rlike(r"^[^/].*//|^/[^/].*//")
+def _walked(segments: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; one that ends in either names a folder."""
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda path, s: F.when(s == ".", path)
+        .when(s == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))))
+        .otherwise(F.array_append(path, s)),
     )
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    walked = F.concat(F.array_join(kept, "/"), F.when(F.size(kept) > 0, folder).otherwise(F.lit("")))
+    return F.when(walked.startswith("/"), walked).otherwise(F.concat(F.lit("/"), walked))
+
+
+def _inner_filtered(segments: Column) -> Column:
+    """Empty segments count at the ends of a joined path only."""
+    last = F.size(segments)
+    return F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == last - 1))
 
 
 def absolute_url(base: Column, href: Column) -> Column:
-    """Resolve a link against the address of its page."""
+    """Resolve a link against the address of its page, by the rules of the URL standard."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     folder = F.regexp_extract(path, r"^(.*/)", 1)
-    plain = (
+    target = F.regexp_extract(href, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    rooted = F.when(
+        _needs_walk(target), F.concat(origin, _walked(F.split(target, "/", -1)), rest)
+    ).otherwise(F.concat(origin, href))
+    joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), target)
+    relative = F.when(
+        _needs_walk(joined),
+        F.concat(origin, _walked(_inner_filtered(F.split(joined, "/", -1))), rest),
+    ).otherwise(F.concat(origin, joined, rest))
+    return (
         F.when(href == "", base)
         .when(href.rlike(_SCHEME), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), rooted)
         .when(href.startswith("?"), F.concat(origin, path, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), href))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        .otherwise(relative)
     )
-    odd = needs_path_walk(href)
-    return F.when(odd, _joined(F.when(odd, base), F.when(odd, href))).otherwise(plain)
 
 
 def canonical_url(url: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lineward.config import ScanConfig
-from lineward.functions.match import hits
+from lineward.functions.match import hits, searched, text_may_hit
 from lineward.functions.text import table_content
 from lineward.sources.tables import Table, text_columns
 
@@ -47,9 +47,15 @@ def _united(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def table_scan(tables: Sequence[Table], config: ScanConfig) -> DataFrame:
-    """``(table, row_pk, column, keyword, content)`` for every hit in every text cell."""
-    cells = [c for c in (table_cells(t) for t in tables) if c is not None]
-    found = _united(cells).select(
+    """``(table, row_pk, column, keyword, content)`` for every hit in every text cell.
+
+    Most cells are short and hit nothing: a filter in generated code drops those before the hits
+    of the others are put into arrays.
+    """
+    cells = _united([c for c in (table_cells(t) for t in tables) if c is not None])
+    if config.keyword_list:
+        cells = cells.where(text_may_hit(searched(F.col("value"), config), config))
+    found = cells.select(
         "table", "row_pk", "column", F.inline(hits(F.col("value"), config))
     )
     return found.select(

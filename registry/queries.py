@@ -81,7 +81,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, folder: str) -> list[Table]:
-    return read_folder_tables(spark, folder, TABLE_KEYS, spread=["documents", "pages"])
+    return read_folder_tables(spark, folder, TABLE_KEYS, spread=["documents", "pages", "lineitem"])
 
 
 def _big(df: DataFrame) -> DataFrame:

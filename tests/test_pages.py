@@ -85,8 +85,29 @@ LINKS = [
     "http:relative",
     "a:b/c",
     "资料/保密.html",
+    "..",
+    ".",
+    "../",
+    "../../..",
+    "./",
+    "a//b/../c//d.html?x=../y#z/..",
+    "/..",
+    "/.",
+    "/a/./b//c/..",
+    "/a//b",
+    "...",
+    "a/.../b",
+    ".hidden",
+    "..x/y",
+]
+BASES = [
+    "http://site.com",
+    "http://site.com/",
+    "http://site.com/d/e.html?x=/y#z",
+    "https://site.com/d/",
+    "http://site.com/a/b//c/d",
+    "http://site.com/a/../b/c",
 ]
-BASES = ["http://site.com", "http://site.com/", "http://site.com/d/e.html?x=/y#z", "https://site.com/d/"]
 
 
 def test_links_resolve_as_in_the_standard_library(spark):
