@@ -78,26 +78,40 @@ def _any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def _stretches(low: Column, keyword: str, max_insert: int) -> Column:
-    """Accepted stretches of one keyword, left to right."""
-    found = F.regexp_extract_all(low, F.lit(_stretch_pattern(keyword)), F.lit(1))
-    return F.filter(
-        found, lambda m: F.length(m).between(len(keyword), len(keyword) + max_insert)
+def _stretches(low: Column, keywords: Sequence[str], max_insert: int) -> Column:
+    """Per keyword, in list order: its name, its size, and its accepted stretches, left to right."""
+    tries = [
+        F.struct(
+            F.lit(k).alias("keyword"),
+            F.lit(len(k)).alias("size"),
+            F.when(
+                low.rlike(_bounded_pattern([k], max_insert)),
+                F.regexp_extract_all(low, F.lit(_stretch_pattern(k)), F.lit(1)),
+            ).alias("found"),
+        )
+        for k in keywords
+    ]
+    return F.transform(
+        F.array(*tries),
+        lambda t: F.struct(
+            t["keyword"].alias("keyword"),
+            t["size"].alias("size"),
+            F.filter(
+                t["found"], lambda m: F.length(m).between(t["size"], t["size"] + max_insert)
+            ).alias("accepted"),
+        ),
     )
 
 
 def fuzzy_hit(low: Column, keywords: Sequence[str], max_insert: int) -> Column:
     """``struct(keyword, matched_text)`` of the first keyword, in list order, that hits; else null."""
-
-    def attempt(keyword: str) -> Column:
-        named = F.transform(
-            _stretches(low, keyword, max_insert),
-            lambda m: F.struct(F.lit(keyword).alias("keyword"), m.alias("matched_text")),
-        )
-        possible = low.rlike(_bounded_pattern([keyword], max_insert))
-        return F.when(possible, F.get(named, F.lit(0)))
-
-    return F.coalesce(*[attempt(k) for k in keywords])
+    named = F.transform(
+        _stretches(low, keywords, max_insert),
+        lambda t: F.struct(
+            t["keyword"].alias("keyword"), F.get(t["accepted"], F.lit(0)).alias("matched_text")
+        ),
+    )
+    return F.get(F.filter(named, lambda n: n["matched_text"].isNotNull()), F.lit(0))
 
 
 def exact_hit(line: Column, keywords: Sequence[str]) -> Column:
@@ -215,11 +229,8 @@ def hits(text: Column, config: ScanConfig) -> Column:
 def inserts_needed(low: Column, keywords: Sequence[str], ceiling: int) -> Column:
     """Smallest noise budget, up to ``ceiling``, under which any keyword hits the line; else null."""
 
-    def need(keyword: str) -> Column:
-        extra = F.transform(
-            _stretches(low, keyword, ceiling), lambda m: F.length(m) - len(keyword)
-        )
-        possible = low.rlike(_bounded_pattern([keyword], ceiling))
-        return F.when(possible, F.array_min(extra))
-
-    return F.array_min(F.array(*[need(k) for k in keywords]))
+    needs = F.transform(
+        _stretches(low, keywords, ceiling),
+        lambda t: F.array_min(F.transform(t["accepted"], F.length)) - t["size"],
+    )
+    return F.array_min(needs)
