@@ -13,6 +13,7 @@ from lineward.functions.urls import (
     netloc,
     same_site,
 )
+from lineward.operators.skew import salted_lookup
 from lineward.session import cut
 
 # Fixed value: a site counts as crawled once this many addresses are known.
@@ -76,7 +77,9 @@ def reachable(
         if max_pages is not None:
             known = visited.groupBy(netloc(F.col("url")).alias("site")).count()
             full = known.where(F.col("count") >= max_pages).select("site")
-            follow = follow.withColumn("site", netloc(F.col("url"))).join(full, "site", "left_anti")
+            placed = follow.withColumn("site", netloc(F.col("url")))
+            # One site may hold most of the addresses.
+            follow = salted_lookup(placed, full, "site", ["url"], "left_anti")
         found = edges.join(follow.select("url"), "url").select("link", "skipped").distinct()
         depth += 1
         new = found.join(visited.select(F.col("url").alias("link")), "link", "left_anti")

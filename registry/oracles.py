@@ -459,6 +459,92 @@ OVERVIEW = (
     "SELECT 'total', CAST(sum(sources) AS BIGINT), CAST(sum(hits) AS BIGINT) FROM o"
 )
 
+def _quoted_targets(section: int, source: str, key: str, config: ScanConfig) -> str:
+    """Targets of one kind in the combined report, with their hits quoted."""
+    first = (
+        "'        → 第 ' || line || ' 行：关键词“' || keyword || '”，匹配内容“' || matched_text || '”'"
+    )
+    second = (
+        "'          原文：' || CASE WHEN length(content) > 80 THEN left(content, 80) || '...' "
+        "ELSE content END"
+    )
+    quoted = f"CASE WHEN content <> '' THEN [{first}, {second}] ELSE [{first}] END"
+    listed = (
+        "list_concat(['    ' || target_no || '. 来源：' || target], CASE WHEN n > 0 THEN "
+        "list_concat(['      发现 ' || n || ' 处涉密信息：'], found) ELSE ['      无涉密内容'] END, [''])"
+    )
+    return (
+        f"SELECT {section} AS section, target_no, generate_subscripts(ls, 1) - 1 AS seq, "
+        f"'' AS sort_key, unnest(ls) AS line FROM (SELECT target_no, {listed} AS ls FROM ("
+        f"SELECT s.{key} AS target, coalesce(n, 0) AS n, coalesce(found, []) AS found, "
+        f"row_number() OVER (ORDER BY s.{key}) AS target_no FROM {source} s LEFT JOIN ("
+        f"SELECT {key}, count(*) AS n, flatten(list({quoted} ORDER BY line)) AS found "
+        f"FROM ({hit_rows(source, key, 'text', config)}) GROUP BY {key}) USING ({key})))"
+    )
+
+
+def _kind_heading(section: int, words: str) -> str:
+    return _fixed(section, "(SELECT 1)", q(f"  ── {words} ──"), "''")
+
+
+def _box_row(words: str, kind: str) -> str:
+    return (
+        f"'  │ ' || rpad({q(words)}, 21, ' ') || ' │ ' || rpad(CAST({kind}_n AS VARCHAR), 9, ' ') "
+        f"|| ' │ ' || rpad(CAST({kind}_hits AS VARCHAR), 9, ' ') || ' │'"
+    )
+
+
+_COMBINED_TOTALS = (
+    "n AS (SELECT (SELECT count(*) FROM pages) AS web_n, "
+    f"(SELECT count(*) FROM ({hit_rows(PAGE_TEXTS, 'url', 'text', PAGE_FUZZY)})) AS web_hits, "
+    "(SELECT count(*) FROM conversations) AS audio_n, "
+    f"(SELECT count(*) FROM ({hit_rows(_TURNS, 'path', 'text', PAGE_FUZZY)})) AS audio_hits, "
+    '1 AS db_n, (SELECT count(*) FROM (SELECT DISTINCT "table", row_pk FROM h)) AS db_hits)'
+)
+_FIELD_LINE = "'          字段 ''' || \"column\" || ''' 包含涉密文本（例如：' || samples || '）'"
+_TABLE_LINES = (
+    'SELECT row_number() OVER (ORDER BY r."table") + 1 AS target_no, list_concat('
+    "['        • 表 ' || r.\"table\" || '：总计 ' || r.total_rows || ' 行，涉密 ' || coalesce(sr, 0) "
+    "|| ' 行'], coalesce(fl, [])) AS ls FROM r LEFT JOIN (SELECT \"table\", "
+    f"any_value(sensitive_rows) AS sr, list({_FIELD_LINE} ORDER BY \"column\") AS fl "
+    'FROM f GROUP BY "table") USING ("table")'
+)
+REPORT_COMBINED = (
+    f"WITH {_HITS}, {_COMBINED_TOTALS}, f AS ({_FIELDS}), tl AS ({_TABLE_LINES}) "
+    + _report_rows(
+        [
+            _fixed(
+                0, "n", _WIDE, q("        涉密信息检查报告"), _WIDE, q(f"生成时间：{CHECKED_AT}"), "''",
+                q("【一、总览】"), q("  检查类型：web, audio, db"),
+                "'  检查目标总数：' || (web_n + audio_n + db_n)",
+                "'  发现涉密信息条目总数：' || (web_hits + audio_hits + db_hits)", "''",
+                q("  ┌───────────────────────┬───────────┬───────────┐"),
+                q("  │ 类型                  │ 目标数量  │ 涉密条目  │"),
+                q("  ├───────────────────────┼───────────┼───────────┤"),
+                _box_row("网页", "web"), _box_row("音频", "audio"), _box_row("数据库", "db"),
+                q("  └───────────────────────┴───────────┴───────────┘"),
+                "''", q("【二、详细结果】"), "''",
+            ),
+            _kind_heading(1, "🌐 网页"),
+            _quoted_targets(1, PAGE_TEXTS, "url", PAGE_FUZZY),
+            _kind_heading(4, "🎵 音频"),
+            _quoted_targets(4, _TURNS, "path", PAGE_FUZZY),
+            _kind_heading(5, "🗄️ 数据库"),
+            "SELECT 5, 1, unnest([0, 1]), '', unnest(['    1. 来源：tables', "
+            "'      共检查 ' || (SELECT count(*) FROM r) || ' 个表：'])",
+            "SELECT 5, target_no, generate_subscripts(ls, 1) - 1, '', unnest(ls) FROM tl",
+            "SELECT 5, 2147483647, 0, '', ''",
+            _fixed(
+                7, "n", q("【三、结论与建议】"),
+                "'   ⚠️ 共发现 ' || (web_hits + audio_hits + db_hits) || ' 处涉密信息，请立即核查并处理。'",
+                q("   建议："), q("     1. 对涉密文件/数据进行脱敏或隔离；"),
+                q("     2. 修改相关权限设置，限制访问；"), q("     3. 提交审计追踪，追究责任。"),
+                "''", _WIDE, q("报告结束"), _WIDE,
+            ),
+        ]
+    )
+)
+
 # --- all -----------------------------------------------------------------------------------------
 
 _SCAN_FUZZY, _ = line_keyword("raw", ScanConfig(PAGE_EXACT.keywords, "regex", 2))
@@ -679,4 +765,15 @@ ORACLES = {
     "report_audio": REPORT_AUDIO,
     "report_image": REPORT_IMAGE,
     "report_db": REPORT_DB,
+    "report_combined": REPORT_COMBINED,
+    "store_stats": (
+        f"WITH h AS ({hit_rows('documents', 'doc_id', 'text', TEXT_FUZZY)}), "
+        f"d AS (SELECT {_fp(TEXT_FUZZY)} AS fp, min(doc_id) AS doc_id FROM documents "
+        "WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1), "
+        "e AS (SELECT doc_id, list({'line': line, 'keyword': keyword, 'content': content, "
+        "'matched_text': matched_text} ORDER BY line) AS hits FROM h GROUP BY doc_id) "
+        "SELECT count(*) AS total_entries, round(sum(strlen(CAST(to_json({'hits': coalesce(hits, []), "
+        "'note': '', 'file_type': ''}) AS VARCHAR))) / 1048576, 2) AS size_mb "
+        "FROM d LEFT JOIN e USING (doc_id)"
+    ),
 }
