@@ -127,10 +127,10 @@ def jdbc_reader_options(
     ``partition`` is ``(column, lower, upper, partitions)``: Spark then reads the ranges in
     parallel, each streamed in pages of 500 rows, in place of one reader that counts offsets.
     """
-    picked = ", ".join(columns)
+    picked = ", ".join(f"`{c}`" for c in columns)
     options = {
         "url": url,
-        "dbtable": f"(SELECT {picked} FROM {table}) scanned",
+        "dbtable": f"(SELECT {picked} FROM `{table}`) scanned",
         "fetchsize": str(JDBC_FETCH_ROWS),
         **(properties or {}),
     }
@@ -145,5 +145,40 @@ def jdbc_reader_options(
     return options
 
 
-def read_jdbc_table(spark: SparkSession, name: str, key: str | None, options: Mapping[str, str]) -> Table:
-    return Table(name, spark.read.format("jdbc").options(**options).load(), key)
+def scanned_columns(listing: Iterable[tuple]) -> dict[str, tuple[str | None, list[str]]]:
+    """Per table with text columns, in name order: its first key column and its text columns."""
+    keys: dict[str, str] = {}
+    texts: dict[str, list[str]] = {}
+    for table, column, type_name, is_key in listing:
+        if is_key:
+            keys.setdefault(table, column)
+        if is_text_type(type_name):
+            texts.setdefault(table, []).append(column)
+    return {table: (keys.get(table), texts[table]) for table in sorted(texts)}
+
+
+def read_jdbc_tables(
+    spark: SparkSession,
+    url: str,
+    flavour: str,
+    database: str = "",
+    partitions: Mapping[str, tuple[str, int, int, int]] | None = None,
+    properties: Mapping[str, str] | None = None,
+) -> list[Table]:
+    """All tables of a MySQL or SQLite database that have text columns.
+
+    The listing has one row per column of the database. ``partitions`` gives, per table, how its
+    rows are split among readers, see ``jdbc_reader_options``.
+    """
+    query = jdbc_listing(flavour, database)
+    listing = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load()
+    tables = []
+    for name, (key, texts) in scanned_columns(map(tuple, listing.collect())).items():
+        split = (partitions or {}).get(name)
+        needed = [key, split[0] if split else None, *texts]
+        columns = list(dict.fromkeys(c for c in needed if c))
+        options = jdbc_reader_options(url, name, columns, split, properties)
+        data = spark.read.format("jdbc").options(**options).load()
+        # A numeric or other column read for splitting only is no text and is not scanned.
+        tables.append(Table(name, data, key))
+    return tables

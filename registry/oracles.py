@@ -627,7 +627,7 @@ ORACLES = {
     "page_scan_exact": hit_rows(PAGE_TEXTS, "url", "text", PAGE_EXACT),
     "charset_prefilter": "SELECT "
     + ", ".join(
-        "count_if("
+        "count(*) FILTER ("
         + " AND ".join(f"contains(lower(raw), {q(c)})" for c in dict.fromkeys(k))
         + f") AS lines_{k}"
         for k in TEXT_FUZZY.keyword_list
@@ -681,7 +681,7 @@ ORACLES = {
     ),
     "table_stats": f"WITH {_HITS} {_STATS}",
     "scan_totals": (
-        f"WITH {_HITS} SELECT count(*) AS tables_scanned, count_if(affected) AS tables_affected, "
+        f"WITH {_HITS} SELECT count(*) AS tables_scanned, count(*) FILTER (affected) AS tables_affected, "
         f"CAST(sum(hits) AS BIGINT) AS hits FROM ({_STATS})"
     ),
     "field_stats": f"WITH {_HITS} {_FIELDS}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +54,11 @@ from lineward.plans.database import database_report, scan_database
 from lineward.plans.files import classify_files, scan_files
 from lineward.plans.media import audio_report
 from lineward.plans.web import page_report, scan_new_pages, scan_pages
+from lineward.session import checkpoint_dir
 from lineward.sources.files import decode_text, read_files, with_file_text
 from lineward.sources.office import zip_encryption
 from lineward.sources.pages import distinct_pages
+from lineward.sources.sinks import write_report
 from lineward.sources.tables import Table, read_folder_tables, text_columns
 from registry import derived
 from registry.derived import read
@@ -137,10 +141,6 @@ def src_tables(spark, folder):
 
 def sink_report(spark, folder):
     """A page report written as sorted text parts and read back."""
-    from lineward.session import checkpoint_dir
-    from lineward.sources.sinks import write_report
-    import uuid
-
     report = page_report(scan_pages(read(spark, folder, "pages"), PAGE_FUZZY), CHECKED_AT, "txt")
     path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
     write_report(report, path)

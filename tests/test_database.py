@@ -18,6 +18,7 @@ from lineward.sources.tables import (
     jdbc_listing,
     jdbc_reader_options,
     read_catalog_tables,
+    scanned_columns,
     text_columns,
 )
 
@@ -105,12 +106,12 @@ def test_only_key_and_text_columns_are_read(spark, tables, tmp_path):
 
 def test_report(spark, tables):
     scan = scan_database(tables, CONFIG)
-    lines = report_text(database_report(scan, "MySQL localhost:3306/baomi", "2026-05-12 19:30:00", "txt")).split("\n")
+    lines = report_text(database_report(scan, "MySQL localhost:3306/shop", "2026-05-12 19:30:00", "txt")).split("\n")
     assert lines[:9] == [
         "=" * 60,
         "          数据库涉密数据检查报告",
         "=" * 60,
-        "数据库信息: MySQL localhost:3306/baomi",
+        "数据库信息: MySQL localhost:3306/shop",
         "检查时间: 2026-05-12 19:30:00",
         "扫描表数: 4",
         "涉密数据条数: 8",
@@ -141,8 +142,27 @@ def test_jdbc_reads_are_partitioned():
     options = jdbc_reader_options(
         "jdbc:mysql://h/db", "posts", ["id", "title"], ("id", 1, 1000, 20), {"user": "u"}
     )
-    assert options["dbtable"] == "(SELECT id, title FROM posts) scanned"
+    assert options["dbtable"] == "(SELECT `id`, `title` FROM `posts`) scanned"
     assert options["numPartitions"] == "20" and options["fetchsize"] == "500"
+    assert options["user"] == "u" and "partitionColumn" not in jdbc_reader_options("u", "t", ["a"])
+
+
+def test_jdbc_listing_keeps_text_columns_and_the_first_key():
+    listing = [
+        ("posts", "id", "bigint", 1),
+        ("posts", "part", "int", True),
+        ("posts", "title", "VARCHAR(20)", 0),
+        ("posts", "body", "longtext", False),
+        ("numbers", "n", "int", 1),
+        ("log", "line", "TEXT", None),
+    ]
+    assert scanned_columns(listing) == {
+        "log": (None, ["line"]),
+        "posts": ("id", ["title", "body"]),
+    }
+
+
+def test_jdbc_queries():
     assert "INFORMATION_SCHEMA" in jdbc_listing("mysql", "db")
     assert "sqlite_master" in jdbc_listing("sqlite")
     with pytest.raises(ValueError):
