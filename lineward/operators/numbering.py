@@ -20,8 +20,8 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     row stands. The offset of a partition comes from the row counts of the partitions before it, a
     table with one row per partition.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # Without a fixed number of partitions, adaptive execution merges small ones.
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     fixed = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
     placed = fixed.withColumn("_part", F.shiftright("_at", _ROW_BITS))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
