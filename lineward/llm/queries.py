@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lineward.llm.common import table
+from lineward.llm.sentencepieces import encode_documents
 from lineward.llm.sharding import shard_documents
 
 
@@ -12,8 +14,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_documents(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
