@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lineward.llm.common import table
+from lineward.llm.minhash import near_duplicates
 from lineward.llm.sentencepieces import encode_documents
 from lineward.llm.sharding import shard_documents
 
@@ -19,9 +20,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_sentencepiece": op5_sentencepiece,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
