@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineward.llm.common import table
 from lineward.llm.minhash import near_duplicates
+from lineward.llm.quality_rules import quality_rules
 from lineward.llm.sentencepieces import encode_documents
 from lineward.llm.sharding import shard_documents
 
@@ -20,6 +21,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -27,6 +32,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_quality_rules": op7_quality_rules,
     "op10_minhash": op10_minhash,
 }
 

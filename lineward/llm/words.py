@@ -129,6 +129,13 @@ class Hasher:
     def words(self, block: Block) -> np.ndarray:
         return self.ranges(block.data, block.start, block.end)
 
+    def runs(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each sequence ``hashes[start:end]``, whatever its place."""
+        self._grow(len(hashes) + 1)
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * self.powers[: len(hashes)], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
+
 
 def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     """The hash of every run of ``length`` consecutive word hashes; the run at i begins at word i."""
@@ -139,6 +146,19 @@ def sequence_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def repeated(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (text, value): whether its text has it twice or more, and whether it stands there earlier."""
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    again = np.zeros(len(doc), bool)
+    again[1:] = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
+    more = again.copy()
+    more[:-1] |= again[1:]
+    twice, earlier = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    twice[order], earlier[order] = more, again
+    return twice, earlier
+
+
 def same_text(doc: np.ndarray, length: int) -> np.ndarray:
     """Whether the run of ``length`` words that begins at each word ends in the same text."""
     count = max(len(doc) - length + 1, 0)
