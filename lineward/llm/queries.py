@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lineward.llm.common import table
+from lineward.llm.language_model import score_documents
 from lineward.llm.minhash import near_duplicates
 from lineward.llm.quality_rules import quality_rules
 from lineward.llm.sentencepieces import encode_documents
@@ -16,6 +17,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return encode_documents(table(spark, sf_dir, "documents"), model)
@@ -31,6 +36,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_language_model": op3_language_model,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_quality_rules": op7_quality_rules,
     "op10_minhash": op10_minhash,
