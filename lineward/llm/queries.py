@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lineward.llm.common import table
 from lineward.llm.language_model import score_documents
 from lineward.llm.minhash import near_duplicates
+from lineward.llm.quality_classifier import classify_quality
 from lineward.llm.quality_rules import quality_rules
 from lineward.llm.sentencepieces import encode_documents
 from lineward.llm.sharding import shard_documents
@@ -26,6 +27,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_language_model": op3_language_model,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op10_minhash": op10_minhash,
 }
