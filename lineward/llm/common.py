@@ -9,19 +9,29 @@ from pyspark.sql import functions as F
 
 from lineward.session import checkpoint_dir
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows with whole texts that a task holds at once.
+TEXT_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back.
 
     A lost executor then costs no recomputation, and every reader takes only the columns it needs.
+    ``batch_rows`` bounds the rows that an Arrow function of ``df`` is given at once.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, batch_rows or before)
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

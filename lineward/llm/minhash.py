@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import written
+from lineward.llm.common import TEXT_ROWS, written
 from lineward.llm.components import components
 from lineward.llm.words import Hasher, blocks, mixed, same_text, sequence_hashes
 
@@ -48,6 +48,7 @@ SMALLEST_MARGIN = 0.09
 ROUNDING = 0.005
 # Members of one block when the members of a band are compared pair by pair.
 BLOCK_ROWS = 256
+BLOCKS_AT_ONCE = 16
 # Candidate ids up to this number (8 MB) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -229,7 +230,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     sets = _picked(docs, ids).mapInArrow(run, f"node {doc_id}, shingles array<long>")
-    return written(sets.dropDuplicates(["node"]), "sets")
+    return written(sets.dropDuplicates(["node"]), "sets", TEXT_ROWS)
 
 
 def _smallest(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -251,7 +252,7 @@ def _smallest(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     found = _picked(docs, ids).mapInArrow(run, f"node {doc_id}, smallest binary")
-    return written(found.dropDuplicates(["node"]), "smallest")
+    return written(found.dropDuplicates(["node"]), "smallest", TEXT_ROWS)
 
 
 def _plausible(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
@@ -285,9 +286,9 @@ def _plausible(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, batch_rows: int | None = None):
     """The pairs whose full sets reach the threshold."""
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs", batch_rows)
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(docs, ids, size)
     x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("xn", "xs"), ("yn", "ys")))
@@ -390,7 +391,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shingles. A component has the smallest id in it, and that document is kept.
     """
     least = percent / 100 - MARGIN
-    sketched = written(sketch_documents(docs, size), "sketches")
+    sketched = written(sketch_documents(docs, size), "sketches", TEXT_ROWS)
     classes = written(
         sketched.where("n_shingles > 0")
         .groupBy("set_a", "set_b", "n_shingles")
@@ -419,7 +420,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = members.join(found, F.col("doc") == F.col("node"), "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("component")
     )
-    rest = _verified(_mixed_pairs(written(placed, "placed"), reps, docs, size, percent), docs, size, percent)
+    pairs = _mixed_pairs(written(placed, "placed"), reps, docs, size, percent)
+    rest = _verified(pairs, docs, size, percent, BLOCKS_AT_ONCE)
     found = components(links.union(rest))
     named = written(
         classes.join(found, F.col("rep") == F.col("node"), "left").select(

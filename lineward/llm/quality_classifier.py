@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import written
+from lineward.llm.common import TEXT_ROWS, written
 from lineward.llm.words import SPACES, Block, Hasher, blocks, mixed, repeated, same_text, sequence_hashes
 
 # Documents whose features and weak labels train the scorer.
@@ -176,7 +176,7 @@ def described(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {doc_id}, n_words long, votes long, keys array<short>, shares array<float>"
     )
-    return written(found, "described")
+    return written(found, "described", TEXT_ROWS)
 
 
 class VoteModel(NamedTuple):

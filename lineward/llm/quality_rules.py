@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import written
+from lineward.llm.common import TEXT_ROWS, written
 from lineward.llm.words import Block, Hasher, blocks, lower_table, repeated, same_text, sequence_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -131,7 +131,7 @@ def measured(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {doc_id}, host string, {', '.join(n + ' long' for n in names)}, least long"
     found = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
     found = found.mapInArrow(run, f"{schema}, lines array<struct<line: long, words: long>>")
-    return written(found.withColumn("row", F.monotonically_increasing_id()), "measured")
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "measured", TEXT_ROWS)
 
 
 def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:

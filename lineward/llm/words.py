@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SPACES = b"\t\n\x0b\x0c\r "
 # Most bytes of text that are turned into arrays at once; a single longer text is taken alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
