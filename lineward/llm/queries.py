@@ -12,6 +12,7 @@ from lineward.llm.quality_classifier import classify_quality
 from lineward.llm.quality_rules import quality_rules
 from lineward.llm.sentencepieces import encode_documents
 from lineward.llm.sharding import shard_documents
+from lineward.llm.toxicity import score_toxicity
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
 }
 
