@@ -1,12 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents. Rows that share an id are decided together:
+they stay when any of them is kept. Rows without id take the decision of their own stage as rejected.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lineward.llm.common import fresh, table, written
+from lineward.llm.decontaminate import decontaminate
+from lineward.llm.minhash import near_duplicates
+from lineward.llm.quality_classifier import classify_quality
+from lineward.llm.quality_rules import quality_rules
+from lineward.llm.sentencepieces import encode_documents
+
+
+def _only_kept(docs: DataFrame, decided: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose id ``decided`` (doc_id, kept) keeps.
+
+    The ids that go are written first. A filtering stage rejects the smaller part, so the texts stay where
+    they are as long as those ids are few enough to be broadcast, which Spark decides by their size; a
+    shuffle join takes over beyond.
+    """
+    gone = fresh(docs.columns, "gone_id")
+    rejected = decided.groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias("any")).where("not any")
+    rejected = written(rejected.where(F.col(gone).isNotNull()).select(gone), f"rejected-{name}")
+    return docs.where(F.col("doc_id").isNotNull()).join(rejected, F.col("doc_id") == F.col(gone), "left_anti")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only_kept(docs, classify_quality(docs), "classifier")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only_kept(docs, quality_rules(docs), "rules")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group; of several rows with the id of that document, one of them."""
+    decided = near_duplicates(docs, size=5, percent=80)
+    repeated = fresh(docs.columns, "repeated_id")
+    again = decided.groupBy(F.col("doc_id").alias(repeated)).count().where("count > 1").select(repeated)
+    again = written(again, "repeated")
+    kept = _only_kept(docs, decided, "dedup")
+    once = kept.join(again, F.col("doc_id") == F.col(repeated), "left_anti")
+    twice = kept.join(again, F.col("doc_id") == F.col(repeated), "left_semi")
+    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only_kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "decontamination")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
-from lineward.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", rules),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            docs = written(docs, f"stage-{name.replace(' ', '-')}")
     return docs
 
 

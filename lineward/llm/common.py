@@ -39,3 +39,10 @@ def held_out(parts: int, remainder: int, doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id in decimal, modulo ``parts``, is ``remainder``; rows without id are held out."""
     found = F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == remainder
     return F.coalesce(found, F.lit(True))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until it is none of ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
