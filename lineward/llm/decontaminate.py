@@ -120,6 +120,7 @@ def matched_places(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Document, item, share of the item's windows found at one place, and whether parameters differ."""
+    docs = docs.select("doc_id", "text")
     items = item_windows(benchmark)
     places = matched_places(docs, items).withColumn("shift", F.col("place") - F.col("item_place"))
     windows = items.select(F.col("item_id").alias("i"), "item_windows").distinct()
