@@ -1,14 +1,17 @@
 """Text of OOXML office files, and the encryption flags of ZIP archives.
 
-Both work on the bytes of one file at a time, in Arrow functions.
+Both work on the bytes of one file at a time, in Arrow functions. An office file is read the way its format
+names its parts: from the package's relationships to the main part, and from there to sheets, shared
+strings, slides and notes. Parts are read as events, never as whole trees.
 """
 
 from __future__ import annotations
 
-import re
 import struct
+from collections.abc import Iterator
 from io import BytesIO
-from xml.etree import ElementTree
+from posixpath import dirname, join, normpath
+from xml.etree.ElementTree import ParseError, iterparse
 from zipfile import ZipFile
 
 import pandas as pd
@@ -16,95 +19,117 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# XML namespaces of the three formats.
-_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_SLIDES = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+# Fixed value: the namespace of relationship ids in the parts.
+_RELATION_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _natural(name: str) -> list:
-    return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", name)]
+class Package:
+    """The parts of an office file."""
 
+    def __init__(self, archive: ZipFile):
+        self.archive = archive
+        self.parts = set(archive.namelist())
 
-def _joined(element, tag: str) -> str:
-    return "".join(t.text or "" for t in element.iter(tag))
+    def ends(self, part: str) -> Iterator[tuple[str, object]]:
+        """Local name and element of everything that ends in a part, in document order."""
+        with self.archive.open(part) as stream:
+            for _, element in iterparse(stream):
+                yield element.tag.rpartition("}")[2], element
 
+    def related(self, part: str) -> list[tuple[str, str, str]]:
+        """Id, kind and target part of each relationship of ``part`` ('' is the package itself)."""
+        folder, name = dirname(part), part.rpartition("/")[2]
+        relations = join(folder, "_rels", f"{name}.rels")
+        if relations not in self.parts:
+            return []
+        found = []
+        for tag, element in self.ends(relations):
+            if tag == "Relationship" and element.get("TargetMode") != "External":
+                target = element.get("Target", "")
+                target = target[1:] if target.startswith("/") else normpath(join(folder, target))
+                found.append((element.get("Id", ""), element.get("Type", "").rpartition("/")[2], target))
+        return [r for r in found if r[2] in self.parts]
 
-def _document_text(archive: ZipFile) -> str:
+    def main(self) -> str:
+        return next(target for _, kind, target in self.related("") if kind == "officeDocument")
+
+    def listed(self, part: str, tag: str) -> list[str]:
+        """The parts that the elements ``tag`` of ``part`` refer to, in their order."""
+        targets = {i: target for i, _, target in self.related(part)}
+        named = [element.get(_RELATION_ID) for name, element in self.ends(part) if name == tag]
+        return [targets[i] for i in named if i in targets]
+
+
+def _document_text(package: Package) -> str:
     """Every text run on a line of its own."""
-    body = ElementTree.fromstring(archive.read("word/document.xml"))
-    return "\n".join(t.text for t in body.iter(f"{_WORD}t") if t.text)
-
-
-def _cell_text(cell, shared: list[str]) -> str | None:
-    value = cell.findtext(f"{_SHEET}v")
-    if value:
-        if cell.get("t") != "s":
-            return value
-        place = int(value)
-        return shared[place] if place < len(shared) else None
-    inline = cell.find(f"{_SHEET}is")
-    return None if inline is None else _joined(inline, f"{_SHEET}t")
-
-
-def _workbook_text(archive: ZipFile) -> str:
-    """A line per row, cells separated by tabs."""
-    members = archive.namelist()
-    shared = []
-    if "xl/sharedStrings.xml" in members:
-        table = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-        shared = [_joined(item, f"{_SHEET}t") for item in table.iter(f"{_SHEET}si")]
-    rows = []
-    for member in members:
-        if re.fullmatch(r"xl/worksheets/sheet.*\.xml", member):
-            for row in ElementTree.fromstring(archive.read(member)).iter(f"{_SHEET}row"):
-                cells = [_cell_text(c, shared) for c in row.iter(f"{_SHEET}c")]
-                cells = [c for c in cells if c is not None]
-                if cells:
-                    rows.append("\t".join(cells))
-    return "\n".join(rows)
-
-
-def _paragraphs(body) -> list[str]:
-    """Paragraph texts of a text body; a line break inside a paragraph stays one."""
-    out = []
-    for paragraph in body.iter(f"{_DRAWING}p"):
-        parts = []
-        for node in paragraph:
-            if node.tag in (f"{_DRAWING}r", f"{_DRAWING}fld"):
-                parts.append(node.findtext(f"{_DRAWING}t") or "")
-            elif node.tag == f"{_DRAWING}br":
-                parts.append("\n")
-        out.append("".join(parts))
+    return "\n".join(e.text for tag, e in package.ends(package.main()) if tag == "t" and e.text)
+
+
+def _strings(package: Package, workbook: str) -> list[str]:
+    out, runs = [], []
+    for part in (target for _, kind, target in package.related(workbook) if kind == "sharedStrings"):
+        for tag, element in package.ends(part):
+            if tag == "t":
+                runs.append(element.text or "")
+            elif tag == "si":
+                out.append("".join(runs))
+                runs = []
     return out
 
 
-def _slide_paragraphs(xml: bytes) -> list[str]:
-    """Text boxes and table cells in document order, each once, wherever they are nested."""
-    bodies = (f"{_SLIDES}txBody", f"{_DRAWING}txBody")
-    found = [p for e in ElementTree.fromstring(xml).iter() if e.tag in bodies for p in _paragraphs(e)]
-    return [p.strip() for p in found if p.strip()]
+def _workbook_text(package: Package) -> str:
+    """A line per row, cells separated by tabs, sheets in the order of the workbook."""
+    workbook = package.main()
+    strings = _strings(package, workbook)
+    lines = []
+    for sheet in package.listed(workbook, "sheet"):
+        cells: list[str] = []
+        value, inline = "", None
+        for tag, element in package.ends(sheet):
+            if tag == "v":
+                value = element.text or ""
+            elif tag == "t":
+                inline = (inline or "") + (element.text or "")
+            elif tag == "c":
+                if element.get("t") == "s" and value:
+                    cells += strings[int(value) : int(value) + 1]
+                elif value or inline is not None:
+                    cells.append(value or inline)
+                value, inline = "", None
+            elif tag == "row":
+                if cells:
+                    lines.append("\t".join(cells))
+                cells = []
+                element.clear()
+    return "\n".join(lines)
 
 
-def _presentation_text(archive: ZipFile) -> str:
-    """Slides in order under a header line, notes behind each slide."""
-    members = set(archive.namelist())
-    slides = sorted(
-        (m for m in members if re.fullmatch(r"ppt/slides/slide.*\.xml", m)), key=_natural
-    )
-    out = []
-    for number, member in enumerate(slides, 1):
-        texts = []
-        for part in (member, member.replace("slides/slide", "notesSlides/notesSlide")):
-            if part in members:
-                try:
-                    texts += _slide_paragraphs(archive.read(part))
-                except ElementTree.ParseError:
-                    pass
+def _paragraphs(package: Package, part: str) -> list[str]:
+    """The paragraphs of a slide or of its notes; a line break inside a paragraph stays one."""
+    out, pieces = [], []
+    try:
+        for tag, element in package.ends(part):
+            if tag == "t":
+                pieces.append(element.text or "")
+            elif tag == "br":
+                pieces.append("\n")
+            elif tag == "p":
+                out.append("".join(pieces).strip())
+                pieces = []
+    except ParseError:  # a damaged part has no text, the others keep theirs
+        return []
+    return [text for text in out if text]
+
+
+def _presentation_text(package: Package) -> str:
+    """Slides in the order of the presentation under a header line, notes behind each slide."""
+    lines = []
+    for number, slide in enumerate(package.listed(package.main(), "sldId"), 1):
+        notes = [target for _, kind, target in package.related(slide) if kind == "notesSlide"]
+        texts = [text for part in (slide, *notes) for text in _paragraphs(package, part)]
         if texts:
-            out += [f"===== Slide {number} =====", *texts]
-    return "\n".join(out)
+            lines += [f"===== Slide {number} =====", *texts]
+    return "\n".join(lines)
 
 
 _READERS = {"docx": _document_text, "xlsx": _workbook_text, "pptx": _presentation_text}
@@ -114,7 +139,7 @@ def read_office(kind: str, content: bytes) -> str:
     """Text of one office file; a broken file has none."""
     try:
         with ZipFile(BytesIO(content)) as archive:
-            return _READERS[kind](archive)
+            return _READERS[kind](Package(archive))
     except Exception:  # any damage inside a foreign file means "no text"
         return ""
 
@@ -133,27 +158,41 @@ def office_text(kind: Column, content: Column) -> Column:
     return _office_text(kind, F.when(kind.isNotNull(), content))
 
 
-# Signature, size, and the places of the flag word and of the variable lengths in the
-# two kinds of ZIP header.
-_LOCAL_HEADER = (b"PK\x03\x04", 30, 6, "<18xI4xHH")
-_CENTRAL_HEADER = (b"PK\x01\x02", 46, 8, "<28xHHH")
+# Fixed values of the ZIP format: where an archive's directory is told, an entry of it, an entry's own
+# header; sizes without the variable parts.
+_END, _ENTRY, _HEADER = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
+_END_SIZE, _ENTRY_SIZE, _HEADER_SIZE = 22, 46, 30
 _ENCRYPTED_BITS = 0x01 | 0x40
 
 
-def _any_flagged(data: bytes, signature: bytes, size: int, flag_at: int, lengths: str) -> bool:
-    at = data.find(signature)
-    while 0 <= at <= len(data) - size:
-        if struct.unpack_from("<H", data, at + flag_at)[0] & _ENCRYPTED_BITS:
-            return True
-        at = data.find(signature, at + size + sum(struct.unpack_from(lengths, data, at)))
-    return False
+def _flag_words(data: bytes) -> Iterator[tuple[int, int]]:
+    """The flags of each entry of the directory, and those of its own header (0 where there is none).
+
+    The directory stands right before its end record; what was put before the archive moves all offsets.
+    """
+    end = data.rfind(_END)
+    if end < 0 or len(data) < end + _END_SIZE:
+        return
+    size, offset = struct.unpack_from("<II", data, end + 12)
+    at = end - size
+    moved = at - offset
+    while 0 <= at <= end - _ENTRY_SIZE and data.startswith(_ENTRY, at):
+        (flags,) = struct.unpack_from("<H", data, at + 8)
+        lengths = struct.unpack_from("<HHH", data, at + 28)
+        header = struct.unpack_from("<I", data, at + 42)[0] + moved
+        own = 0
+        if 0 <= header <= end - _HEADER_SIZE and data.startswith(_HEADER, header):
+            (own,) = struct.unpack_from("<H", data, header + 6)
+        yield flags, own
+        at += _ENTRY_SIZE + sum(lengths)
 
 
 def zip_flags(data: bytes) -> dict[str, bool]:
-    """Encrypted if any header says so; pseudo-encrypted if only the central directory does."""
-    local = _any_flagged(data, *_LOCAL_HEADER)
-    central = _any_flagged(data, *_CENTRAL_HEADER)
-    return {"is_encrypted": local or central, "is_pseudo": central and not local}
+    """Encrypted if any entry says so; pseudo-encrypted if only the directory does."""
+    words = list(_flag_words(data))
+    listed = any(flags & _ENCRYPTED_BITS for flags, _ in words)
+    own = any(flags & _ENCRYPTED_BITS for _, flags in words)
+    return {"is_encrypted": listed or own, "is_pseudo": listed and not own}
 
 
 @F.pandas_udf(

@@ -38,20 +38,17 @@ def _headed(documents: DataFrame, heads: list[bytes]) -> DataFrame:
 
 def signed_files(documents: DataFrame) -> DataFrame:
     """``(doc_id, path, content)``: every signature in turn, then plain content; hidden by length."""
-    files = _headed(documents, [*FILE_SIGNATURES.values(), b""])
-    suffixes = ["txt", "pdf", "png", "zip", "html"]
-    names = documents.select(
-        "doc_id",
-        F.concat(
-            F.col("source"),
-            F.lit("/"),
-            F.when(F.col("n_chars") % 2 == 0, F.lit(".")).otherwise(F.lit("")),
-            F.col("doc_id").cast("string"),
-            F.lit("."),
-            _picked(F.col("n_chars"), suffixes),
-        ).alias("path"),
+    head = _picked(F.col("doc_id"), [bytearray(h) for h in [*FILE_SIGNATURES.values(), b""]])
+    path = F.concat(
+        F.col("source"),
+        F.lit("/"),
+        F.when(F.col("n_chars") % 2 == 0, F.lit(".")).otherwise(F.lit("")),
+        F.col("doc_id").cast("string"),
+        F.lit("."),
+        _picked(F.col("n_chars"), ["txt", "pdf", "png", "zip", "html"]),
     )
-    return files.join(names, "doc_id")
+    content = F.concat(head, F.encode("text", "UTF-8"))
+    return documents.select("doc_id", content.alias("content"), path.alias("path"))
 
 
 def image_files(documents: DataFrame) -> DataFrame:
@@ -74,12 +71,24 @@ _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _DRAWING = "http://schemas.openxmlformats.org/drawingml/2006/main"
 _SLIDES = "http://schemas.openxmlformats.org/presentationml/2006/main"
+_RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def relations(targets: dict[str, str]) -> bytes:
+    """A relationship part: target and kind, numbered from 1."""
+    entries = "".join(
+        f'<Relationship Id="r{i}" Type="{_RELATIONS}/{kind}" Target="{target}"/>'
+        for i, (target, kind) in enumerate(targets.items(), 1)
+    )
+    return f'<Relationships xmlns="{_PACKAGE}">{entries}</Relationships>'.encode()
 
 
 def docx_bytes(lines: list[str]) -> bytes:
     runs = "".join(f"<w:p><w:r><w:t>{escape(l)}</w:t></w:r></w:p>" for l in lines)
     body = f'<w:document xmlns:w="{_WORD}"><w:body>{runs}</w:body></w:document>'
-    return _archive({"word/document.xml": body.encode()})
+    main = relations({"word/document.xml": "officeDocument"})
+    return _archive({"_rels/.rels": main, "word/document.xml": body.encode()})
 
 
 def xlsx_bytes(lines: list[str]) -> bytes:
@@ -93,7 +102,13 @@ def xlsx_bytes(lines: list[str]) -> bytes:
     )
     return _archive(
         {
-            "xl/workbook.xml": f'<workbook xmlns="{_SHEET}"/>'.encode(),
+            "_rels/.rels": relations({"xl/workbook.xml": "officeDocument"}),
+            "xl/_rels/workbook.xml.rels": relations(
+                {"worksheets/sheet1.xml": "worksheet", "sharedStrings.xml": "sharedStrings"}
+            ),
+            "xl/workbook.xml": (
+                f'<workbook xmlns="{_SHEET}" xmlns:r="{_RELATIONS}"><sheets><sheet r:id="r1"/></sheets></workbook>'
+            ).encode(),
             "xl/sharedStrings.xml": f'<sst xmlns="{_SHEET}">{shared}</sst>'.encode(),
             "xl/worksheets/sheet1.xml": (
                 f'<worksheet xmlns="{_SHEET}"><sheetData>{rows}</sheetData></worksheet>'.encode()
@@ -104,7 +119,16 @@ def xlsx_bytes(lines: list[str]) -> bytes:
 
 def pptx_bytes(lines: list[str]) -> bytes:
     """A slide per line."""
-    members = {"ppt/presentation.xml": f'<p:presentation xmlns:p="{_SLIDES}"/>'.encode()}
+    listed = "".join(f'<p:sldId r:id="r{i}"/>' for i in range(1, len(lines) + 1))
+    members = {
+        "_rels/.rels": relations({"ppt/presentation.xml": "officeDocument"}),
+        "ppt/_rels/presentation.xml.rels": relations(
+            {f"slides/slide{i}.xml": "slide" for i in range(1, len(lines) + 1)}
+        ),
+        "ppt/presentation.xml": (
+            f'<p:presentation xmlns:p="{_SLIDES}" xmlns:r="{_RELATIONS}">{listed}</p:presentation>'
+        ).encode(),
+    }
     for number, line in enumerate(lines, 1):
         members[f"ppt/slides/slide{number}.xml"] = (
             f'<p:sld xmlns:p="{_SLIDES}" xmlns:a="{_DRAWING}"><p:sp><p:txBody><a:p><a:r><a:t>'

@@ -28,7 +28,7 @@ from lineward.operators.report import report_text
 from lineward.sources.files import decode_text, list_files, read_files, read_visible_files
 from lineward.sources.office import read_office, zip_flags
 from lineward.sources.tables import read_whole_texts
-from registry.derived import docx_bytes, pptx_bytes, xlsx_bytes
+from registry.derived import docx_bytes, pptx_bytes, relations, xlsx_bytes
 
 UTF8_CHINESE = "第一行\n本文件属于机密资料".encode()
 
@@ -246,7 +246,15 @@ def test_office_details():
         f'<worksheet xmlns="{sheet}"><sheetData><row><c><v>1</v></c><c t="inlineStr"><is><r><t>a</t></r>'
         "<r><t>b</t></r></is></c></row><row><c/></row></sheetData></worksheet>"
     )
-    without_shared = archive({"xl/workbook.xml": b"", "xl/worksheets/sheet1.xml": body.encode()})
+    rid = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    without_shared = archive(
+        {
+            "_rels/.rels": relations({"xl/workbook.xml": "officeDocument"}),
+            "xl/_rels/workbook.xml.rels": relations({"/xl/worksheets/sheet1.xml": "worksheet"}),
+            "xl/workbook.xml": f'<workbook xmlns="{sheet}" {rid}><sheet r:id="r1"/></workbook>'.encode(),
+            "xl/worksheets/sheet1.xml": body.encode(),
+        }
+    )
     assert read_office("xlsx", without_shared) == "1\tab"
     slides = pptx_bytes([f"s{i}" for i in range(1, 12)])
     assert read_office("pptx", slides).split("\n")[-2:] == ["===== Slide 11 =====", "s11"]
@@ -257,6 +265,16 @@ def test_office_details():
         "</p:sp></p:grpSp><a:tbl><a:tc><a:txBody><a:p><a:r><a:t>cell</a:t></a:r></a:p></a:txBody></a:tc></a:tbl></p:sld>"
     )
     notes = f'<p:notes xmlns:p="{p}" xmlns:a="{a}"><p:sp><p:txBody><a:p><a:r><a:t>note</a:t></a:r></a:p></p:txBody></p:sp></p:notes>'
-    deck = archive({"ppt/slides/slide1.xml": slide.encode(), "ppt/notesSlides/notesSlide1.xml": notes.encode(), "ppt/slides/slide2.xml": b"<broken"})
+    deck = archive(
+        {
+            "_rels/.rels": relations({"ppt/presentation.xml": "officeDocument"}),
+            "ppt/_rels/presentation.xml.rels": relations({"slides/b.xml": "slide", "slides/a.xml": "slide"}),
+            "ppt/presentation.xml": f'<p:presentation xmlns:p="{p}" {rid}><p:sldId r:id="r1"/><p:sldId r:id="r2"/></p:presentation>'.encode(),
+            "ppt/slides/b.xml": slide.encode(),
+            "ppt/slides/_rels/b.xml.rels": relations({"../notesSlides/n.xml": "notesSlide"}),
+            "ppt/notesSlides/n.xml": notes.encode(),
+            "ppt/slides/a.xml": b"<broken",
+        }
+    )
     assert read_office("pptx", deck) == "===== Slide 1 =====\ntop\nf\nin\nf\ncell\nnote"
     assert read_office("docx", b"no zip") == ""
