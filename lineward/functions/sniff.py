@@ -10,8 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HEAD_BYTES = 512
-
 # Leading bytes by file type, tried in this order.
 FILE_SIGNATURES = {
     "pdf": b"%PDF",
@@ -76,12 +74,12 @@ def _latin1(content: Column, length: int) -> Column:
     return F.decode(F.substring(content, 1, length), "ISO-8859-1")
 
 
-def is_text(content: Column, sample: int = 2000) -> Column:
-    """No zero byte early on and at least 70 % printable ASCII; empty content is not text."""
-    head = _latin1(content, sample)
-    readable = F.length(F.regexp_replace(head, r"[^\x20-\x7e\t\n\r]", ""))
-    zero_free = ~F.contains(_latin1(content, min(sample, 1000)), F.lit("\x00"))
-    return (F.octet_length(content) > 0) & zero_free & (readable * 10 >= F.length(head) * 7)
+def is_text(content: Column) -> Column:
+    """No zero byte and at least 70 % printable ASCII in the whole content; empty content is not text."""
+    letters = F.decode(content, "ISO-8859-1")  # one character per byte
+    readable = F.length(F.regexp_replace(letters, r"[^\x20-\x7e\t\n\r]", ""))
+    zero_free = ~F.contains(letters, F.lit("\x00"))
+    return (F.octet_length(content) > 0) & zero_free & (readable * 10 >= F.octet_length(content) * 7)
 
 
 @F.pandas_udf(T.StringType())
@@ -108,7 +106,7 @@ def file_type(content: Column) -> Column:
         office_kind(content),
         F.when(F.octet_length(content) == 0, F.lit("empty")),
         _first_signature(content, FILE_SIGNATURES.items()),
-        F.when(is_text(content, HEAD_BYTES), F.lit("text")),
+        F.when(is_text(content), F.lit("text")),
         F.lit("binary"),
     )
 

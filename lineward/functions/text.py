@@ -14,7 +14,7 @@ STRIP_CHARS = (
     "    　"
 )
 
-# Content of a table hit and of a report excerpt.
+# Lengths of a shortened cell and of an excerpt, for display; hits and reports are whole.
 TABLE_CONTENT_CHARS = 200
 EXCERPT_CHARS = 80
 

@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from lineward.config import ScanConfig
 from lineward.functions.match import hits, searched, text_may_hit
-from lineward.functions.text import table_content
 from lineward.sources.tables import Table, text_columns
 
 SAMPLES_PER_FIELD = 3
@@ -23,22 +22,29 @@ def row_key(table: Table) -> Column:
     if table.key:
         return F.col(table.key).cast("string")
     plain = [
-        f.name
+        F.col(f.name).cast("string").alias(f.name)
         for f in table.data.schema.fields
         if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
     ]
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plain]))
+    # Written as JSON, values cannot run into each other and null differs from an empty value.
+    return F.md5(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}))
 
 
 def table_cells(table: Table) -> DataFrame | None:
-    """``(table, row_pk, column, value)`` of all non-empty text cells; None without text columns."""
+    """``(table, row_no, row_pk, column, value)`` of all non-empty text cells; None without text columns.
+
+    ``row_no`` tells rows apart whose keys are equal. It is only good within one written result.
+    """
     columns = text_columns(table.data)
     if not columns:
         return None
     rows = table.data.select(
-        F.lit(table.name).alias("table"), row_key(table).alias("row_pk"), *columns
+        F.lit(table.name).alias("table"),
+        F.monotonically_increasing_id().alias("row_no"),
+        row_key(table).alias("row_pk"),
+        *columns,
     )
-    cells = rows.unpivot(["table", "row_pk"], columns, "column", "value")
+    cells = rows.unpivot(["table", "row_no", "row_pk"], columns, "column", "value")
     return cells.where(F.col("value") != "")
 
 
@@ -46,8 +52,8 @@ def _united(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_scan(tables: Sequence[Table], config: ScanConfig) -> DataFrame:
-    """``(table, row_pk, column, keyword, content)`` for every hit in every text cell.
+def table_hits(tables: Sequence[Table], config: ScanConfig) -> DataFrame:
+    """``(table, row_no, row_pk, column, keyword, content)`` for every hit in every text cell.
 
     Most cells are short and hit nothing: a filter in generated code drops those before the hits
     of the others are put into arrays.
@@ -56,11 +62,14 @@ def table_scan(tables: Sequence[Table], config: ScanConfig) -> DataFrame:
     if config.keyword_list:
         cells = cells.where(text_may_hit(searched(F.col("value"), config), config))
     found = cells.select(
-        "table", "row_pk", "column", F.inline(hits(F.col("value"), config))
-    )
-    return found.select(
-        "table", "row_pk", "column", "keyword", table_content(F.col("content")).alias("content")
+        "table", "row_no", "row_pk", "column", F.inline(hits(F.col("value"), config))
     )
+    return found.select("table", "row_no", "row_pk", "column", "keyword", "content")
+
+
+def table_scan(tables: Sequence[Table], config: ScanConfig) -> DataFrame:
+    """``(table, row_pk, column, keyword, content)`` for every hit in every text cell."""
+    return table_hits(tables, config).drop("row_no")
 
 
 def table_rows(tables: Sequence[Table]) -> DataFrame:
@@ -109,8 +118,11 @@ def field_samples(found: DataFrame, samples: int = SAMPLES_PER_FIELD) -> DataFra
 
 
 def field_stats(found: DataFrame, tables: Sequence[Table]) -> DataFrame:
-    """Per sensitive field: ``(table, total_rows, sensitive_rows, column, samples)``."""
-    rows = found.groupBy("table").agg(F.countDistinct("row_pk").alias("sensitive_rows"))
+    """Per sensitive field: ``(table, total_rows, sensitive_rows, column, samples)``.
+
+    ``found`` is a written result of ``table_hits``. Rows are counted, not their keys.
+    """
+    rows = found.groupBy("table").agg(F.countDistinct("row_no").alias("sensitive_rows"))
     samples = (
         field_samples(found)
         .groupBy("table", "column")

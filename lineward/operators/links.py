@@ -13,12 +13,8 @@ from lineward.functions.urls import (
     netloc,
     same_site,
 )
-from lineward.operators.skew import salted_lookup
 from lineward.session import cut
 
-# Fixed value: a site counts as crawled once this many addresses are known.
-MAX_PAGES = 500
-
 # Levels of a search that are kept as separate tables before they are merged into one.
 _MERGE_EVERY = 10
 
@@ -48,15 +44,13 @@ def site_seeds(pages: DataFrame) -> DataFrame:
     return addresses.groupBy(netloc(F.col("url")).alias("site")).agg(F.min("url").alias("url"))
 
 
-def reachable(
-    pages: DataFrame, seeds: DataFrame, max_pages: int | None = MAX_PAGES
-) -> DataFrame:
+def reachable(pages: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(url, depth)`` of every address found from the seeds by breadth-first search.
 
     Addresses on the skip list are found but not followed, as are addresses without a stored page.
-    A site stops being followed once ``max_pages`` of its addresses are known; what the last level
-    found is kept whole. All sites are searched side by side, one join per level, and each level is
-    written to the checkpoint folder, so a lost executor does not repeat earlier levels.
+    All sites are searched side by side, one join per level, and each level is written to the
+    checkpoint folder, so a lost executor does not repeat earlier levels. Nothing is left out; who
+    wants the first levels or small sites only filters by ``depth`` or by ``site_sizes``.
     """
     edges = cut(
         site_links(pages)
@@ -74,12 +68,6 @@ def reachable(
             visited = cut(visited)
             levels = [visited]
         follow = level.where(~F.col("skipped"))
-        if max_pages is not None:
-            known = visited.groupBy(netloc(F.col("url")).alias("site")).count()
-            full = known.where(F.col("count") >= max_pages).select("site")
-            placed = follow.withColumn("site", netloc(F.col("url")))
-            # One site may hold most of the addresses.
-            follow = salted_lookup(placed, full, "site", ["url"], "left_anti")
         found = edges.join(follow.select("url"), "url").select("link", "skipped").distinct()
         depth += 1
         new = found.join(visited.select(F.col("url").alias("link")), "link", "left_anti")
@@ -88,6 +76,12 @@ def reachable(
     return _united(levels).select("url", "depth")
 
 
+def site_sizes(found: DataFrame) -> DataFrame:
+    """``(site, depth, addresses)`` of what ``reachable`` found."""
+    site = netloc(F.col("url")).alias("site")
+    return found.groupBy(site, "depth").agg(F.count("*").alias("addresses"))
+
+
 def _united(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lineward.functions.text import excerpt, md_cell, strip
+from lineward.functions.text import md_cell, strip
 from lineward.operators.numbering import numbered
 from lineward.operators.summary import (
     SAFE_VERDICT,
@@ -435,7 +435,7 @@ def combined_report(
                     F.lit("”，匹配内容“"), h["matched_text"], F.lit("”"),
                 )
             ),
-            _maybe(h["content"] != "", _texts(F.concat(F.lit("          原文："), excerpt(h["content"])))),
+            _maybe(h["content"] != "", _texts(F.concat(F.lit("          原文："), h["content"]))),
         )
 
     for kind, (results, name) in targets.items():

@@ -93,14 +93,20 @@ def latest_entries(store: DataFrame) -> DataFrame:
 
 
 def known_results(store: DataFrame, kind: str, as_of: datetime | None = None) -> DataFrame:
-    """What the store knows about one kind: ``(fp, known_hits)``, each fingerprint once.
+    """What the store knows about one kind: ``(fp, known_hits, known_note, known_type)``, each
+    fingerprint once.
 
     The filter on ``kind`` selects one partition folder of the store.
     """
     entries = store.where(F.col("kind") == kind)
     if as_of is not None:
         entries = live_entries(entries, as_of)
-    return latest_entries(entries).select("fp", F.col("hits").alias("known_hits"))
+    return latest_entries(entries).select(
+        "fp",
+        F.col("hits").alias("known_hits"),
+        F.col("note").alias("known_note"),
+        F.col("file_type").alias("known_type"),
+    )
 
 
 def reuse_results(
@@ -180,7 +186,9 @@ def without_kind(store: DataFrame, kind: str | None = None) -> DataFrame:
 def clear_store(spark: SparkSession, path: str, kind: str | None = None) -> None:
     """Empty a written store, or one kind's partition of it, in place."""
     nothing = empty_store(spark)
+    # Stated, since under dynamic overwriting a session would replace no partition at all.
     if kind is None:
-        nothing.write.mode("overwrite").partitionBy("kind").parquet(path)
+        whole = nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        whole.partitionBy("kind").parquet(path)
     else:
         nothing.drop("kind").write.mode("overwrite").parquet(f"{path}/kind={kind}")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lineward.config import ScanConfig
-from lineward.operators.database import field_stats, table_scan, table_stats
+from lineward.operators.database import field_stats, table_hits, table_stats
 from lineward.operators.report import table_report
 from lineward.session import cut
 from lineward.sources.tables import Table
@@ -23,8 +23,8 @@ class DatabaseScan:
 
 def scan_database(tables: Sequence[Table], config: ScanConfig) -> DatabaseScan:
     """Scan once; the hits are written to the checkpoint folder and all statistics read them there."""
-    found = cut(table_scan(tables, config))
-    return DatabaseScan(found, table_stats(found, tables), field_stats(found, tables))
+    found = cut(table_hits(tables, config))
+    return DatabaseScan(found.drop("row_no"), table_stats(found, tables), field_stats(found, tables))
 
 
 def database_report(

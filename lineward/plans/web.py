@@ -19,7 +19,8 @@ def scan_pages(pages: DataFrame, config: ScanConfig) -> DataFrame:
     """``(url, hits, note)`` for every distinct address.
 
     Pages are scanned where they are read, and versions of an address are merged afterwards: that
-    way only hits go through the shuffle, never page sources.
+    way only hits go through the shuffle, never page sources. An address has the hits of all its
+    distinct versions, version by version, and a note only if all of them have it.
     """
     texts = with_html_text(pages.select("url", "html"), "html", "text")
     scanned = texts.select(
@@ -28,12 +29,12 @@ def scan_pages(pages: DataFrame, config: ScanConfig) -> DataFrame:
         hits(F.col("text"), config).alias("hits"),
         page_note(F.col("text")).alias("note"),
     )
-    return _one_version(scanned, "version", "hits", "note")
-
-
-def _one_version(results: DataFrame, version: str, *columns: str) -> DataFrame:
-    kept = F.min_by(F.struct(*columns), version).alias("kept")
-    return results.groupBy("url").agg(kept).select("url", "kept.*")
+    versions = F.array_sort(F.collect_set(F.struct("version", "hits", "note"))).alias("versions")
+    return scanned.groupBy("url").agg(versions).select(
+        "url",
+        F.flatten("versions.hits").alias("hits"),
+        F.array_min("versions.note").alias("note"),
+    )
 
 
 def scan_new_pages(
@@ -41,6 +42,8 @@ def scan_new_pages(
 ) -> DataFrame:
     """``(url, fp, hits, note, reused)``: stored results under today's addresses, the rest scanned.
 
+    One row for each address and distinct content of it.
+
     The fingerprint covers the page source, so an unchanged page is not even reduced to text.
     """
     rows = with_fingerprint(pages.select("url", "html"), "html", config)
@@ -55,10 +58,11 @@ def scan_new_pages(
         F.when(reused, F.col("known_hits"))
         .otherwise(hits(F.col("text"), config))
         .alias("hits"),
-        F.when(reused, F.lit("")).otherwise(page_note(F.col("text"))).alias("note"),
+        F.when(reused, F.col("known_note")).otherwise(page_note(F.col("text"))).alias("note"),
         reused.alias("reused"),
     )
-    return _one_version(results, "fp", "fp", "hits", "note", "reused")
+    one = F.any_value(F.struct("hits", "note", "reused")).alias("one")
+    return results.groupBy("url", "fp").agg(one).select("url", "fp", "one.*")
 
 
 def page_report(results: DataFrame, checked_at: str, fmt: str = "md") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,10 +45,12 @@ def _lister(folder: str):
         filesystem, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for parent in batch.column("path").to_pylist():
-                try:
-                    found = filesystem.get_file_info(pafs.FileSelector(parent))
-                except OSError:
-                    continue
+                # A folder that cannot be listed fails the task: a retry may help, silence would not.
+                found = filesystem.get_file_info(pafs.FileSelector(parent))
+                if isinstance(filesystem, pafs.LocalFileSystem):  # links to folders are not followed
+                    found = [
+                        f for f in found if f.type != pafs.FileType.Directory or not os.path.islink(f.path)
+                    ]
                 columns = {
                     "path": [f.path for f in found],
                     "is_folder": [f.type == pafs.FileType.Directory for f in found],

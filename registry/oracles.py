@@ -112,16 +112,13 @@ PAGE_TEXTS = f"(SELECT page_id, url, {_page_text('html')} AS text FROM pages)"
 # --- file bytes ----------------------------------------------------------------------------------
 
 
-def _readable(text: str, length: int) -> str:
-    """Whether the first bytes of a text are readable: no zero byte, 70 % printable."""
-    pairs = f"regexp_extract_all(substr(hex(encode({text})), 1, {2 * length}), '..')"
+def _readable(text: str) -> str:
+    """Whether a text's bytes are readable: no zero byte, 70 % printable."""
+    pairs = f"regexp_extract_all(hex(encode({text})), '..')"
     good = (
         f"len(list_filter({pairs}, lambda b: (b >= '20' AND b <= '7E') OR b IN ('09', '0A', '0D')))"
     )
-    zeros = (
-        f"len(list_filter(regexp_extract_all(substr(hex(encode({text})), 1, "
-        f"{2 * min(length, 1000)}), '..'), lambda b: b = '00'))"
-    )
+    zeros = f"len(list_filter({pairs}, lambda b: b = '00'))"
     return f"({text} <> '' AND {zeros} = 0 AND {good} * 10 >= len({pairs}) * 7)"
 
 
@@ -129,7 +126,7 @@ _TYPES = list(FILE_SIGNATURES)
 FILE_TYPE = (
     f"CASE WHEN doc_id % {len(_TYPES) + 1} < {len(_TYPES)} "
     f"THEN ([{', '.join(map(q, _TYPES))}])[(doc_id % {len(_TYPES) + 1} + 1)::INT] "
-    f"WHEN text = '' THEN 'empty' WHEN {_readable('text', 512)} THEN 'text' ELSE 'binary' END"
+    f"WHEN text = '' THEN 'empty' WHEN {_readable('text')} THEN 'text' ELSE 'binary' END"
 )
 _SUFFIX = "(['txt', 'pdf', 'png', 'zip', 'html'])[(n_chars % 5 + 1)::INT]"
 _DOT = "CASE WHEN n_chars % 2 = 0 THEN '.' ELSE '' END"
@@ -156,24 +153,22 @@ _AUDIO = [*AUDIO_SIGNATURES.values(), "m4a", None]
 def _cells() -> str:
     return " UNION ALL ".join(
         f"SELECT {q(t)} AS \"table\", CAST({TABLE_KEYS[t]} AS VARCHAR) AS row_pk, "
-        f"{q(c)} AS \"column\", {c} AS value FROM {t} WHERE {c} <> ''"
+        f"{q(c)} AS \"column\", {c} AS value, row_no FROM "
+        f"(SELECT *, row_number() OVER () AS row_no FROM {t}) WHERE {c} <> ''"
         for t, columns in TEXT_COLUMNS.items()
         for c in columns
     )
 
 
-def _table_hits(config: ScanConfig) -> str:
-    keys = '"table", row_pk, "column"'
-    return (
-        f"SELECT {keys}, keyword, left(content, 200) AS content "
-        f"FROM ({hit_rows(f'({_cells()})', keys, 'value', config)})"
-    )
+def _table_hits(config: ScanConfig, more: str = "") -> str:
+    keys = '"table", row_pk, "column"' + more
+    return f"SELECT {keys}, keyword, content FROM ({hit_rows(f'({_cells()})', keys, 'value', config)})"
 
 
 TABLE_ROWS = " UNION ALL ".join(
     f"SELECT {q(t)} AS \"table\", count(*) AS total_rows FROM {t}" for t in TABLE_KEYS
 )
-_HITS = f"h AS ({_table_hits(TABLE_FUZZY)}), r AS ({TABLE_ROWS})"
+_HITS = f"h AS ({_table_hits(TABLE_FUZZY, ', row_no')}), r AS ({TABLE_ROWS})"
 _STATS = (
     'SELECT r."table", coalesce(n, 0) AS hits, coalesce(n, 0) > 0 AS affected FROM r LEFT JOIN '
     '(SELECT "table", count(*) AS n FROM h GROUP BY ALL) USING ("table")'
@@ -186,7 +181,7 @@ _FIELDS = (
     'SELECT "table", total_rows, sensitive_rows, "column", samples FROM '
     '(SELECT "table", "column", string_agg(content, \'；\' ORDER BY place) AS samples '
     f"FROM ({_SAMPLES}) GROUP BY ALL) JOIN "
-    '(SELECT "table", count(DISTINCT row_pk) AS sensitive_rows FROM h GROUP BY ALL) '
+    '(SELECT "table", count(DISTINCT row_no) AS sensitive_rows FROM h GROUP BY ALL) '
     'USING ("table") JOIN r USING ("table")'
 )
 
@@ -226,22 +221,11 @@ def _reachable(seeds: str) -> str:
         f"WITH RECURSIVE e AS ({EDGES}), s AS ({seeds}), walk(url, skipped, depth) AS ("
         "SELECT url, false, 0 FROM s UNION "
         "SELECT e.link, e.skipped, w.depth + 1 FROM walk w JOIN e ON e.url = w.url "
-        "WHERE NOT w.skipped AND w.depth < 20) "
+        "WHERE NOT w.skipped AND w.depth < (SELECT count(DISTINCT url) FROM e)) "
         "SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url"
     )
 
 
-# No address behind a seed has a stored page, so the search ends after the first level of links and
-# the budget only decides which seeds are followed.
-REACHABLE_BUDGET = (
-    f"WITH e AS ({EDGES}), s AS ({ALL_SEEDS}), "
-    f"full_sites AS (SELECT {_netloc('url')} AS site FROM s GROUP BY 1 HAVING count(*) >= 3), "
-    f"f AS (SELECT url FROM s WHERE {_netloc('url')} NOT IN (SELECT site FROM full_sites)) "
-    "SELECT url, CAST(0 AS BIGINT) AS depth FROM s UNION ALL "
-    "SELECT DISTINCT link, CAST(1 AS BIGINT) FROM e JOIN f USING (url) "
-    "WHERE link NOT IN (SELECT url FROM s)"
-)
-
 # --- result store --------------------------------------------------------------------------------
 
 
@@ -452,7 +436,7 @@ OVERVIEW = (
             _kind_total("file", "documents", "doc_id", "text", TEXT_FUZZY),
             _kind_total("image", "benchmark", "item_id", "text", PAGE_FUZZY),
             _kind_total("audio", "conversations", "conv_id, turn", "text", PAGE_FUZZY),
-            'SELECT \'db\', 1, (SELECT count(*) FROM (SELECT DISTINCT "table", row_pk FROM h))',
+            'SELECT \'db\', 1, (SELECT count(*) FROM (SELECT DISTINCT "table", row_no FROM h))',
         ]
     )
     + ") SELECT kind, sources, hits FROM o UNION ALL "
@@ -464,10 +448,7 @@ def _quoted_targets(section: int, source: str, key: str, config: ScanConfig) ->
     first = (
         "'        → 第 ' || line || ' 行：关键词“' || keyword || '”，匹配内容“' || matched_text || '”'"
     )
-    second = (
-        "'          原文：' || CASE WHEN length(content) > 80 THEN left(content, 80) || '...' "
-        "ELSE content END"
-    )
+    second = "'          原文：' || content"
     quoted = f"CASE WHEN content <> '' THEN [{first}, {second}] ELSE [{first}] END"
     listed = (
         "list_concat(['    ' || target_no || '. 来源：' || target], CASE WHEN n > 0 THEN "
@@ -499,7 +480,7 @@ _COMBINED_TOTALS = (
     f"(SELECT count(*) FROM ({hit_rows(PAGE_TEXTS, 'url', 'text', PAGE_FUZZY)})) AS web_hits, "
     "(SELECT count(*) FROM conversations) AS audio_n, "
     f"(SELECT count(*) FROM ({hit_rows(_TURNS, 'path', 'text', PAGE_FUZZY)})) AS audio_hits, "
-    '1 AS db_n, (SELECT count(*) FROM (SELECT DISTINCT "table", row_pk FROM h)) AS db_hits)'
+    '1 AS db_n, (SELECT count(*) FROM (SELECT DISTINCT "table", row_no FROM h)) AS db_hits)'
 )
 _FIELD_LINE = "'          字段 ''' || \"column\" || ''' 包含涉密文本（例如：' || samples || '）'"
 _TABLE_LINES = (
@@ -559,7 +540,7 @@ _NEEDS = ", ".join(
 _WORDS = (
     "SELECT DISTINCT keyword FROM (SELECT unnest(string_split("
     "regexp_replace(text, '[^\\p{L}]+', ' ', 'g'), ' ')) AS keyword FROM benchmark) "
-    "WHERE length(keyword) >= 7"
+    "WHERE keyword <> ''"
 )
 _PART_WORDS = (
     "SELECT keyword, min(p_partkey) * 100 + length(keyword) AS ord FROM "
@@ -652,7 +633,7 @@ ORACLES = {
     "keyword_table_short": _best_exact(_PART_WORDS),
     "keyword_table_fuzzy": _KEYWORD_FUZZY,
     "file_type": f"SELECT doc_id, {FILE_TYPE} AS file_type FROM documents",
-    "is_text": f"SELECT doc_id, {_readable('text', 2000)} AS is_text FROM documents",
+    "is_text": f"SELECT doc_id, {_readable('text')} AS is_text FROM documents",
     "ext_mismatch": f"SELECT doc_id, {MISMATCH} AS ext_mismatch FROM documents",
     "image_type": (
         f"SELECT doc_id, coalesce(image_type, 'unknown') AS image_type, image_type IS NOT NULL AS is_image "
@@ -677,7 +658,8 @@ ORACLES = {
     "text_columns": f'SELECT "table", "column", count(*) AS cells FROM ({_cells()}) GROUP BY ALL',
     "row_key": (
         "SELECT 'part' AS \"table\", CAST(p_partkey AS VARCHAR) AS row_pk FROM part UNION ALL "
-        "SELECT 'nation', md5(n_nationkey || '|' || n_name || '|' || n_regionkey) FROM nation"
+        "SELECT 'nation', md5(CAST(json_object('n_nationkey', CAST(n_nationkey AS VARCHAR), 'n_name', n_name, "
+        "'n_regionkey', CAST(n_regionkey AS VARCHAR)) AS VARCHAR)) FROM nation"
     ),
     "table_stats": f"WITH {_HITS} {_STATS}",
     "scan_totals": (
@@ -700,7 +682,9 @@ ORACLES = {
         f"SELECT DISTINCT link, skipped FROM ({SITE_LINKS}) WHERE link NOT IN ({ALL_SEEDS})"
     ),
     "reachable": _reachable(SEEDS),
-    "reachable_budget": REACHABLE_BUDGET,
+    "reachable_sizes": (
+        f"SELECT {_netloc('url')} AS site, depth, count(*) AS addresses FROM ({_reachable(ALL_SEEDS)}) GROUP BY ALL"
+    ),
     "fingerprint": (
         f"SELECT doc_id, {_fp(TEXT_FUZZY)} AS fp, 'file:' || {_fp(TEXT_EXACT)} AS file_key, "
         f"{_fp(TEXT_FUZZY, 'eng')} AS ocr_fp FROM documents"
@@ -730,7 +714,9 @@ ORACLES = {
         "WHERE event_type <> 'click' GROUP BY 1"
     ),
     "page_store": (
-        f"SELECT s.*, starts_with(url, 'https:') AS reused FROM ({summed(PAGE_TEXTS, 'url', 'text', PAGE_FUZZY)}) s"
+        "SELECT s.*, CASE WHEN p.text = '' THEN '无法读取页面内容' ELSE '' END AS note, "
+        f"starts_with(url, 'https:') AS reused FROM ({summed(PAGE_TEXTS, 'url', 'text', PAGE_FUZZY)}) s "
+        f"JOIN (SELECT url, text FROM {PAGE_TEXTS}) p USING (url)"
     ),
     "source_summary": (
         "SELECT (SELECT count(*) FROM documents) AS targets, count(DISTINCT doc_id) AS hit_targets, "

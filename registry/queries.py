@@ -251,9 +251,8 @@ def parse_keywords(spark, folder):
 
 def full_check_query(spark, folder):
     checked = full_check(_documents(spark, folder), ["doc_id"], "text", TEXT_EXACT)
-    return _summed(checked, "doc_id").join(
-        checked.select("doc_id", F.col("total_danger_lines").cast("bigint")), "doc_id"
-    )
+    lines = F.col("total_danger_lines").cast("bigint").alias("total_danger_lines")
+    return _summed(checked.select("doc_id", "hits", lines), "doc_id", "total_danger_lines")
 
 
 def max_insert_sweep(spark, folder):
@@ -266,7 +265,7 @@ def _benchmark_words(spark, folder):
     words = read(spark, folder, "benchmark").select(
         F.explode(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " ")).alias("keyword")
     )
-    kept = words.where(F.length("keyword") >= 7).distinct()
+    kept = words.where(F.col("keyword") != "").distinct()
     return kept.select(F.xxhash64("keyword").alias("ord"), "keyword")
 
 
@@ -459,16 +458,16 @@ def frontier(spark, folder):
 
 def reachable(spark, folder):
     pages = read(spark, folder, "pages")
-    found = links.reachable(pages, links.site_seeds(pages), max_pages=None)
+    found = links.reachable(pages, links.site_seeds(pages))
     return found.select("url", F.col("depth").cast("bigint"))
 
 
-def reachable_budget(spark, folder):
-    """With a budget of three addresses per site, the seed level included."""
+def reachable_sizes(spark, folder):
+    """How many addresses each site has at each depth, from all stored pages."""
     pages = read(spark, folder, "pages")
     seeds = pages.select(canonical_url(F.col("url")).alias("url"))
-    found = links.reachable(pages, seeds, max_pages=3)
-    return found.select("url", F.col("depth").cast("bigint"))
+    found = links.site_sizes(links.reachable(pages, seeds))
+    return found.select("site", F.col("depth").cast("bigint"), "addresses")
 
 
 # --- result store --------------------------------------------------------------------------------
@@ -555,7 +554,7 @@ def page_store(spark, folder):
         scan_pages(secure, PAGE_FUZZY), "url"
     )
     store = store_entries(first, "web", STORE_SCANNED_AT)
-    return _summed(scan_new_pages(pages, store, PAGE_FUZZY, STORE_AS_OF), "url", "reused")
+    return _summed(scan_new_pages(pages, store, PAGE_FUZZY, STORE_AS_OF), "url", "note", "reused")
 
 
 # --- roll-ups ------------------------------------------------------------------------------------
@@ -734,7 +733,7 @@ QUERIES = {
     "skip_ext": skip_ext,
     "frontier": frontier,
     "reachable": reachable,
-    "reachable_budget": reachable_budget,
+    "reachable_sizes": reachable_sizes,
     "fingerprint": fingerprint_query,
     "reuse_results": reuse_results_query,
     "pending": pending_query,

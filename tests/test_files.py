@@ -172,7 +172,7 @@ def test_text_or_binary(spark):
         b"plain\tascii\r\n": True,
         b"": False,
         b"zero\x00byte": False,
-        b"a" * 1200 + b"\x00": True,
+        b"a" * 1200 + b"\x00": False,
         b"a" * 70 + b"\x80" * 30: True,
         b"a" * 69 + b"\x80" * 31: False,
         UTF8_CHINESE: False,

@@ -1,6 +1,13 @@
 import pytest
 
-from lineward.operators.links import extract_links, frontier, reachable, site_links, site_seeds
+from lineward.operators.links import (
+    extract_links,
+    frontier,
+    reachable,
+    site_links,
+    site_seeds,
+    site_sizes,
+)
 
 SITE = {
     "http://s.com/": '<a href="about.html">a</a><a href="/docs">d</a><a href="http://x.org/">x</a>',
@@ -38,16 +45,11 @@ def test_search_goes_level_by_level(spark, pages):
     }
 
 
-def test_budget_stops_a_site_and_keeps_what_was_found(spark, pages):
-    start = seeds(spark, "http://s.com", "http://t.com/a")
-    got = {r.url: r.depth for r in reachable(pages, start, max_pages=3).collect()}
-    assert got == {
-        "http://s.com": 0,
-        "http://s.com/about.html": 1,
-        "http://s.com/docs": 1,
-        "http://t.com/a": 0,
-        "http://t.com/b": 1,
-    }
+def test_sizes_of_sites(spark, pages):
+    found = reachable(pages, seeds(spark, "http://s.com", "http://t.com/a"))
+    got = {(r.site, r.depth): r.addresses for r in site_sizes(found).collect()}
+    assert got["s.com", 0] == 1 and got["s.com", 1] == 2 and got["s.com", 2] == 3
+    assert got["t.com", 0] == got["t.com", 1] == 1
 
 
 def test_frontier_is_what_is_new(spark, pages):
@@ -73,5 +75,5 @@ def test_seeds(pages):
 def test_many_levels_merge(spark):
     chain = {f"http://c.com/{i}": f'<a href="/{i + 1}">n</a>' for i in range(14)}
     df = spark.createDataFrame(list(chain.items()), "url string, html string")
-    got = {r.url: r.depth for r in reachable(df, seeds(spark, "http://c.com/0"), None).collect()}
+    got = {r.url: r.depth for r in reachable(df, seeds(spark, "http://c.com/0")).collect()}
     assert got == {f"http://c.com/{i}": i for i in range(15)}

@@ -157,7 +157,7 @@ def test_combined_report(spark):
         "  检查类型：web, db\n  检查目标总数：3\n  发现涉密信息条目总数：6\n",
         "  │ 网页" + " " * 19 + " │ 2         │ 1         │",
         "  ── 🌐 网页 ──\n\n    1. 来源：http://a\n      发现 1 处涉密信息：\n"
-        "        → 第 10 行：关键词“机密”，匹配内容“机密”\n          原文：" + "长" * 80 + "...\n\n"
+        "        → 第 10 行：关键词“机密”，匹配内容“机密”\n          原文：" + "长" * 81 + "\n\n"
         "    2. 来源：http://b\n      无涉密内容\n\n  ── 🗄️ 数据库 ──\n\n    1. 来源：mysql://db\n      共检查 2 个表：\n",
         "        • 表 users：总计 1000 行，涉密 5 行\n          字段 'note' 包含涉密文本（例如：机密1；机密2）\n\n【三、结论与建议】\n"
         "   ⚠️ 共发现 6 处涉密信息，请立即核查并处理。\n   建议：\n",
