@@ -43,6 +43,27 @@ def scan_text(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig)
     return flat_hits(scan_targets(df, keys, text, config), keys)
 
 
+def scan_all(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig) -> DataFrame:
+    """``(keys..., hits)`` with every keyword of every line, not only the first found on it.
+
+    Each keyword is looked for on its own, so none hides another; hits are in the order of lines, then
+    of keywords.
+    """
+    each = [
+        F.transform(
+            hits(F.col(text), ScanConfig((keyword,), config.algorithm, config.max_insert)),
+            lambda h, place=place: F.struct(
+                h["line"].alias("line"), F.lit(place).alias("place"), h.alias("hit")
+            ),
+        )
+        for place, keyword in enumerate(config.keyword_list)
+    ]
+    if not each:
+        return scan_targets(df, keys, text, config)
+    ordered = F.array_sort(F.concat(*each))
+    return df.select(*keys, F.transform(ordered, lambda o: o["hit"]).alias("hits"))
+
+
 def full_check(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig) -> DataFrame:
     """Hits of each target and the number of distinct lines they are on."""
     return scan_targets(df, keys, text, config).select(

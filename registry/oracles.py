@@ -583,6 +583,14 @@ _OFFICE_DOCS = (
 
 _PAGE_FILES = f"(SELECT url, {_fp(PAGE_FUZZY).replace('text', 'html')} AS fp, text FROM pages JOIN {PAGE_TEXTS} USING (url))"
 
+def _every_keyword(config: ScanConfig) -> str:
+    """Each keyword on its own over the documents."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({hit_rows('documents', 'doc_id', 'text', ScanConfig((k,), config.algorithm, config.max_insert))})"
+        for k in config.keyword_list
+    )
+
+
 ORACLES = {
     "src_text_table": summed("benchmark", "item_id", "text", PAGE_EXACT),
     "src_pages": "SELECT url, any_value(length(html)) AS n_chars FROM pages GROUP BY url",
@@ -624,6 +632,8 @@ ORACLES = {
         "|| ' , ' || p_brand, ','), lambda k: trim(k)), lambda k: k <> '') AS ks FROM part)"
     ),
     "full_check": summed("documents", "doc_id", "text", TEXT_EXACT, "coalesce(h.n, 0) AS total_danger_lines"),
+    "scan_all_fuzzy": _every_keyword(TEXT_FUZZY),
+    "scan_all_exact": _every_keyword(TEXT_EXACT),
     "max_insert_sweep": (
         "SELECT CAST(n AS BIGINT) AS max_insert, count(*) AS lines FROM "
         f"(SELECT list_min([{_NEEDS}]) AS need FROM ({_DOCUMENT_LINES})) JOIN range(0, 11) r(n) "
@@ -653,6 +663,10 @@ ORACLES = {
         "CASE WHEN doc_id % 4 <> 0 THEN CASE n_chars % 3 WHEN 1 THEN '加密' WHEN 2 THEN '伪加密' END END) "
         "AS note FROM documents"
     ),
+    "upload_note": (
+        f"SELECT {_ZIP_PATH} AS path, coalesce(CASE WHEN doc_id % 4 <> 0 THEN CASE n_chars % 3 "
+        "WHEN 1 THEN '加密' WHEN 2 THEN '伪加密' END END, '') AS note FROM documents"
+    ),
     "table_scan": _table_hits(TABLE_FUZZY),
     "table_scan_exact": _table_hits(TABLE_EXACT),
     "text_columns": f'SELECT "table", "column", count(*) AS cells FROM ({_cells()}) GROUP BY ALL',

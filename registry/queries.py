@@ -34,6 +34,7 @@ from lineward.operators.scan import (
     full_check,
     insert_sweep,
     numbered_lines,
+    scan_all,
     scan_targets,
     scan_text,
 )
@@ -255,6 +256,16 @@ def full_check_query(spark, folder):
     return _summed(checked.select("doc_id", "hits", lines), "doc_id", "total_danger_lines")
 
 
+def scan_all_fuzzy(spark, folder):
+    found = scan_all(_documents(spark, folder), ["doc_id"], "text", TEXT_FUZZY)
+    return _big(flat_hits(found, ["doc_id"]))
+
+
+def scan_all_exact(spark, folder):
+    found = scan_all(_documents(spark, folder), ["doc_id"], "text", TEXT_EXACT)
+    return _big(flat_hits(found, ["doc_id"]))
+
+
 def max_insert_sweep(spark, folder):
     swept = insert_sweep(_documents(spark, folder), "text", SWEEP_FUZZY)
     return swept.select(F.col("max_insert").cast("bigint"), "lines")
@@ -351,6 +362,12 @@ def zip_encryption_query(spark, folder):
     )
 
 
+def upload_note(spark, folder):
+    """Notes of files as uploads, where names hide nothing."""
+    files = derived.zip_files(_documents(spark, folder)).select("path", "content")
+    return scan_files(files, TEXT_FUZZY, uploaded=True).select("path", "note")
+
+
 def file_note(spark, folder):
     files = derived.zip_files(_documents(spark, folder))
     results = scan_files(files.select("path", "content"), TEXT_EXACT)
@@ -707,6 +724,8 @@ QUERIES = {
     "scan": scan,
     "parse_keywords": parse_keywords,
     "full_check": full_check_query,
+    "scan_all_fuzzy": scan_all_fuzzy,
+    "scan_all_exact": scan_all_exact,
     "max_insert_sweep": max_insert_sweep,
     "keyword_table_scan": keyword_table_scan,
     "keyword_table_short": keyword_table_short,
@@ -719,6 +738,7 @@ QUERIES = {
     "is_hidden": is_hidden_query,
     "zip_encryption": zip_encryption_query,
     "file_note": file_note,
+    "upload_note": upload_note,
     "file_scan": file_scan,
     "table_scan": table_scan,
     "table_scan_exact": table_scan_exact,
