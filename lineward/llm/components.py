@@ -11,10 +11,11 @@ from lineward.llm.common import written
 def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the smallest node around it."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written, both sides of the join are plain shuffles, and a node with very many links can be split.
+    least = written(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m")), "least")
     return (
         both.where("b > a")
-        .join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
+        .join(least, F.col("a") == F.col("n"))
         .where("b <> m")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .distinct()
@@ -24,13 +25,13 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "least")
     moved = (
-        down.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
+        down.join(least, F.col("a") == F.col("n"))
         .where("b <> m")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
     )
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
