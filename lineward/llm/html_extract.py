@@ -54,6 +54,9 @@ BESIDE = set(
     " complementary contentinfo toc".split()
 )
 ARTICLE_WORDS = set("article content entry post story text body main page prose".split())
+# Reader comments may be longer than the article, and single ones may be article elements themselves.
+COMMENT_WORDS = set("comment comments commentlist disqus replies reply respond".split())
+STRONG_WORDS = set("article post story main".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
@@ -64,12 +67,17 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "beside", "holds_main", "score", "article_words")
-
-    def __init__(self, tag: str, parent: int, beside: bool, article_words: bool):
-        self.tag, self.parent, self.beside, self.article_words = tag, parent, beside, article_words
-        self.holds_main = tag in MAIN or tag == "h1"
+    __slots__ = ("tag", "parent", "beside", "comments", "holds_main", "score", "size", "article_words")
+
+    def __init__(self, tag: str, parent: int, words: set[str] = frozenset()):
+        self.tag, self.parent = tag, parent
+        self.beside = not words.isdisjoint(BESIDE)
+        self.comments = not words.isdisjoint(COMMENT_WORDS)
+        self.article_words = not words.isdisjoint(ARTICLE_WORDS)
+        aside_article = tag == "article" and self.beside and words.isdisjoint(STRONG_WORDS)
+        self.holds_main = tag in MAIN and not aside_article or tag == "h1"
         self.score = 0.0
+        self.size = 0
 
 
 class Block:
@@ -79,25 +87,23 @@ class Block:
         self.node, self.text, self.links, self.size = node, text, links, size
 
 
-def _named_parts(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id, role or a hidden mark sets a part beside the article, and whether they name one."""
-    beside = article = False
+def _named_parts(attributes: str) -> set[str]:
+    """The words of class, id and role; `hidden` for parts that are not shown."""
+    found: set[str] = set()
     for name, double, single, bare in _NAMED.findall(attributes):
         name, value = name.lower(), double or single or bare
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            beside |= not words.isdisjoint(BESIDE)
-            article |= not words.isdisjoint(ARTICLE_WORDS)
+            found |= {w.lower() for w in _WORDS.findall(value)}
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            beside = True
+            found.add("hidden")
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            beside = True
-    return beside, article
+            found.add("hidden")
+    return found
 
 
 def read_page(html: str) -> tuple[list[Node], list[Block]]:
     """The nodes and the blocks of text of a page, in page order."""
-    nodes = [Node("", -1, False, False)]
+    nodes = [Node("", -1)]
     blocks: list[Block] = []
     open_nodes = [0]
     block_nodes = [0]
@@ -187,8 +193,7 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
                 if nodes[open_nodes[depth]].tag == "a":
                     close(depth)
                     break
-        beside, article_words = _named_parts(attributes) if attributes.strip() else (False, False)
-        nodes.append(Node(tag, open_nodes[-1], beside, article_words))
+        nodes.append(Node(tag, open_nodes[-1], _named_parts(attributes) if attributes.strip() else frozenset()))
         if attributes.rstrip().endswith("/"):
             continue
         open_nodes.append(len(nodes) - 1)
@@ -206,13 +211,18 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     nodes, blocks = read_page(html)
+    for block in blocks:
+        nodes[block.node].size += block.size
     for node in reversed(nodes[1:]):
         nodes[node.parent].holds_main |= node.holds_main
+        nodes[node.parent].size += node.size
     dropped = [False] * len(nodes)
     for i, node in enumerate(nodes):
         if i:
             by_tag = node.tag in NEVER_TEXT and not (node.tag == "form" and node.holds_main)
-            by_name = node.beside and node.tag not in MAIN and not node.holds_main
+            # A part that is named for the article too, and holds most of the text, is the article.
+            is_most = node.article_words and not node.comments and 2 * node.size > nodes[0].size
+            by_name = node.beside and not node.holds_main and not is_most
             dropped[i] = dropped[node.parent] or by_tag or by_name and node.tag not in ("html", "body")
     lists = _link_lists(nodes, blocks)
     kept = [b for b in blocks if not dropped[b.node] and b.node not in lists]
