@@ -54,6 +54,8 @@ def test_html_extraction(spark, sf):
         ("<main><p>a<b>b</b>c <a href=x>link</a></p><aside>no</aside><!-- <p>no</p> --></main><footer>no</footer>", "abc link"),
         ("<div class='cookie-notice'><p>We, use, cookies</p></div><table><tr><td>cell</td></tr></table>", "cell"),
         ("no markup &amp; more", "no markup & more"),
+        ("<article><p>Of it, all</p></article><section class=c><article class='comment-body'><p>Long, long comment, longer than all of it</p></article></section>", "Of it, all"),
+        ("<div class='content no-sidebar'><p>The text, all of it</p></div><div class=widget>x</div>", "The text, all of it"),
         ("<p>cut off <a href='x", "cut off"),
     ],
 )
