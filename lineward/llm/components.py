@@ -34,19 +34,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least).distinct()
 
 
+def _is_done(links: DataFrame) -> bool:
+    """Whether every node has one link and none leads to a node that has a link itself."""
+    nodes = links.agg(F.count("*").alias("links"), F.countDistinct("a").alias("nodes")).first()
+    if nodes["links"] != nodes["nodes"]:
+        return False
+    ends = links.select(F.col("b").alias("end")).distinct()
+    return links.join(ends, F.col("a") == F.col("end"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """For each node of ``links`` (a, b) but the smallest of its component: node, component.
+    """For each node of ``links`` (a, b; a written table) but the smallest of its component: node, component.
 
-    Links only ever move to smaller nodes, so a round changes nothing once every node is linked to the
-    smallest one; their number, the sum of their hashes and the rounds' written tables show that.
+    A round keeps what is connected and only moves links to smaller nodes, until each node is linked to
+    the smallest of its component and to nothing else.
     """
-    links = written(links.where("a <> b").select("a", "b").distinct(), "links")
-    state = None
+    links = links.where("a <> b").select("a", "b")
     while True:
-        links = written(_small_star(_large_star(links)), "stars")
-        now = links.agg(
-            F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1000003)
-        ).first()
-        if now == state:
+        links = written(_small_star(written(_large_star(links), "large")), "stars")
+        if _is_done(links):
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now

@@ -421,7 +421,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "key", "doc", F.coalesce("component", "doc").alias("component")
     )
     pairs = _mixed_pairs(written(placed, "placed"), reps, docs, size, percent)
-    rest = _verified(pairs, docs, size, percent, BLOCKS_AT_ONCE)
+    rest = written(_verified(pairs, docs, size, percent, BLOCKS_AT_ONCE), "rest")
     found = components(links.union(rest))
     named = written(
         classes.join(found, F.col("rep") == F.col("node"), "left").select(
