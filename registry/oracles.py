@@ -399,6 +399,66 @@ REPORT_IMAGE = (
     )
 )
 
+def _md_head(title: str, *rows: str) -> str:
+    return _fixed(
+        0, "c", q(f"# {title}"), "''", q("## 检查摘要"), "''", q("| 项目 | 内容 |"), q("| --- | --- |"),
+        *rows, "''", q("## 详细结果"), "''",
+    )
+
+
+_BLANK = "CASE WHEN target_no > 1 THEN [''] ELSE [] END"
+_MD_FOUND = (
+    "CASE WHEN n > 0 THEN list_concat(['- **涉密信息：** ' || n || ' 处'], found) ELSE ['未发现涉密数据。'] END"
+)
+REPORT_FILE_MD = (
+    f"WITH {_target_hits(_DOC_FILES, 'path', 'text', TEXT_FUZZY, _MD_HIT)}, "
+    "k AS (SELECT * REPLACE (row_number() OVER (ORDER BY target) AS target_no) FROM t WHERE n > 0) "
+    + _report_rows(
+        [
+            _md_head(
+                "文件涉密数据检查报告", q("| 检查方式 | 文件路径检查 |"), q(f"| 检查时间 | {CHECKED_AT} |"),
+                "'| 检查文件数 | ' || targets || ' |'", "'| 发现涉密文件数 | ' || hit_targets || ' |'",
+            ),
+            _targets("k", f"list_concat({_BLANK}, ['### 文件：' || target, '- **类型：** text'], {_MD_FOUND})"),
+        ]
+    )
+)
+_AUDIO_MD_HIT = "'- 时间 ' || line || 's | 关键词 `' || keyword || '` | ' || content"
+REPORT_AUDIO_MD = (
+    f"WITH {_target_hits(_TURNS, 'path', 'text', PAGE_FUZZY, _AUDIO_MD_HIT)} "
+    + _report_rows(
+        [
+            _md_head(
+                "音频涉密数据检查报告", q("| 检查模式 | 音频路径检查 |"), q(f"| 检查时间 | {CHECKED_AT} |"),
+                "'| 扫描音频数 | ' || targets || ' |'", "'| 发现涉密音频数 | ' || hit_targets || ' |'",
+            ),
+            _targets(
+                "t", f"list_concat({_BLANK}, ['### 音频 ' || target_no, '**目标：** ' || target], {_MD_FOUND})"
+            ),
+        ]
+    )
+)
+_IMAGE_TXT_HIT = "'    区域 ' || line || ' | 关键词 [' || keyword || '] → ' || content"
+REPORT_IMAGE_TXT = (
+    f"WITH {_target_hits(_ITEMS, 'path', 'text', PAGE_FUZZY, _IMAGE_TXT_HIT)} "
+    + _report_rows(
+        [
+            _fixed(
+                0, "c", _RULE, q(" " * 10 + "图片涉密数据检查报告"), _RULE, q("检查模式: 图片路径检查"),
+                q(f"检查时间: {CHECKED_AT}"), "'扫描图片数: ' || targets", q("图片类型分布: "),
+                "'   png: ' || targets", "'发现涉密图片数: ' || hit_targets", "'涉密数据总行数: ' || hits", _THIN,
+            ),
+            _targets(
+                "t",
+                "list_concat(['', '【图片 ' || target_no || '】' || target], "
+                "CASE WHEN n > 0 THEN list_concat(['  涉密信息 (' || n || ' 处):'], found) "
+                "ELSE ['  未发现涉密数据。'] END)",
+            ),
+            _fixed(2, "c", _RULE, q("报告结束")),
+        ]
+    )
+)
+
 REPORT_DB = (
     f"WITH {_HITS}, s AS ({_STATS}), c AS (SELECT count(*) AS targets, CAST(sum(hits) AS BIGINT) AS hits, "
     "count_if(affected) AS affected FROM s), "
@@ -764,6 +824,9 @@ ORACLES = {
     "report_file": REPORT_FILE,
     "report_audio": REPORT_AUDIO,
     "report_image": REPORT_IMAGE,
+    "report_file_md": REPORT_FILE_MD,
+    "report_audio_md": REPORT_AUDIO_MD,
+    "report_image_txt": REPORT_IMAGE_TXT,
     "report_db": REPORT_DB,
     "report_combined": REPORT_COMBINED,
     "store_stats": (

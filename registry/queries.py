@@ -675,6 +675,26 @@ def report_file(spark, folder):
     return target_report(results, "file", "path", "文件路径检查", CHECKED_AT, "txt")
 
 
+def report_file_md(spark, folder):
+    results = _document_results(spark, folder).select(
+        F.format_string("%09d.txt", "doc_id").alias("path"),
+        "hits",
+        F.lit("text").alias("file_type"),
+        F.lit("").alias("note"),
+    )
+    return target_report(results, "file", "path", "文件路径检查", CHECKED_AT, "md")
+
+
+def report_audio_md(spark, folder):
+    return audio_report(_turn_results(spark, folder), CHECKED_AT, "md")
+
+
+def report_image_txt(spark, folder):
+    return target_report(
+        _picture_results(spark, folder), "image", "path", "图片路径检查", CHECKED_AT, "txt"
+    )
+
+
 def report_audio(spark, folder):
     return audio_report(_turn_results(spark, folder), CHECKED_AT, "txt")
 
@@ -780,6 +800,9 @@ QUERIES = {
     "report_file": report_file,
     "report_audio": report_audio,
     "report_image": report_image,
+    "report_file_md": report_file_md,
+    "report_audio_md": report_audio_md,
+    "report_image_txt": report_image_txt,
     "report_db": report_db,
     "report_combined": report_combined,
 }
