@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 # Chunks a task keeps at most, in characters; then it begins afresh. Results do not depend on it.
 CACHE_CHARS = 6_000_000
+# Texts that a task turns into strings at once.
+TEXTS_AT_ONCE = 200
 # Symbols up to which the agenda is a flat list; a heap beyond.
 FEW = 40
 _NEVER = float("inf")
@@ -174,7 +176,8 @@ class MergeVocabulary:
 
 
 class ChunkCache(dict):
-    """Ids and text of the chunks met so far; what is missing is encoded by the agenda."""
+    """Ids of the chunks met so far; what is missing is encoded by the agenda. The ids are decoded at once;
+    a text that is not the chunk itself, its marks as spaces, is kept in ``texts``."""
 
     def __init__(self, vocabulary: MergeVocabulary):
         super().__init__()
@@ -186,7 +189,9 @@ class ChunkCache(dict):
 
     def put(self, chunk: str, ids: list[int]) -> str:
         text = self.vocabulary.decode_chunk(ids)
-        self.texts[chunk] = text
+        self.texts.pop(chunk, None)
+        if text != chunk.replace(SPACE, " "):
+            self.texts[chunk] = text
         self[chunk] = joined = ",".join(map(str, ids))
         return joined
 
@@ -207,6 +212,12 @@ class ChunkCache(dict):
         self.corrected |= wrong
         return wrong
 
+    def decoded(self, chunks: list[str]) -> str:
+        """The text of the ids of the chunks, without the mark that begins every text."""
+        if self.texts and not self.texts.keys().isdisjoint(chunks):
+            chunks = [self.texts.get(c, c) for c in chunks]
+        return "".join(chunks).replace(SPACE, " ")[1:]
+
     def begin(self) -> None:
         if self.chars > CACHE_CHARS:
             self.clear()
@@ -230,12 +241,18 @@ def encode_texts(cache: ChunkCache, texts: list[str]) -> list[tuple[str, str, in
             if wrong and not wrong.isdisjoint(chunks):
                 ids = ",".join(map(cache.__getitem__, chunks))
             corrected = sum(c in cache.corrected for c in chunks) if cache.corrected else 0
-            out[i] = (ids, "".join(map(cache.texts.__getitem__, chunks))[1:], corrected)
+            out[i] = (ids, cache.decoded(chunks), corrected)
         cache.begin()
         first = last
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(first, TEXTS_AT_ONCE)
+
+
 def encode_documents(docs: DataFrame, model_path: str | Path, keep_texts: bool = False) -> DataFrame:
     """Per document the number of ids, digests of the ids and of the decoded text.
 
@@ -246,7 +263,7 @@ def encode_documents(docs: DataFrame, model_path: str | Path, keep_texts: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = ChunkCache(MergeVocabulary(model.value))
-        for batch in batches:
+        for batch in _pieces(batches):
             rows: list[tuple] = []
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for ids, decoded, corrected in encode_texts(cache, texts):
