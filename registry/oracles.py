@@ -702,6 +702,7 @@ ORACLES = {
     "keyword_table_scan": _best_exact(_WORDS),
     "keyword_table_short": _best_exact(_PART_WORDS),
     "keyword_table_fuzzy": _KEYWORD_FUZZY,
+    "keyword_table_join": _KEYWORD_FUZZY,
     "file_type": f"SELECT doc_id, {FILE_TYPE} AS file_type FROM documents",
     "is_text": f"SELECT doc_id, {_readable('text')} AS is_text FROM documents",
     "ext_mismatch": f"SELECT doc_id, {MISMATCH} AS ext_mismatch FROM documents",

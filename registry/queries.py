@@ -308,6 +308,14 @@ def keyword_table_short(spark, folder):
 
 
 def keyword_table_fuzzy(spark, folder):
+    found = scan_keyword_table(
+        _documents(spark, folder), ["doc_id"], "text", _part_keywords(spark, folder), KEYWORD_FUZZY
+    )
+    return _big(found)
+
+
+def keyword_table_join(spark, folder):
+    """The same by the join that long tables take."""
     found = join_keywords(
         _documents(spark, folder), ["doc_id"], "text", _part_keywords(spark, folder), KEYWORD_FUZZY
     )
@@ -750,6 +758,7 @@ QUERIES = {
     "keyword_table_scan": keyword_table_scan,
     "keyword_table_short": keyword_table_short,
     "keyword_table_fuzzy": keyword_table_fuzzy,
+    "keyword_table_join": keyword_table_join,
     "file_type": file_type_query,
     "is_text": is_text_query,
     "ext_mismatch": ext_mismatch,
