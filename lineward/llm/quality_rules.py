@@ -1,10 +1,12 @@
 """Quality rules: counts within a document, and lines that recur across the documents of a host.
 
 Lines are compared by a hash of their words, A to Z in lower case and digits as 0. For each host and line
-the distinct documents are counted. Copies of a document are no evidence of boilerplate, so documents
-count as one when the smallest hash of their five-word shingles is the same, as it is for copies and
-nearly always for near copies. Lines in more documents than the limit are removed; a document that loses
-more than a share of its words with them is depleted and rejected.
+the distinct documents are counted. Copies and near copies of a document are no evidence of boilerplate and
+count as one. Whether documents are near copies is decided by what they do not share: lines in more distinct
+whole contents than the limit are candidates, and a document is known by its other lines, but for variants
+of candidates. Where that leaves fewer than MIN_OWN_WORDS words, it is known by all of its lines. Documents
+whose lines so taken are near duplicates are one. Candidates in more documents than the limit are removed;
+a document that loses more than a share of its words with them is depleted and rejected.
 
 Null and empty texts have no words and fail by their length. Documents without host share one host.
 Rows are judged one by one, repeated ones too.
@@ -20,13 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineward.llm.common import TEXT_ROWS, written
+from lineward.llm.minhash import near_duplicates
 from lineward.llm.words import Block, Hasher, blocks, lower_table, repeated, same_text, sequence_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-SHINGLE = 5
+# Nearness is judged by the shingles within lines, hashed to 32 bits.
+SHINGLE = 3
+# A line with this share of its shingles in candidate lines of its host is a variant of them.
+VARIANT_PERCENT = 20
+MIN_OWN_WORDS = 5
+# Documents are near copies when their sets of shingles agree in this share.
+NEAR_PERCENT = 60
+# Row numbers and shingles up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 # A line that stands in more distinct documents of a host than this is boilerplate.
 MAX_DOCUMENTS = 20
 # A document that keeps less than this share of its words is depleted.
@@ -84,61 +95,131 @@ def counts(block: Block, exact: Hasher) -> dict[str, np.ndarray]:
     }
 
 
-def lines(block: Block, folded: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, hash and number of words of every line with a word; the smallest shingle hash of each text."""
+def lines(block: Block, folded: Hasher) -> tuple[np.ndarray, ...]:
+    """Text, hash, first word and word behind the last one of every line with a word."""
     words = folded.words(block)
     doc, start, end = line_bounds(block)
     first, last = np.searchsorted(block.start, start), np.searchsorted(block.start, end)
     some = last > first
     doc, first, last = doc[some], first[some], last[some]
-    value = folded.runs(words, first, last)
-    least = np.full(block.rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    return doc, folded.runs(words, first, last), first, last
+
+
+def line_shingles(words: np.ndarray, first: np.ndarray, last: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds and the values of each line's shingles; a line shorter than a shingle has its own hash."""
+    line = np.repeat(np.arange(len(first)), last - first)  # every word stands in one line
     runs = sequence_hashes(words, SHINGLE)
-    inside = same_text(block.doc, SHINGLE)
-    np.minimum.at(least, block.doc[: len(runs)][inside], runs[inside])
-    few = np.flatnonzero((block.words > 0) & (block.words < SHINGLE))
-    at = np.searchsorted(block.doc, few)
-    least[few] = folded.runs(words, at, at + block.words[few])
-    return doc, value, last - first, least
+    inside = same_text(line, SHINGLE)
+    few = np.flatnonzero(last - first < SHINGLE)
+    of = np.concatenate([line[: len(runs)][inside], few])
+    value = np.concatenate([runs[inside], hasher.runs(words, first[few], last[few])])
+    value = value[np.argsort(of, kind="stable")] >> np.uint64(32)
+    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(first)))]), value.astype(np.uint32)
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row its number, id, host, counts, smallest shingle hash, and its lines with their words."""
+    """Per row its number, id, host, counts, content hash, its lines with their words, and their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, folded = Hasher(np.arange(256, dtype=np.uint8)), Hasher(line_table())
+        exact, folded, plain = Hasher(np.arange(256, dtype=np.uint8)), Hasher(line_table()), Hasher()
         for batch in batches:
             for block in blocks(batch.column(2)):
                 found = counts(block, exact)
-                doc, value, n, least = lines(block, folded)
+                doc, value, first, last = lines(block, folded)
+                words = plain.words(block)
+                ends = np.cumsum(block.words)
+                content = plain.runs(words, ends - block.words, ends)
+                near_bounds, near = line_shingles(words, first, last, plain)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.rows))])
                 pairs = pa.StructArray.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["line", "words"]
+                    [pa.array(value.view(np.int64)), pa.array((last - first).astype(np.int64))], ["line", "words"]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(block.first, block.rows),
                         batch.column(1).slice(block.first, block.rows),
                         *(pa.array(v.astype(np.int64)) for v in found.values()),
-                        pa.array(least.view(np.int64)),
+                        pa.array(content.view(np.int64)),
                         pa.ListArray.from_arrays(bounds.astype(np.int32), pairs),
+                        pa.ListArray.from_arrays(
+                            bounds.astype(np.int32),
+                            pa.ListArray.from_arrays(near_bounds.astype(np.int32), near.view(np.int32)),
+                        ),
                     ],
-                    ["doc_id", "host", *found, "least", "lines"],
+                    ["doc_id", "host", *found, "content", "lines", "shingles"],
                 )
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = f"doc_id {doc_id}, host string, {', '.join(n + ' long' for n in names)}, least long"
+    schema = f"doc_id {doc_id}, host string, {', '.join(n + ' long' for n in names)}, content long"
     found = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
-    found = found.mapInArrow(run, f"{schema}, lines array<struct<line: long, words: long>>")
+    found = found.mapInArrow(
+        run, f"{schema}, lines array<struct<line: long, words: long>>, shingles array<array<int>>"
+    )
     return written(found.withColumn("row", F.monotonically_increasing_id()), "measured", TEXT_ROWS)
 
 
+def _above(spread: DataFrame, identity: str, max_documents: int, name: str) -> DataFrame:
+    """Host and hash of the lines that ``spread`` has with more than ``max_documents`` identities."""
+    frequent = spread.select("host", "line", identity).distinct().groupBy("host", "line").count()
+    frequent = frequent.where(F.col("count") > max_documents)
+    return written(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "count"), name)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def identities(rows: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each row of ``held`` (n_row, host, line: the candidates in it) the row its near copies are known by."""
+    is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))
+    holding = written(held.select("n_row").distinct(), "holding")
+    placed = (
+        rows.join(_small(holding), F.col("row") == F.col("n_row"), "left_semi")
+        .select("row", "host", F.posexplode(F.arrays_zip("lines", "shingles")).alias("place", "at"))
+        .select("row", "host", "place", "at.lines.line", "at.lines.words", F.col("at.shingles").alias("near"))
+        .join(candidates, is_candidate, "left")
+        .select("row", "host", "place", "words", "near", F.col("f_line").isNotNull().alias("is_candidate"))
+    )
+    placed = written(placed, "placed-lines")
+    common = written(
+        placed.where("is_candidate").select(F.col("host").alias("c_host"), F.explode("near").alias("c_value")).distinct(),
+        "common-values",
+    )
+    variants = (
+        placed.where("not is_candidate")
+        .select("row", "host", "place", F.explode("near").alias("value"))
+        .join(_small(common), (F.col("host") == F.col("c_host")) & (F.col("value") == F.col("c_value")), "left")
+        .groupBy(F.col("row").alias("v_row"), F.col("place").alias("v_place"))
+        .agg((F.lit(100) * F.count("c_value") >= F.lit(VARIANT_PERCENT) * F.count("*")).alias("is_variant"))
+        .where("is_variant")
+    )
+    is_own = ~F.col("is_candidate") & F.col("is_variant").isNull()
+    known = (
+        placed.join(variants, (F.col("row") == F.col("v_row")) & (F.col("place") == F.col("v_place")), "left")
+        .groupBy("row")
+        .agg(
+            F.sum(F.when(is_own, F.col("words")).otherwise(0)).alias("own_words"),
+            F.flatten(F.collect_list(F.when(is_own, F.col("near")))).alias("own"),
+            F.flatten(F.collect_list("near")).alias("all"),
+        )
+        .select("row", F.when(F.col("own_words") >= MIN_OWN_WORDS, F.col("own")).otherwise(F.col("all")).alias("values"))
+    )
+    texts = known.select(F.col("row").alias("doc_id"), F.array_join(F.col("values").cast("array<string>"), " ").alias("text"))
+    found = near_duplicates(written(texts, "known-by"), 1, NEAR_PERCENT)
+    return found.select(F.col("doc_id").alias("i_row"), F.col("component_id").alias("identity"))
+
+
 def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Host and hash of the lines in more distinct documents of a host than ``max_documents``."""
-    spread = rows.select("host", "least", F.explode("lines.line").alias("line")).distinct()
-    frequent = spread.groupBy("host", "line").count().where(F.col("count") > max_documents)
-    return written(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "count"), "frequent")
+    occurring = rows.select(F.col("row").alias("n_row"), "host", "content", F.explode("lines.line").alias("line"))
+    candidates = _above(occurring, "content", max_documents, "candidates")
+    if candidates.isEmpty():
+        return candidates
+    is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))
+    held = written(occurring.join(candidates, is_candidate, "left_semi").select("n_row", "host", "line").distinct(), "held")
+    known = identities(rows, held, candidates)
+    return _above(held.join(known, F.col("n_row") == F.col("i_row")), "identity", max_documents, "frequent")
 
 
 def quality_rules(
@@ -155,7 +236,7 @@ def quality_rules(
         .groupBy(F.col("row").alias("r_row"))
         .agg(F.sum("words").alias("removed_words"))
     )
-    judged = rows.drop("lines", "least", "host").join(removed, F.col("row") == F.col("r_row"), "left")
+    judged = rows.drop("lines", "shingles", "content", "host").join(removed, F.col("row") == F.col("r_row"), "left")
     removed_words = F.coalesce("removed_words", F.lit(0).cast("long"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")

@@ -2,6 +2,7 @@
 
 import html
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -212,6 +213,29 @@ def test_frequent_lines_deplete(spark):
     assert all(found[200 + i]["kept"] for i in range(50))
 
 
+def test_boilerplate_is_told_from_near_copies(spark):
+    from lineward.llm.quality_rules import quality_rules
+
+    rng = random.Random(3)
+
+    def line(n):
+        return [f"{''.join(rng.choices('abcdefghijkl', k=7))}" for _ in range(n)]
+
+    shared = "\n".join(" ".join(line(10)) for _ in range(10))
+    heavy = [(i, f"{shared}\n{' '.join(line(15))}", "heavy") for i in range(100)]
+    base = [line(12) for _ in range(12)]
+    near = []
+    for i in range(3000):
+        copy = [list(x) for x in base]
+        for _ in range(3):
+            copy[rng.randrange(12)][rng.randrange(12)] = line(1)[0]
+        near.append((1000 + i, "\n".join(map(" ".join, copy)), "near"))
+    rows = spark.createDataFrame(heavy + near, "doc_id long, text string, source string")
+    found = {r[0]: r for r in quality_rules(rows).collect()}
+    assert all(found[i]["removed_words"] == 100 and found[i]["depleted"] for i, *_ in heavy)
+    assert all(found[i]["removed_words"] == 0 and found[i]["kept"] for i, *_ in near)
+
+
 def test_decontamination(spark, sf, documents):
     found = rows_of(spark, sf, "op8_decontamination")
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
