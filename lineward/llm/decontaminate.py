@@ -3,9 +3,10 @@
 Text becomes a template: words that begin with a digit are numbers, unit words behind them units, words
 with a capital within a sentence names; each is a typed placeholder, everything else its lower-case word.
 Hashes of template windows of the items meet those of the documents in a join. For each item and place in
-a document the matched windows are put together and the values behind the placeholders compared: a value
-of the item has to stand for the same value of the document everywhere, as it does in a copy and in a
-question with new parameters, but not where only the form of a sentence is common.
+a document the matched windows are put together and the values behind the placeholders compared: a name
+of the item, and a number with the word behind it, has to stand for the same value of the document nearly
+everywhere, as it does in a copy and in a question with new parameters, but not where only the form of a
+sentence is common. Windows that are word for word those of the item need no such agreement.
 
 Windows have WINDOW words; an item with fewer is one window of its own length, and one with fewer than
 SHORTEST words or with windows of mostly placeholders only cannot be told from other text and matches
@@ -25,6 +26,9 @@ SHORTEST = 4
 MAX_SLOT_SHARE = 0.5
 # Matched windows of an item at one place: this many, or all it has.
 MIN_WINDOWS = 3
+# Slots of a run that stand for the value their item's value has most often, at least; a run with MIN_WINDOWS
+# windows that are word for word the item's needs none.
+MIN_AGREEING_PERCENT = 80
 # Windows and matched ids up to this number are broadcast; more are joined by a shuffle of narrow rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -88,7 +92,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         "size",
         F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("hash"),
         F.slice("plain", F.col("item_place") + 1, F.col("size")).alias("item_values"),
+        F.slice("plain", F.col("item_place") + 2, F.col("size")).alias("item_next"),
         F.transform("window", lambda w: F.array_contains(slots, w)).alias("is_slot"),
+        F.transform("window", lambda w: w == F.lit(NAME)).alias("is_name"),
     )
     telling = written(telling, "item-windows")
     counts = telling.groupBy(F.col("item_id").alias("c_item")).agg(F.count("*").alias("item_windows"))
@@ -139,12 +145,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("p_doc"), plain_words(F.col("text")).alias("plain"))
     )
     values = items.select(
-        F.col("item_id").alias("v_item"), F.col("item_place").alias("v_place"), "size", "item_values", "is_slot"
+        F.col("item_id").alias("v_item"), F.col("item_place").alias("v_place"), "size", "item_values", "item_next",
+        "is_slot", "is_name",
     )
     runs_of = runs.select(
         F.col("doc_id").alias("r_doc"), F.col("item_id").alias("r_item"), F.col("shift").alias("r_shift")
     )
-    slots = (
+    placed = (
         places.join(
             runs_of,
             (F.col("doc_id") == F.col("r_doc")) & (F.col("item_id") == F.col("r_item")) & (F.col("shift") == F.col("r_shift")),
@@ -153,26 +160,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .join(values, (F.col("item_id") == F.col("v_item")) & (F.col("item_place") == F.col("v_place")))
         .join(plain, F.col("doc_id") == F.col("p_doc"))
         .withColumn("doc_values", F.slice("plain", F.col("place") + 1, F.col("size")))
-        .select(
-            "doc_id",
-            "item_id",
-            "shift",
-            F.explode(F.arrays_zip("is_slot", "item_values", "doc_values")).alias("slot"),
+    )
+    run = ("doc_id", "item_id", "shift")
+    as_is = F.transform("doc_values", lambda w: F.lower(w)) == F.transform("item_values", lambda w: F.lower(w))
+    exact = placed.groupBy(*run).agg(F.countDistinct(F.when(as_is, F.col("item_place"))).alias("exact"))
+    # A name is one person; a number is one quantity together with the word behind it.
+    value = F.lower("slot.item_values")
+    key = F.when(F.col("slot.is_name"), value).otherwise(F.concat_ws(" ", value, F.lower("slot.item_next")))
+    slots = (
+        placed.select(
+            *run,
+            "item_place",
+            F.posexplode(F.arrays_zip("is_slot", "is_name", "item_values", "item_next", "doc_values")).alias("at", "slot"),
         )
         .where("slot.is_slot")
-        .groupBy("doc_id", "item_id", "shift", F.lower("slot.item_values").alias("value"))
-        .agg(
-            F.countDistinct(F.lower("slot.doc_values")).alias("kinds"),
-            F.max(F.lower("slot.doc_values") != F.lower("slot.item_values")).alias("differs"),
+        .select(
+            *run,
+            (F.col("item_place") + F.col("at")).alias("slot_place"),
+            key.alias("key"),
+            F.lower("slot.doc_values").alias("d_value"),
+            (F.lower("slot.doc_values") != value).alias("differs"),
         )
-        .groupBy(F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), F.col("shift").alias("s_shift"))
-        .agg(F.max("kinds").alias("kinds"), F.max("differs").alias("differs"))
+        .dropDuplicates([*run, "slot_place"])
+        .groupBy(*run, "key", "d_value")
+        .agg(F.count("*").alias("n"), F.max("differs").alias("differs"))
+        .groupBy(*run, "key")
+        .agg(F.max("n").alias("agreeing"), F.sum("n").alias("n"), F.max("differs").alias("differs"))
+        .groupBy(*run)
+        .agg(F.sum("agreeing").alias("agreeing"), F.sum("n").alias("n_slots"), F.max("differs").alias("differs"))
+    )
+    slots = exact.join(slots, list(run), "left").select(
+        F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), F.col("shift").alias("s_shift"),
+        "exact", "agreeing", "n_slots", "differs",
+    )
+    consistent = F.col("n_slots").isNull() | (
+        F.lit(100) * F.col("agreeing") >= F.lit(MIN_AGREEING_PERCENT) * F.col("n_slots")
     )
     checked = runs.join(
         slots,
         (F.col("doc_id") == F.col("s_doc")) & (F.col("item_id") == F.col("s_item")) & (F.col("shift") == F.col("s_shift")),
-        "left",
-    ).where(F.coalesce("kinds", F.lit(1)) == 1)
+    ).where(consistent | (F.col("exact") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))))
     return checked.groupBy("doc_id", "item_id").agg(
         F.max(F.col("found") / F.col("item_windows")).alias("share"),
         F.min(F.coalesce("differs", F.lit(False))).alias("other_parameters"),
