@@ -8,13 +8,15 @@ of the item, and a number with the word behind it, has to stand for the same val
 everywhere, as it does in a copy and in a question with new parameters, but not where only the form of a
 sentence is common. Windows that are word for word those of the item need no such agreement.
 
-Windows have WINDOW words; an item with fewer is one window of its own length, and one with fewer than
-SHORTEST words or with windows of mostly placeholders only cannot be told from other text and matches
-nothing. Null texts match nothing. Everything runs as SQL expressions; texts are never shuffled.
+Windows have WINDOW words; an item with fewer is one window of its own length. Templates of fewer than SHORTEST
+words or mostly placeholders cannot be told from other text. So windows of the plain words in lower case, of items
+of any length, meet those of the documents as well. Null texts match nothing. Everything runs as SQL expressions; texts are never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def templated(text: Column) -> Column:
     """A text with placeholders in place of numbers, units and names, in lower case."""
     numbers = F.regexp_replace(F.concat(F.lit(" "), text), r"\s[^\s\w]{0,3}\d\S*", f" {NUMBER}")
     units = F.regexp_replace(numbers, rf"(?<={NUMBER} )(?i:{'|'.join(UNITS)})(?!\w)", UNIT)
-    names = F.regexp_replace(units, r"(?<=[^\s.!?:;] )\p{Lu}\S*", NAME)
+    names = F.regexp_replace(units, r"(?<=\s)[^\s\w]{0,3}\p{Lu}\S*", NAME)
     return F.lower(names)
 
 
@@ -67,6 +69,10 @@ def plain_words(text: Column) -> Column:
     return _words(text)
 
 
+def exact_words(text: Column) -> Column:
+    return _words(F.lower(text))
+
+
 def window_hashes(hashes: Column, size: int) -> Column:
     """A hash of each run of ``size`` word hashes; one array entry for each place it can begin."""
     count = F.size(hashes) - F.lit(size - 1)
@@ -101,14 +107,41 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return written(telling.join(counts, F.col("item_id") == F.col("c_item")).drop("c_item"), "items")
 
 
-def matched_places(docs: DataFrame, items: DataFrame) -> DataFrame:
+def exact_windows(benchmark: DataFrame) -> DataFrame:
+    """Item, place, size and hash of all windows of the plain words of every item, and how many its item has."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", exact_words(F.col("text")).alias("words"))
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).where(F.col("size") > 0)
+    n_windows = F.size("words") - F.col("size") + 1
+    placed = items.withColumn("item_windows", n_windows.cast("long")).withColumn(
+        "item_place", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size")))
+    )
+    window = F.slice("words", F.col("item_place") + 1, F.col("size"))
+    hashed = F.xxhash64(F.transform(window, lambda w: F.xxhash64(w))).alias("hash")
+    return written(placed.select("item_id", "item_place", "size", hashed, "item_windows"), "exact-items")
+
+
+def exact_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Document, item and share of the item's plain windows found at one place."""
+    items = exact_windows(benchmark)
+    places = matched_places(docs, items, exact_words).withColumn("shift", F.col("place") - F.col("item_place"))
+    windows = items.select(F.col("item_id").alias("i"), "item_windows").distinct()
+    return (
+        places.groupBy("doc_id", "item_id", "shift")
+        .agg(F.countDistinct("item_place").alias("found"))
+        .join(windows, F.col("item_id") == F.col("i"))
+        .where(F.col("found") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows")))
+        .select("doc_id", "item_id", "found", "item_windows", F.lit(False).alias("differs"))
+    )
+
+
+def matched_places(docs: DataFrame, items: DataFrame, words: Callable[[Column], Column]) -> DataFrame:
     """Document, item and the two places of every window they have in common."""
     small = items.count() <= BROADCAST_ROWS
     sizes = [row["size"] for row in items.select("size").distinct().orderBy("size").collect()]  # WINDOW at most
     found = None
     for size in sizes:
         of_size = items.where(F.col("size") == size).select("item_id", "item_place", "hash")
-        hashed = F.transform(template_words(F.col("text")), lambda w: F.xxhash64(w))
+        hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
         # The outer form: the inner one would compute all windows once more in a filter on their number.
         rows = docs.select("doc_id", hashed.alias("hashes")).select(
             "doc_id", F.posexplode_outer(window_hashes(F.col("hashes"), size)).alias("place", "d_hash")
@@ -128,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Document, item, share of the item's windows found at one place, and whether parameters differ."""
     docs = docs.select("doc_id", "text")
     items = item_windows(benchmark)
-    places = matched_places(docs, items).withColumn("shift", F.col("place") - F.col("item_place"))
+    places = matched_places(docs, items, template_words).withColumn("shift", F.col("place") - F.col("item_place"))
     windows = items.select(F.col("item_id").alias("i"), "item_windows").distinct()
     runs = written(
         places.groupBy("doc_id", "item_id", "shift")
@@ -200,9 +233,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         slots,
         (F.col("doc_id") == F.col("s_doc")) & (F.col("item_id") == F.col("s_item")) & (F.col("shift") == F.col("s_shift")),
     ).where(consistent | (F.col("exact") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))))
-    return checked.groupBy("doc_id", "item_id").agg(
+    checked = checked.select("doc_id", "item_id", "found", "item_windows", F.coalesce("differs", F.lit(False)).alias("differs"))
+    return checked.union(exact_leaks(docs, benchmark)).groupBy("doc_id", "item_id").agg(
         F.max(F.col("found") / F.col("item_windows")).alias("share"),
-        F.min(F.coalesce("differs", F.lit(False))).alias("other_parameters"),
+        F.min("differs").alias("other_parameters"),
     )
 
 

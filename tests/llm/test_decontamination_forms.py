@@ -1,4 +1,4 @@
-"""Copies of benchmark items that differ in single slots."""
+"""Copies of benchmark items that differ in single slots; short and slot-heavy items."""
 
 from lineward.llm.decontaminate import leaks
 
@@ -17,3 +17,15 @@ def test_one_changed_occurrence_in_a_long_copy(spark):
     part = "then the old man met Anna near the long river and told her about the sea and all the ships on it"
     item = " while ".join([part] * 2)
     assert found(spark, item, [item.replace("Anna", "Hanna", 1), "nothing of that kind"]) == {0}
+
+
+def test_short_and_slot_heavy_items(spark):
+    texts = {
+        "What is the capital of France?": "He asked What is the capital of France? and left",
+        "Anna buys some red apples": "today Bernd buys some red apples",
+        "12 + 35 = 47": "we know that 12 + 35 = 47 holds",
+        "Marie Curie": "a talk on marie curie was held",
+        "Anna met Bernd, Carla, Doris and Emil in Rome": "anna met bernd, carla, doris and emil in rome",
+    }
+    for item, text in texts.items():
+        assert found(spark, item, [text, "nothing of that kind"]) == {0}, item
