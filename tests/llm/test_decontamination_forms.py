@@ -14,8 +14,8 @@ def test_one_value_for_two_quantities(spark):
 
 
 def test_one_changed_occurrence_in_a_long_copy(spark):
-    part = "then the old man met Anna near the long river and told her about the sea and all the ships on it"
-    item = " while ".join([part] * 2)
+    item = "then the old man met Anna near the long river and told her about the sea while little Anna sat by it"
+    item += " and heard of all the ships that had gone down there in the storms of the years before the war"
     assert found(spark, item, [item.replace("Anna", "Hanna", 1), "nothing of that kind"]) == {0}
 
 
