@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineward.llm.common import table
 from lineward.llm.decontaminate import decontaminate
+from lineward.llm.divergence import ORACLE as DIVERGENCE_SQL
+from lineward.llm.divergence import source_divergence
 from lineward.llm.html_extract import extract_pages
 from lineward.llm.language_id import identify_languages
 from lineward.llm.language_model import score_documents
@@ -59,6 +61,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_sharding": op2_sharding,
@@ -70,6 +76,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_source_divergence": DIVERGENCE_SQL}
