@@ -13,6 +13,9 @@ from lineward.llm.html_extract import extract_pages
 from lineward.llm.language_id import identify_languages
 from lineward.llm.language_model import score_documents
 from lineward.llm.minhash import near_duplicates
+from lineward.llm.phrases import fingerprint_documents
+from lineward.llm.pivots import ORACLE as PIVOTS_SQL
+from lineward.llm.pivots import cluster_vectors
 from lineward.llm.quality_classifier import classify_quality
 from lineward.llm.quality_rules import quality_rules
 from lineward.llm.sentencepieces import encode_documents
@@ -65,6 +68,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_sharding": op2_sharding,
@@ -77,6 +88,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
     "op11_source_divergence": op11_source_divergence,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op11_source_divergence": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {
+    "op11_source_divergence": DIVERGENCE_SQL,
+    "op13_centroid_clustering": PIVOTS_SQL,
+}
