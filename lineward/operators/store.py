@@ -1,14 +1,16 @@
 """The result store: hits of earlier scans, keyed by what was scanned and how.
 
-A store is a table ``(kind, fp, scanned_at, hits, note, file_type)``, kept as parquet partitioned
-by ``kind``. A fingerprint covers content and configuration, so a changed keyword list finds
-nothing, and a copy under another name finds the original's hits.
+A store is a table ``(kind, fp, scanned_at, hits, note, file_type)``. A fingerprint covers content and
+configuration, so a changed keyword list finds nothing, and a copy under another name finds the
+original's hits. On disk it has a folder for each kind, bucketed by fingerprint: looking fingerprints up
+shuffles what is looked up, never the store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +19,26 @@ from pyspark.sql import types as T
 from lineward.config import RESULT_TTL_SECONDS, ScanConfig
 from lineward.functions.fingerprint import fingerprint
 from lineward.functions.match import HITS_TYPE, hits
-from lineward.operators.skew import DEFAULT_SALTS, salted_lookup
+from lineward.session import stored
 
 STORE_SCHEMA = T.StructType(
     [
-        T.StructField("kind", T.StringType()),
         T.StructField("fp", T.StringType()),
         T.StructField("scanned_at", T.TimestampType()),
         T.StructField("hits", HITS_TYPE),
         T.StructField("note", T.StringType()),
         T.StructField("file_type", T.StringType()),
+        T.StructField("kind", T.StringType()),
     ]
 )
+_RESULT = ("hits", "note", "file_type")
+_KNOWN = ("known_hits", "known_note", "known_type")
+# Buckets of a store on disk. Every session that opens a store has to name the same number.
+STORE_BUCKETS = 16
+# A filter over the fingerprints of a store up to this size is sent to every task (some 6 bytes each).
+FILTER_ENTRIES = 8_000_000
+# Tags in one block of the filter.
+BLOCK_TAGS = 64
 
 
 def empty_store(spark: SparkSession) -> DataFrame:
@@ -50,22 +60,45 @@ def store_entries(results: DataFrame, kind: str, scanned_at: datetime) -> DataFr
     """Store rows for scanned targets that carry ``fp`` and ``hits``; one row per fingerprint."""
     have = set(results.columns)
     entries = results.select(
-        F.lit(kind).alias("kind"),
         "fp",
         _moment(scanned_at).alias("scanned_at"),
         "hits",
         (F.col("note") if "note" in have else F.lit("")).alias("note"),
         (F.col("file_type") if "file_type" in have else F.lit("")).alias("file_type"),
+        F.lit(kind).alias("kind"),
     )
     return entries.dropDuplicates(["fp"])
 
 
-def write_store(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").partitionBy("kind").parquet(path)
+def _opened(spark: SparkSession, path: str, buckets: int) -> str:
+    """The name under which this session knows the store at ``path``."""
+    name = f"result_store_{md5(path.encode()).hexdigest()}"
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORE_SCHEMA.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (kind) "
+        f"CLUSTERED BY (fp) SORTED BY (fp) INTO {buckets} BUCKETS LOCATION '{path}' "
+        "OPTIONS (partitionOverwriteMode 'dynamic')"
+    )
+    return name
+
+
+def _current(spark: SparkSession, path: str, buckets: int) -> str:
+    """The same, with the kinds and files that other sessions have added."""
+    name = _opened(spark, path, buckets)
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    spark.catalog.refreshTable(name)
+    return name
+
+
+def write_store(entries: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
+    """Append entries. A task writes one bucket, so each append adds a file per bucket and kind."""
+    name = _opened(entries.sparkSession, path, buckets)
+    placed = entries.select(*STORE_SCHEMA.names).repartition(buckets, "fp")
+    placed.write.insertInto(name)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
+def read_store(spark: SparkSession, path: str, buckets: int = STORE_BUCKETS) -> DataFrame:
+    return spark.table(_current(spark, path, buckets))
 
 
 def ttl_seconds(kind: Column) -> Column:
@@ -96,77 +129,144 @@ def known_results(store: DataFrame, kind: str, as_of: datetime | None = None) ->
     """What the store knows about one kind: ``(fp, known_hits, known_note, known_type)``, each
     fingerprint once.
 
-    The filter on ``kind`` selects one partition folder of the store.
+    The filter on ``kind`` selects one partition folder of the store, and its buckets are kept: no step
+    from here to a join by ``fp`` shuffles the store.
     """
     entries = store.where(F.col("kind") == kind)
     if as_of is not None:
         entries = live_entries(entries, as_of)
     return latest_entries(entries).select(
         "fp",
-        F.col("hits").alias("known_hits"),
-        F.col("note").alias("known_note"),
-        F.col("file_type").alias("known_type"),
+        *(F.col(r).alias(k) for r, k in zip(_RESULT, _KNOWN)),
     )
 
 
-def reuse_results(
-    rows: DataFrame, keys: Sequence[str], known: DataFrame, salts: int = DEFAULT_SALTS
-) -> DataFrame:
+def flagged(rows: DataFrame, known: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: false where the columns ``by`` of a row are certainly not those of a row of ``known``.
+
+    The filter holds a 32-bit tag for every row of ``known``, in blocks that a hash selects. The row count of
+    ``known`` bounds its size; beyond FILTER_ENTRIES there is none, and every row with a value is flagged. About
+    one row in 2^32 / BLOCK_TAGS that isn't in ``known`` is flagged by chance.
+    """
+    entries = known.count()
+    if entries > FILTER_ENTRIES:
+        return rows.withColumn(name, F.col(by[-1]).isNotNull())
+    block = F.pmod(F.xxhash64(*by), F.lit(entries // BLOCK_TAGS + 1))
+    tags = F.collect_set(F.hash(*by)).alias("_tags")
+    blocks = known.select(*by).groupBy(block.alias("_block")).agg(tags)
+    joined = rows.withColumn("_block", block).join(F.broadcast(blocks), "_block", "left")
+    found = F.coalesce(F.array_contains("_tags", F.hash(*by)), F.lit(False))
+    return joined.withColumn(name, found).drop("_block", "_tags")
+
+
+def looked_up(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """``(fp, known_hits, known_note, known_type, is_known)`` for the distinct ``fp`` of candidates, written.
+
+    Only distinct fingerprints meet the store, so a content with very many copies is one row there.
+    Being written, the result joins back by plain shuffles, which adaptive execution can split.
+    """
+    there = known.withColumn("is_known", F.lit(True))
+    found = candidates.select("fp").distinct().join(there, "fp", "left")
+    return stored(found.withColumn("is_known", F.coalesce("is_known", F.lit(False))), "looked-up")
+
+
+def reuse_results(rows: DataFrame, keys: Sequence[str], known: DataFrame) -> DataFrame:
     """Stored hits under the current names: ``(keys..., fp, hits)`` of the rows already known."""
-    found = salted_lookup(rows.select(*keys, "fp"), known, "fp", keys, "inner", salts)
-    return found.select(*keys, "fp", F.col("known_hits").alias("hits"))
+    candidates = flagged(rows.select(*keys, "fp"), known, ["fp"], "_maybe").where("_maybe")
+    candidates = stored(candidates.drop("_maybe"), "candidates")
+    found = looked_up(candidates, known).where("is_known")
+    return candidates.join(found, "fp").select(*keys, "fp", F.col("known_hits").alias("hits"))
+
+
+def pending(rows: DataFrame, keys: Sequence[str], known: DataFrame) -> DataFrame:
+    """``(keys..., fp)`` of the rows that the store knows nothing about."""
+    marked = stored(flagged(rows.select(*keys, "fp"), known, ["fp"], "_maybe"), "marked")
+    candidates = marked.where("_maybe").drop("_maybe")
+    missed = looked_up(candidates, known).where("not is_known").select("fp")
+    new = marked.where("not _maybe").drop("_maybe")
+    return new.unionByName(candidates.join(missed, "fp", "left_semi"))
+
 
+# A scan turns rows with their content into ``(kept columns..., hits, note, file_type)``, row by row.
+Scan = Callable[[DataFrame, Sequence[str]], DataFrame]
 
-def pending(
-    rows: DataFrame, keys: Sequence[str], known: DataFrame, salts: int = DEFAULT_SALTS
+
+def _scan_unless(rows: DataFrame, keys: Sequence[str], content: str, skip: Column, scan: Scan) -> DataFrame:
+    """``(keys..., fp, _skip, result)``, written: rows are scanned where they are read, unless skipped."""
+    emptied = rows.withColumn("_skip", skip).withColumn(content, F.when(~F.col("_skip"), F.col(content)))
+    scanned = scan(emptied, [*keys, "fp", "_skip"])
+    result = F.when(~F.col("_skip"), F.struct(*_RESULT)).alias("result")
+    return stored(scanned.select(*keys, "fp", "_skip", result), "marked")
+
+
+def _completed(
+    rows: DataFrame, keys: Sequence[str], marked: DataFrame, known: DataFrame, scan: Scan
 ) -> DataFrame:
-    """Rows the store knows nothing about, with all their columns."""
-    return salted_lookup(rows, known.select("fp"), "fp", keys, "left_anti", salts)
+    """Skipped rows take the result ``known`` has for their fingerprint; those it hasn't are read again."""
+    columns = [*keys, "fp", *_RESULT]
+    skipped = marked.where("_skip").select(*keys, "fp")
+    found = looked_up(skipped, known)
+    old = skipped.join(found.where("is_known"), "fp").select(
+        *keys,
+        "fp",
+        *(F.col(k).alias(r) for r, k in zip(_RESULT, _KNOWN)),
+        F.lit(True).alias("reused"),
+    )
+    missed = found.where("not is_known").select("fp")
+    again = scan(rows.join(missed, "fp", "left_semi"), [*keys, "fp"]).select(*columns)
+    new = marked.where("not _skip").select(*keys, "fp", "result.*").unionByName(again)
+    return new.withColumn("reused", F.lit(False)).unionByName(old)
 
 
-def scan_incremental(
-    rows: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    known: DataFrame,
-    config: ScanConfig,
-    salts: int = DEFAULT_SALTS,
+def scan_with_store(
+    rows: DataFrame, keys: Sequence[str], content: str, known: DataFrame, scan: Scan
 ) -> DataFrame:
-    """``(keys..., fp, hits, reused)``: known contents take their stored hits, the rest is scanned.
+    """``(keys..., fp, hits, note, file_type, reused)``: known contents take their stored results, the rest
+    is scanned.
 
-    One join serves both, and the scan runs only for rows without a stored result.
+    ``rows`` have an ``fp``. They are read once: contents that the filter rules out are scanned where they are
+    read, and of the others only keys and fingerprints go on, to the store. The few contents that pass
+    the filter by chance (all new ones, where the store is too large for a filter) are read again.
     """
-    joined = salted_lookup(rows.select(*keys, "fp", text), known, "fp", keys, "left", salts)
-    return joined.select(
-        *keys,
-        "fp",
-        F.when(F.col("known_hits").isNotNull(), F.col("known_hits"))
-        .otherwise(hits(F.col(text), config))
-        .alias("hits"),
-        F.col("known_hits").isNotNull().alias("reused"),
+    maybe = flagged(rows, known, ["fp"], "_maybe")
+    marked = _scan_unless(maybe, keys, content, F.col("_maybe"), scan)
+    return _completed(rows, keys, marked, known, scan)
+
+
+def text_scan(text: str, config: ScanConfig) -> Scan:
+    """The scan of a text column."""
+    none = F.lit("")
+    return lambda df, keep: df.select(
+        *keep, hits(F.col(text), config).alias("hits"), none.alias("note"), none.alias("file_type")
     )
 
 
-def scan_unique(
-    df: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    config: ScanConfig,
-    salts: int = DEFAULT_SALTS,
+def scan_incremental(
+    rows: DataFrame, keys: Sequence[str], text: str, known: DataFrame, config: ScanConfig
 ) -> DataFrame:
-    """``(keys..., fp, hits)`` where each distinct content is scanned once.
+    """``(keys..., fp, hits, reused)`` of texts, see ``scan_with_store``."""
+    columns = rows.select(*keys, "fp", text)
+    found = scan_with_store(columns, keys, text, known, text_scan(text, config))
+    return found.drop("note", "file_type")
+
+
+def scan_unique(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfig) -> DataFrame:
+    """``(keys..., fp, hits)`` where each distinct content is scanned once, at its first row by ``keys``.
 
-    Copies are merged before the shuffle, so a content with very many copies arrives as a few rows.
-    Only contents that hit are joined back, and the copies of a content are spread over ``salts``
-    groups.
+    Fingerprints are counted first. Then rows that are neither unique nor the first of their
+    content are passed over, which filters tell in place, and take the hits of the first one. Texts are read twice
+    and never shuffled.
     """
     rows = with_fingerprint(df, text, config).select(*keys, "fp", text)
-    distinct = rows.select("fp", text).dropDuplicates(["fp"])
-    found = distinct.select("fp", hits(F.col(text), config).alias("hits"))
-    hitting = found.where(F.size("hits") > 0)
-    joined = salted_lookup(rows.select(*keys, "fp"), hitting, "fp", keys, "left", salts)
-    none = F.array().cast(HITS_TYPE)
-    return joined.select(*keys, "fp", F.coalesce("hits", none).alias("hits"))
+    first = F.min(F.struct(*keys)).alias("first")
+    counted = rows.groupBy("fp").agg(F.count("*").alias("n"), first).where("n > 1 and fp is not null")
+    copied = stored(counted.select("fp", "first.*"), "copied")
+    told = flagged(flagged(rows, copied, ["fp"], "_copied"), copied, [*keys, "fp"], "_first")
+    scan = text_scan(text, config)
+    marked = _scan_unless(told, keys, text, F.col("_copied") & ~F.col("_first"), scan)
+    of_first = marked.where("not _skip").join(copied.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    known = of_first.select("fp", *(F.col(f"result.{r}").alias(k) for r, k in zip(_RESULT, _KNOWN)))
+    return _completed(rows, keys, marked, known, scan).select(*keys, "fp", "hits")
 
 
 def store_stats(store: DataFrame) -> DataFrame:
@@ -183,12 +283,27 @@ def without_kind(store: DataFrame, kind: str | None = None) -> DataFrame:
     return store.where(F.lit(False) if kind is None else F.col("kind") != kind)
 
 
-def clear_store(spark: SparkSession, path: str, kind: str | None = None) -> None:
-    """Empty a written store, or one kind's partition of it, in place."""
-    nothing = empty_store(spark)
-    # Stated, since under dynamic overwriting a session would replace no partition at all.
-    if kind is None:
-        whole = nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        whole.partitionBy("kind").parquet(path)
-    else:
-        nothing.drop("kind").write.mode("overwrite").parquet(f"{path}/kind={kind}")
+def clear_store(spark: SparkSession, path: str, kind: str | None = None, buckets: int = STORE_BUCKETS) -> None:
+    """Empty a written store, or the folder of one kind, in place."""
+    name = _current(spark, path, buckets)
+    kinds = [kind] if kind else [r["kind"] for r in spark.table(name).select("kind").distinct().collect()]
+    columns = ", ".join(f for f in STORE_SCHEMA.names if f != "kind")
+    empty_store(spark).createOrReplaceTempView("no_results")
+    for one in kinds:  # a static partition is replaced even by nothing
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (kind = '{one}') SELECT {columns} FROM no_results")
+
+
+def prune_store(spark: SparkSession, path: str, as_of: datetime, buckets: int = STORE_BUCKETS) -> None:
+    """Leave the latest live entry of each fingerprint.
+
+    The new folders are written beside the old ones, which stay readable until all are complete, and take their
+    places at the end. Kinds without a live entry are emptied after that.
+    """
+    name = _current(spark, path, buckets)
+    store = spark.table(name)
+    left = latest_entries(live_entries(store, as_of)).select(*STORE_SCHEMA.names)
+    kinds = {r["kind"] for r in store.select("kind").distinct().collect()}
+    live = {r["kind"] for r in left.select("kind").distinct().collect()}
+    left.repartition(buckets, "fp").write.insertInto(name, overwrite=True)
+    for kind in kinds - live:
+        clear_store(spark, path, kind, buckets)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lineward.config import ScanConfig
 from lineward.functions.match import hits
 from lineward.functions.sniff import base_name, extension, extension_mismatch, file_type, is_hidden
 from lineward.operators.report import target_report
+from lineward.operators.store import Scan, known_results, scan_with_store, with_fingerprint
 from lineward.sources.files import with_file_text
 from lineward.sources.office import zip_encryption
 
@@ -95,6 +99,51 @@ def scan_files(files: DataFrame, config: ScanConfig, uploaded: bool = False) ->
     )
 
 
+def file_contents_scan(config: ScanConfig) -> Scan:
+    """The scan of file contents in a column ``content``: what depends on the bytes alone."""
+
+    def scan(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        body = F.coalesce("content", F.lit(bytearray())).alias("content")
+        typed = df.select(*keep, body).withColumn("file_type", file_type(F.col("content")))
+        texts = with_file_text(typed, "content", "text", "file_type")
+        none = F.lit("").alias("note")
+        return texts.select(*keep, hits(F.col("text"), config).alias("hits"), none, "file_type")
+
+    return scan
+
+
+def scan_new_files(
+    files: DataFrame, store: DataFrame, config: ScanConfig, as_of: datetime
+) -> DataFrame:
+    """``(path, fp, hits, file_type, note, is_encrypted, is_hidden, is_pseudo, ext_mismatch, reused)``.
+
+    Hits and types come from the store under today's paths where it knows the content. What depends on
+    the path as well is told anew for every file: whether it is hidden, and whether it is an encrypted archive.
+    """
+    body = F.coalesce("content", F.lit(bytearray()))
+    told = files.select("path", body.alias("content")).withColumn(
+        "_zip", zip_encryption(extension(F.col("path")), F.col("content"))
+    )
+    rows = with_fingerprint(told, "content", config).withColumn("_size", F.octet_length("content"))
+    known = known_results(store, "file", as_of)
+    keys = ["path", "_size", "_zip"]
+    found = scan_with_store(rows, keys, "content", known, file_contents_scan(config))
+    hidden = is_hidden(F.col("path"))
+    encrypted, pseudo = F.col("_zip.is_encrypted"), F.col("_zip.is_pseudo")
+    return found.select(
+        "path",
+        "fp",
+        "hits",
+        "file_type",
+        file_note(F.col("_size"), hidden, encrypted, pseudo).alias("note"),
+        encrypted.alias("is_encrypted"),
+        hidden.alias("is_hidden"),
+        pseudo.alias("is_pseudo"),
+        extension_mismatch(F.col("file_type"), F.col("path")).alias("ext_mismatch"),
+        "reused",
+    )
+
+
 def file_report(
     results: DataFrame, checked_at: str, fmt: str = "md", uploaded: bool = False
 ) -> DataFrame:

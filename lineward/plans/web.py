@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,7 @@ from lineward.config import ScanConfig
 from lineward.functions.html import page_note, with_html_text
 from lineward.functions.match import hits
 from lineward.operators.report import target_report
-from lineward.operators.skew import salted_lookup
-from lineward.operators.store import known_results, with_fingerprint
+from lineward.operators.store import Scan, known_results, scan_with_store, with_fingerprint
 
 
 def scan_pages(pages: DataFrame, config: ScanConfig) -> DataFrame:
@@ -37,6 +37,21 @@ def scan_pages(pages: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
+def page_texts_scan(config: ScanConfig) -> Scan:
+    """The scan of page sources in a column ``html``."""
+
+    def scan(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        texts = with_html_text(df.select(*keep, "html"), "html", "text")
+        return texts.select(
+            *keep,
+            hits(F.col("text"), config).alias("hits"),
+            page_note(F.col("text")).alias("note"),
+            F.lit("").alias("file_type"),
+        )
+
+    return scan
+
+
 def scan_new_pages(
     pages: DataFrame, store: DataFrame, config: ScanConfig, as_of: datetime
 ) -> DataFrame:
@@ -48,19 +63,7 @@ def scan_new_pages(
     """
     rows = with_fingerprint(pages.select("url", "html"), "html", config)
     known = known_results(store, "web", as_of)
-    joined = salted_lookup(rows, known, "fp", ["url"], "left")
-    reused = F.col("known_hits").isNotNull()
-    fresh = joined.withColumn("html", F.when(~reused, F.col("html")))
-    texts = with_html_text(fresh, "html", "text")
-    results = texts.select(
-        "url",
-        "fp",
-        F.when(reused, F.col("known_hits"))
-        .otherwise(hits(F.col("text"), config))
-        .alias("hits"),
-        F.when(reused, F.col("known_note")).otherwise(page_note(F.col("text"))).alias("note"),
-        reused.alias("reused"),
-    )
+    results = scan_with_store(rows, ["url"], "html", known, page_texts_scan(config))
     one = F.any_value(F.struct("hits", "note", "reused")).alias("one")
     return results.groupBy("url", "fp").agg(one).select("url", "fp", "one.*")
 

@@ -36,9 +36,13 @@ def _headed(documents: DataFrame, heads: list[bytes]) -> DataFrame:
     return documents.select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
 
 
-def signed_files(documents: DataFrame) -> DataFrame:
+# Types whose leading bytes are ASCII, so that what follows them still reads as UTF-8.
+READABLE_SIGNATURES = {k: v for k, v in FILE_SIGNATURES.items() if v.isascii()}
+
+
+def signed_files(documents: DataFrame, signatures: dict[str, bytes] = FILE_SIGNATURES) -> DataFrame:
     """``(doc_id, path, content)``: every signature in turn, then plain content; hidden by length."""
-    head = _picked(F.col("doc_id"), [bytearray(h) for h in [*FILE_SIGNATURES.values(), b""]])
+    head = _picked(F.col("doc_id"), [bytearray(h) for h in [*signatures.values(), b""]])
     path = F.concat(
         F.col("source"),
         F.lit("/"),
@@ -51,6 +55,30 @@ def signed_files(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", content.alias("content"), path.alias("path"))
 
 
+def _encoded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        contents = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            content = text.encode()
+            if doc_id % 3 == 1:
+                try:
+                    content = text.encode("gbk")
+                except UnicodeEncodeError:
+                    pass
+            elif doc_id % 3 == 2 and text.isascii():
+                content += b"\xff"
+            contents.append(content)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(contents, pa.binary())], ["doc_id", "content"]
+        )
+
+
+def encoded_files(documents: DataFrame) -> DataFrame:
+    """``(doc_id, content)``: texts as UTF-8, as GBK where that has all their letters, and with a byte
+    behind them that is neither."""
+    return documents.select("doc_id", "text").mapInArrow(_encoded_batches, "doc_id bigint, content binary")
+
+
 def image_files(documents: DataFrame) -> DataFrame:
     return _headed(documents, [*IMAGE_SIGNATURES, b""])
 

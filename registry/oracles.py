@@ -5,6 +5,7 @@ from __future__ import annotations
 from lineward.config import RESULT_TTL_SECONDS, ScanConfig
 from lineward.functions.sniff import AUDIO_SIGNATURES, FILE_SIGNATURES, IMAGE_SIGNATURES
 from lineward.functions.text import STRIP_CHARS
+from registry.derived import READABLE_SIGNATURES
 from registry.settings import (
     CHECKED_AT,
     EVENT_KINDS,
@@ -132,8 +133,20 @@ _SUFFIX = "(['txt', 'pdf', 'png', 'zip', 'html'])[(n_chars % 5 + 1)::INT]"
 _DOT = "CASE WHEN n_chars % 2 = 0 THEN '.' ELSE '' END"
 FILE_PATH = f"source || '/' || {_DOT} || doc_id || '.' || {_SUFFIX}"
 MISMATCH = f"(({FILE_TYPE}) NOT IN ('text', 'binary', 'empty') AND ({FILE_TYPE}) <> {_SUFFIX})"
-# The bytes in front of a text as they read once decoded: only those of ASCII formats can hold or
-# break a keyword, and none does.
+# The same with the signatures that read as UTF-8.
+_READABLE_TYPES = list(READABLE_SIGNATURES)
+_READABLE_TYPE = (
+    f"CASE WHEN doc_id % {len(_READABLE_TYPES) + 1} < {len(_READABLE_TYPES)} "
+    f"THEN ([{', '.join(map(q, _READABLE_TYPES))}])[(doc_id % {len(_READABLE_TYPES) + 1} + 1)::INT] "
+    f"WHEN text = '' THEN 'empty' WHEN {_readable('text')} THEN 'text' ELSE 'binary' END"
+)
+_HEADS = ", ".join(" || ".join(f"chr({b})" for b in h) for h in READABLE_SIGNATURES.values())
+_READABLE_FILES = (
+    f"(SELECT {FILE_PATH} AS path, {_READABLE_TYPE} AS file_type, n_chars % 2 = 0 AS is_hidden, "
+    f"(({_READABLE_TYPE}) NOT IN ('text', 'binary', 'empty') AND ({_READABLE_TYPE}) <> {_SUFFIX}) AS ext_mismatch, "
+    f"CASE WHEN n_chars % 2 = 0 THEN '隐藏文件' ELSE '' END AS note, doc_id % {len(_READABLE_TYPES) + 1} AS head, text AS body, "
+    f"([{_HEADS}, ''])[(doc_id % {len(_READABLE_TYPES) + 1} + 1)::INT] || text AS text FROM documents)"
+)
 _ZIP_PATH = (
     f"source || '/' || {_DOT} || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.dat' ELSE '.zip' END"
 )
@@ -243,6 +256,21 @@ _EVENT_TTL = "CASE event_type " + " ".join(
     f"WHEN {q(e)} THEN {RESULT_TTL_SECONDS[k]}" for e, k in EVENT_KINDS.items()
 ) + " END"
 
+_LABELLED = "SELECT doc_id FROM labels"
+
+
+def _media(kinds: list[str | None], named: str, other: str, empty: str, text: str) -> str:
+    """Files with a signature of each kind in turn, with text and note; known by the same bytes."""
+    head = f"doc_id % {len(kinds)}"
+    return (
+        f"(SELECT doc_id || '.bin' AS path, CASE WHEN kind IS NULL THEN 'unknown' ELSE {named} END AS file_type, "
+        f"CASE WHEN kind IS NULL THEN {q(other)} WHEN shown = '' THEN {q(empty)} ELSE '' END AS note, "
+        f"CASE WHEN kind IS NULL THEN '' ELSE shown END AS text, (head, raw) IN "
+        f"(SELECT ({head}, text) FROM documents WHERE doc_id IN ({_LABELLED})) AS reused "
+        f"FROM (SELECT doc_id, {head} AS head, text AS raw, {text} AS shown, {_cycle(kinds, 'kind')} FROM documents))"
+    )
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 
@@ -775,6 +803,40 @@ ORACLES = {
         f"SELECT s.*, {_fp(TEXT_FUZZY)} IN ({_KNOWN}) AS reused FROM "
         f"({summed('documents', 'doc_id', 'text', TEXT_FUZZY)}) s JOIN documents USING (doc_id)"
     ),
+    "text_rescan": (
+        f"SELECT *, true AS reused FROM ({summed('documents', 'doc_id', 'text', TEXT_FUZZY)})"
+    ),
+    "reuse_files": summed(
+        f"(SELECT *, (head, body) IN (SELECT (doc_id % {len(_READABLE_TYPES) + 1}, text) FROM documents "
+        f"WHERE doc_id IN ({_LABELLED})) AS reused FROM {_READABLE_FILES})",
+        "path", "text", TEXT_EXACT, "file_type, is_hidden, ext_mismatch, note, reused",
+    ),
+    "file_scan": summed(_READABLE_FILES, "path", "text", TEXT_EXACT, "file_type, is_hidden, ext_mismatch"),
+    "src_files": (
+        "SELECT table_name || '.parquet' AS name, 'binary' AS file_type, false AS is_hidden, '' AS note "
+        "FROM information_schema.tables WHERE table_schema = 'main'"
+    ),
+    "reuse_images": summed(
+        _media(_IMAGES, "kind", "不是图片文件", "图片中未检测到文字", _TRIMMED),
+        "path", "text", TEXT_FUZZY, "file_type, note, reused",
+    ),
+    "reuse_audio": summed(
+        _media(_AUDIO, "'audio'", "不是音频文件", "语音识别未能提取文字", "text"),
+        "path", "text", TEXT_FUZZY, "file_type, note, reused",
+    ),
+    "office_rescan": summed(
+        _OFFICE_DOCS, "path", "text", TEXT_FUZZY,
+        "file_type, false AS is_hidden, false AS ext_mismatch, '' AS note, true AS reused",
+    ),
+    "store_prune": (
+        f"SELECT {_EVENT_KIND} AS kind, md5(props) AS fp, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS scanned_at "
+        f"FROM events WHERE ts + to_seconds({_EVENT_TTL}) > TIMESTAMP '{STORE_AS_OF}' GROUP BY 1, 2"
+    ),
+    "page_rescan": (
+        "SELECT s.*, CASE WHEN p.text = '' THEN '无法读取页面内容' ELSE '' END AS note, "
+        f"true AS reused FROM ({summed(PAGE_TEXTS, 'url', 'text', PAGE_FUZZY)}) s "
+        f"JOIN (SELECT url, text FROM {PAGE_TEXTS}) p USING (url)"
+    ),
     "scan_unique": summed("documents", "doc_id", "text", TEXT_FUZZY),
     "ttl_filter": (
         f"SELECT event_id, {_EVENT_KIND} AS kind FROM events "

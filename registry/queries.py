@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lineward.config import ScanConfig
 from lineward.functions.fingerprint import fingerprint, store_key
 from lineward.functions.html import page_note, with_html_text
-from lineward.functions.match import has_charset, line_hit
+from lineward.functions.match import HITS_TYPE, has_charset, line_hit
 from lineward.functions.sniff import (
     audio_type,
     base_name,
@@ -27,7 +27,7 @@ from lineward.functions.text import excerpt, split_keywords, strip, table_conten
 from lineward.functions.urls import canonical_url, is_skipped, netloc, same_site
 from lineward.operators import database, links, summary
 from lineward.operators.keyword_table import join_keywords, scan_keyword_table
-from lineward.operators.media import audio_results, image_results
+from lineward.operators.media import audio_results, image_results, scan_new_media
 from lineward.operators.report import combined_report, target_report
 from lineward.operators.scan import (
     flat_hits,
@@ -39,23 +39,27 @@ from lineward.operators.scan import (
     scan_text,
 )
 from lineward.operators.store import (
+    clear_store,
+    empty_store,
     known_results,
     latest_entries,
     live_entries,
     pending,
+    prune_store,
+    read_store,
     reuse_results,
     scan_incremental,
     scan_unique,
     store_entries,
     store_stats,
     with_fingerprint,
-    without_kind,
+    write_store,
 )
 from lineward.plans.database import database_report, scan_database
-from lineward.plans.files import classify_files, scan_files
+from lineward.plans.files import classify_files, scan_files, scan_new_files
 from lineward.plans.media import audio_report
 from lineward.plans.web import page_report, scan_new_pages, scan_pages
-from lineward.session import checkpoint_dir
+from lineward.session import checkpoint_dir, stored
 from lineward.sources.files import decode_text, read_files, with_file_text
 from lineward.sources.office import zip_encryption
 from lineward.sources.pages import distinct_pages
@@ -81,6 +85,17 @@ from registry.settings import (
 )
 
 
+_MADE: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, make):
+    """What ``make`` returns, once in a session for each data folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents")
 
@@ -119,15 +134,9 @@ def src_text_table(spark, folder):
 
 
 def src_files(spark, folder):
-    """The table files themselves, as files: listed, opened, typed and scanned as bytes."""
+    """The table files themselves, as files: listed, opened and typed."""
     results = scan_files(read_files(spark, f"file://{folder}"), TEXT_EXACT)
-    return results.select(
-        base_name(F.col("path")).alias("name"),
-        "file_type",
-        "is_hidden",
-        "note",
-        F.size("hits").cast("bigint").alias("n_hits"),
-    )
+    return results.select(base_name(F.col("path")).alias("name"), "file_type", "is_hidden", "note")
 
 
 def src_pages(spark, folder):
@@ -169,7 +178,8 @@ def page_note_query(spark, folder):
 
 
 def decode_text_query(spark, folder):
-    files = _documents(spark, folder).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    """Texts in UTF-8, GBK and with a broken byte."""
+    files = derived.encoded_files(_documents(spark, folder))
     return files.select("doc_id", decode_text(F.col("content")).alias("text"))
 
 
@@ -179,9 +189,18 @@ def ooxml_text(spark, folder):
     return texts.select("doc_id", "path", "text")
 
 
+def _office_files(spark, folder):
+    """The archives as a table: made once for all queries of a session, as files that are there would be."""
+    return _once(
+        spark,
+        folder,
+        "office-files",
+        lambda: stored(derived.office_files(_documents(spark, folder)), "office-files"),
+    )
+
+
 def ooxml_scan(spark, folder):
-    files = derived.office_files(_documents(spark, folder))
-    results = scan_files(files.select("path", "content"), TEXT_FUZZY)
+    results = scan_files(_office_files(spark, folder).select("path", "content"), TEXT_FUZZY)
     return _summed(results, "path", "file_type", "note")
 
 
@@ -383,8 +402,8 @@ def file_note(spark, folder):
 
 
 def file_scan(spark, folder):
-    """The file scan over bytes with foreign signatures, names and types."""
-    files = derived.signed_files(_documents(spark, folder))
+    """The file scan over bytes with signatures, names and types."""
+    files = derived.signed_files(_documents(spark, folder), derived.READABLE_SIGNATURES)
     results = scan_files(files.select("path", "content"), TEXT_EXACT)
     return _summed(results, "path", "file_type", "is_hidden", "ext_mismatch")
 
@@ -508,14 +527,37 @@ def fingerprint_query(spark, folder):
     )
 
 
-def _store(spark, folder):
-    """A store holding the results of the labelled documents."""
-    docs = _documents(spark, folder).join(read(spark, folder, "labels"), "doc_id", "left_semi")
+def _written_store(spark, folder, name, entries):
+    """A store on disk, written by a first run and read by the queries that follow."""
+
+    def make():
+        path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+        write_store(entries(), path)
+        return path
+
+    return read_store(spark, _once(spark, folder, name, make))
+
+
+def _labelled(spark, folder):
+    return _documents(spark, folder).join(read(spark, folder, "labels"), "doc_id", "left_semi")
+
+
+def _first_texts(docs):
     rows = with_fingerprint(docs, "text", TEXT_FUZZY)
     results = scan_targets(rows, ["doc_id"], "text", TEXT_FUZZY, keep=["fp"])
     return store_entries(results, "file", STORE_SCANNED_AT)
 
 
+def _store(spark, folder):
+    """A store holding the results of the labelled documents."""
+    return _written_store(spark, folder, "texts", lambda: _first_texts(_labelled(spark, folder)))
+
+
+def _full_store(spark, folder):
+    """A store holding the results of all documents."""
+    return _written_store(spark, folder, "all-texts", lambda: _first_texts(_documents(spark, folder)))
+
+
 def _rows(spark, folder):
     return with_fingerprint(_documents(spark, folder), "text", TEXT_FUZZY)
 
@@ -536,6 +578,69 @@ def scan_incremental_query(spark, folder):
     return _summed(found, "doc_id", "reused")
 
 
+def text_rescan(spark, folder):
+    """A second run over all documents: nothing is scanned again."""
+    known = known_results(_full_store(spark, folder), "file", STORE_AS_OF)
+    found = scan_incremental(_rows(spark, folder), ["doc_id"], "text", known, TEXT_FUZZY)
+    return _summed(found, "doc_id", "reused")
+
+
+def _media_files(spark, folder, files):
+    """Files with the text that was recognised in them."""
+    docs = _documents(spark, folder)
+    made = files(docs).join(docs.select("doc_id", "text"), "doc_id")
+    return made.select("doc_id", F.format_string("%d.bin", "doc_id").alias("path"), "content", "text")
+
+
+def _media_run(spark, folder, kind, files, extractor):
+    found = _once(spark, folder, f"{kind}-files", lambda: stored(_media_files(spark, folder, files), kind))
+
+    def scan(some, store):
+        return scan_new_media(some, "text", store, kind, TEXT_FUZZY, STORE_AS_OF, extractor)
+
+    def first():
+        some = found.join(read(spark, folder, "labels"), "doc_id", "left_semi")
+        return store_entries(scan(some, empty_store(spark)), kind, STORE_SCANNED_AT)
+
+    again = scan(found, _written_store(spark, folder, kind, first))
+    return _summed(again, "path", "file_type", "note", "reused")
+
+
+def reuse_images(spark, folder):
+    return _media_run(spark, folder, "image", derived.image_files, "chi_sim+eng")
+
+
+def reuse_audio(spark, folder):
+    return _media_run(spark, folder, "audio", derived.audio_files, "")
+
+
+def _file_run(spark, folder, name, files, known, config):
+    """A run over files where a first one has seen ``known``."""
+
+    def first():
+        moved = known.select(F.concat(F.lit("old/."), "path").alias("path"), "content")
+        return store_entries(
+            scan_new_files(moved, empty_store(spark), config, STORE_AS_OF), "file", STORE_SCANNED_AT
+        )
+
+    store = _written_store(spark, folder, name, first)
+    again = scan_new_files(files, store, config, STORE_AS_OF)
+    return _summed(again, "path", "file_type", "is_hidden", "ext_mismatch", "note", "reused")
+
+
+def reuse_files(spark, folder):
+    """Files of many types, those of labelled documents known under other, hidden names."""
+    files = derived.signed_files(_documents(spark, folder), derived.READABLE_SIGNATURES)
+    known = files.join(read(spark, folder, "labels"), "doc_id", "left_semi")
+    return _file_run(spark, folder, "files", files, known, TEXT_EXACT)
+
+
+def office_rescan(spark, folder):
+    """A second run over all office files under new names: no archive is opened again."""
+    files = _office_files(spark, folder)
+    return _file_run(spark, folder, "office", files, files, TEXT_FUZZY)
+
+
 def scan_unique_query(spark, folder):
     found = scan_unique(_documents(spark, folder), ["doc_id"], "text", TEXT_FUZZY)
     return _summed(found, "doc_id")
@@ -566,22 +671,56 @@ def store_stats_query(spark, folder):
     return store_stats(_store(spark, folder))
 
 
+def _event_entries(spark, folder):
+    """Events as whole entries without hits."""
+    return _event_store(spark, folder).select(
+        "kind",
+        "fp",
+        "scanned_at",
+        F.array().cast(HITS_TYPE).alias("hits"),
+        F.lit("").alias("note"),
+        F.lit("").alias("file_type"),
+    )
+
+
 def store_clear(spark, folder):
-    left = without_kind(_event_store(spark, folder), "web")
-    return left.groupBy("kind").agg(F.count("*").alias("entries"))
+    """A store of all events on disk, the web folder emptied, read back."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    write_store(_event_entries(spark, folder), path)
+    clear_store(spark, path, "web")
+    return read_store(spark, path).groupBy("kind").agg(F.count("*").alias("entries"))
 
 
-def page_store(spark, folder):
-    """A second run over the stored pages of encrypted sites: everything else is scanned anew."""
+def store_prune(spark, folder):
+    """The same store with only the latest live entry of each content left."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    write_store(_event_entries(spark, folder), path)
+    prune_store(spark, path, STORE_AS_OF)
+    left = read_store(spark, path)
+    return left.select("kind", "fp", F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss").alias("scanned_at"))
+
+
+def _page_run(spark, folder, name, known):
     pages = read(spark, folder, "pages")
-    secure = pages.where(F.col("url").startswith("https:"))
-    first = with_fingerprint(secure, "html", PAGE_FUZZY).select("url", "fp").join(
-        scan_pages(secure, PAGE_FUZZY), "url"
-    )
-    store = store_entries(first, "web", STORE_SCANNED_AT)
+
+    def first():
+        found = scan_new_pages(known(pages), empty_store(spark), PAGE_FUZZY, STORE_AS_OF)
+        return store_entries(found, "web", STORE_SCANNED_AT)
+
+    store = _written_store(spark, folder, name, first)
     return _summed(scan_new_pages(pages, store, PAGE_FUZZY, STORE_AS_OF), "url", "note", "reused")
 
 
+def page_store(spark, folder):
+    """A second run over the stored pages of encrypted sites: everything else is scanned anew."""
+    return _page_run(spark, folder, "secure-pages", lambda p: p.where(F.col("url").startswith("https:")))
+
+
+def page_rescan(spark, folder):
+    """A second run over all pages."""
+    return _page_run(spark, folder, "pages", lambda p: p)
+
+
 # --- roll-ups ------------------------------------------------------------------------------------
 
 
@@ -787,12 +926,19 @@ QUERIES = {
     "reuse_results": reuse_results_query,
     "pending": pending_query,
     "scan_incremental": scan_incremental_query,
+    "text_rescan": text_rescan,
+    "reuse_files": reuse_files,
+    "reuse_images": reuse_images,
+    "reuse_audio": reuse_audio,
+    "office_rescan": office_rescan,
     "scan_unique": scan_unique_query,
     "ttl_filter": ttl_filter,
     "latest_entries": latest_entries_query,
     "store_stats": store_stats_query,
     "store_clear": store_clear,
+    "store_prune": store_prune,
     "page_store": page_store,
+    "page_rescan": page_rescan,
     "source_summary": source_summary,
     "type_distribution": type_distribution,
     "overview": overview,

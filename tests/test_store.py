@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 from hashlib import md5
 
@@ -7,13 +8,14 @@ from pyspark.sql import functions as F
 from lineward.config import RESULT_TTL_SECONDS, ScanConfig
 from lineward.functions.fingerprint import fingerprint, store_key
 from lineward.operators.scan import scan_targets
-from lineward.operators.skew import salted_lookup
 from lineward.operators.store import (
     clear_store,
     empty_store,
+    flagged,
     known_results,
     live_entries,
     pending,
+    prune_store,
     read_store,
     reuse_results,
     scan_incremental,
@@ -24,6 +26,9 @@ from lineward.operators.store import (
     without_kind,
     write_store,
 )
+import lineward.operators.store as store_module
+from lineward.operators.media import scan_new_media
+from lineward.plans.files import scan_new_files
 from lineward.plans.web import scan_new_pages
 
 CONFIG = ScanConfig("秘密,机密", "regex", 0)
@@ -97,13 +102,91 @@ def test_copies_are_scanned_once_and_all_reported(spark):
     assert counts == {i: int("密" in t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
-def test_salted_lookup_equals_a_join(spark, how):
-    rows = spark.range(300).select(F.col("id"), F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 20).alias("k"))
-    table = spark.range(0, 20, 2).select(F.col("id").cast("int").alias("k"), F.lit("t").alias("v"))
-    got = salted_lookup(rows, table, "k", ["id"], how, 5)
-    plain = rows.join(table, "k", how)
-    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+def test_the_filter_misses_no_known_content(spark):
+    known = spark.range(0, 3000, 2).select(F.md5(F.col("id").cast("string")).alias("fp"))
+    rows = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("fp"))
+    told = {r.id: r.maybe for r in flagged(rows, known, ["fp"], "maybe").collect()}
+    assert all(told[i] for i in range(0, 3000, 2)) and sum(told.values()) < 1510
+    assert not any(r.maybe for r in flagged(rows, known.limit(0), ["fp"], "maybe").collect())
+
+
+@pytest.mark.parametrize("entries, tags", [(0, 64), (8_000_000, 1), (8_000_000, 10**9)])
+def test_reuse_without_a_filter_and_with_small_or_large_blocks(spark, monkeypatch, entries, tags):
+    monkeypatch.setattr(store_module, "FILTER_ENTRIES", entries)
+    monkeypatch.setattr(store_module, "BLOCK_TAGS", tags)
+    known = known_results(stored(spark, "file", NOW, "一 秘密", "clean"), "file", NOW)
+    rows = with_fingerprint(docs(spark, "new 机密", "clean", None, "一 秘密"), "text", CONFIG)
+    found = {r.id: (r.reused, len(r.hits)) for r in scan_incremental(rows, ["id"], "text", known, CONFIG).collect()}
+    assert found == {0: (False, 1), 1: (True, 0), 2: (False, 0), 3: (True, 1)}
+    assert sorted(r.id for r in pending(rows, ["id"], known).collect()) == [0, 2]
+    assert sorted(r.id for r in reuse_results(rows, ["id"], known).collect()) == [1, 3]
+    unique = scan_unique(docs(spark, "秘密", "x", "秘密", None, None, "x"), ["id"], "text", CONFIG)
+    assert {r.id: len(r.hits) for r in unique.collect()} == {0: 1, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_contents_that_pass_the_filter_by_chance_are_scanned(spark, monkeypatch):
+    real = store_module.flagged
+    monkeypatch.setattr(store_module, "flagged", lambda rows, known, by, name: real(rows, known, by, name).withColumn(name, F.lit(True)))
+    known = known_results(stored(spark, "file", NOW, "clean"), "file", NOW)
+    rows = with_fingerprint(docs(spark, "new 机密", "clean"), "text", CONFIG)
+    found = {r.id: (r.reused, len(r.hits)) for r in scan_incremental(rows, ["id"], "text", known, CONFIG).collect()}
+    assert found == {0: (False, 1), 1: (True, 0)}
+
+
+def test_a_lookup_shuffles_no_store_and_no_text(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write_store(stored(spark, "file", NOW, "秘密", "x", "y"), path)
+    known = known_results(read_store(spark, path), "file", NOW)
+    fps = with_fingerprint(docs(spark, "秘密", "z"), "text", CONFIG).select("fp").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fps.join(known, "fp", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "result_store" in line)
+    depth, above = re.search(r"\w", lines[at]).start(), []
+    for line in reversed(lines[:at]):
+        found = re.search(r"\w", line)
+        if found and found.start() < depth:
+            depth = found.start()
+            above.append(line)
+    assert any("SortMergeJoin" in line for line in above) and "Bucketed: true" in plan
+    assert not any("Exchange" in line for line in above)
+
+
+def test_files_and_media_are_reused_under_other_names(spark):
+    png, mp3 = b"\x89PNG\r\n\x1a\n", b"ID3"
+    rows = [("a/.x.txt", "一 秘密".encode(), None), ("b/y.png", png + b"1", "机密"), ("c/z.mp3", mp3 + b"1", "秘密"), ("d/e.txt", b"", None)]
+    files = spark.createDataFrame(rows, "path string, content binary, words string")
+    moved = files.withColumn("path", F.concat(F.lit("new/"), F.element_at(F.split("path", r"/\.?"), -1)))
+    first = scan_new_files(files, empty_store(spark), CONFIG, NOW)
+    again = scan_new_files(moved, store_entries(first, "file", NOW), CONFIG, NOW)
+    got = {r.path: (r.reused, len(r.hits), r.file_type, r.note, r.is_hidden) for r in again.collect()}
+    assert got["new/x.txt"] == (True, 1, "binary", "", False)
+    assert {r.path: r.note for r in first.collect()}["a/.x.txt"] == "隐藏文件"
+    assert got["new/e.txt"] == (True, 0, "empty", "无法读取文件", False)
+    for kind, name, other in (("image", "y.png", "不是图片文件"), ("audio", "z.mp3", "不是音频文件")):
+        first = scan_new_media(files, "words", empty_store(spark), kind, CONFIG, NOW)
+        assert not any(r.reused for r in first.collect())
+        store = store_entries(first, kind, NOW)
+        got = {r.path: r for r in scan_new_media(moved, "words", store, kind, CONFIG, NOW).collect()}
+        assert all(r.reused for r in got.values())
+        assert [r.path for r in got.values() if len(r.hits)] == [f"new/{name}"]
+        assert got["new/x.txt"].note == other and got["new/x.txt"].file_type == "unknown"
+        other_reader = scan_new_media(moved, "words", store, kind, CONFIG, NOW, "eng")
+        assert not any(r.reused for r in other_reader.collect())
+
+
+def test_pruning_leaves_the_latest_live_entries(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write_store(stored(spark, "file", NOW - timedelta(days=1), "秘密", "x"), path)
+    write_store(stored(spark, "file", NOW, "秘密"), path)
+    write_store(stored(spark, "web", NOW - timedelta(days=2), "秘密"), path)
+    prune_store(spark, path, NOW)
+    left = [(r.kind, r.scanned_at) for r in read_store(spark, path).collect()]
+    assert sorted(left) == [("file", NOW - timedelta(days=1)), ("file", NOW)]
 
 
 def test_store_on_disk(spark, tmp_path):
@@ -116,10 +199,8 @@ def test_store_on_disk(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in plan
     assert without_kind(store, "web").count() == 2 and without_kind(store).count() == 0
     clear_store(spark, path, "file")
-    spark.catalog.refreshByPath(path)
     assert [r.kind for r in read_store(spark, path).collect()] == ["web"]
     clear_store(spark, path)
-    spark.catalog.refreshByPath(path)
     assert read_store(spark, path).count() == 0
     assert store_stats(empty_store(spark)).first().asDict() == {"total_entries": 0, "size_mb": 0.0}
 
