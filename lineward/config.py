@@ -18,9 +18,6 @@ RESULT_TTL_SECONDS = {
     "db": 3600,
 }
 
-# Up to this many keywords the matcher is one Column expression; longer lists are joined as a table.
-INLINE_KEYWORD_LIMIT = 200
-
 
 def parse_keywords(keywords: str | list[str] | tuple[str, ...] | None) -> tuple[str, ...]:
     """Split a comma-separated list (trimmed, empties dropped); a list is taken as it is."""

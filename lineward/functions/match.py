@@ -39,26 +39,26 @@ HITS_TYPE = T.ArrayType(HIT_TYPE)
 _SUBSTRING_CHAIN = 16
 
 
-def _literal(char: str) -> str:
+def literal(char: str) -> str:
     return char if char.isalnum() or ord(char) > 127 else "\\" + char
 
 
 def _stretch_pattern(keyword: str) -> str:
     """Group 1 is the next stretch; the second branch ends the search."""
-    first, rest = _literal(keyword[0]), keyword[1:]
+    first, rest = literal(keyword[0]), keyword[1:]
     if not rest:
         return f"({first})"
-    body = first + "".join(f"[^{_literal(c)}]*+{_literal(c)}" for c in rest)
+    body = first + "".join(f"[^{literal(c)}]*+{literal(c)}" for c in rest)
     return f"(?s)({body})|{first}.*+"
 
 
-def _bounded_pattern(keywords: Iterable[str], max_insert: int) -> str:
+def bounded_pattern(keywords: Iterable[str], max_insert: int) -> str:
     """Any keyword with at most ``max_insert`` letters in each gap, within one line."""
     gap = f"[^\\n]{{0,{max_insert}}}?" if max_insert > 0 else ""
     tails: dict[str, list[str]] = {}
     for keyword in keywords:
-        tail = "".join(gap + _literal(c) for c in keyword[1:])
-        tails.setdefault(_literal(keyword[0]), []).append(tail)
+        tail = "".join(gap + literal(c) for c in keyword[1:])
+        tails.setdefault(literal(keyword[0]), []).append(tail)
     branches = "|".join(f"(?<={c})(?:{'|'.join(t)})" for c, t in tails.items())
     return f"[{''.join(tails)}](?:{branches})"
 
@@ -85,7 +85,7 @@ def _stretches(low: Column, keywords: Sequence[str], max_insert: int) -> Column:
             F.lit(k).alias("keyword"),
             F.lit(len(k)).alias("size"),
             F.when(
-                low.rlike(_bounded_pattern([k], max_insert)),
+                low.rlike(bounded_pattern([k], max_insert)),
                 F.regexp_extract_all(low, F.lit(_stretch_pattern(k)), F.lit(1)),
             ).alias("found"),
         )
@@ -149,10 +149,10 @@ def may_hit(text: Column, config: ScanConfig) -> Column:
     """A necessary condition on a text or line (lower-cased for the fuzzy matcher)."""
     keywords = config.keyword_list
     if config.is_fuzzy:
-        return text.rlike(_bounded_pattern(keywords, config.max_insert))
+        return text.rlike(bounded_pattern(keywords, config.max_insert))
     if len(keywords) <= _SUBSTRING_CHAIN:
         return _any_of([F.contains(text, F.lit(k)) for k in keywords])
-    return text.rlike(_bounded_pattern(keywords, 0))
+    return text.rlike(bounded_pattern(keywords, 0))
 
 
 def text_may_hit(text: Column, config: ScanConfig) -> Column:

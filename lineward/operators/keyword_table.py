@@ -1,98 +1,73 @@
 """Scanning with a keyword list that arrives as a table and may be long.
 
-Up to ``INLINE_KEYWORD_LIMIT`` keywords become Column expressions. A longer list is joined: every
-keyword is filed under an anchor (its first letters), every place of a line offers the anchors that
-begin there, the equi-join pairs them, and each pair is checked on the spot. Nothing is dropped: a
-keyword can only hit where its anchor is offered.
+Every keyword is filed under an anchor: a few of its letters that must stand in any line it hits. Of all
+anchors a keyword could have, it gets those that are rarest in a sample of the texts. A line lists the
+anchors it holds, each once, and only the ones in use; these meet the keywords in a join, and each pair is checked on
+the line. Nothing is dropped: a keyword can only hit where its anchor is listed.
+
+* A keyword looked for exactly has one anchor, up to three letters of it.
+* With up to ``n`` letters of noise, at least one of any ``n + 1`` neighbouring pairs of its letters stands
+  together in the line, so it has that many pairs as anchors. A keyword with fewer pairs has one letter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineward.config import INLINE_KEYWORD_LIMIT, ScanConfig
-from lineward.functions.text import strip
-from lineward.operators.scan import numbered_lines, scan_text
-
-# Lengths of the anchors of exact keywords: each keyword uses the longest that fits into it.
-_EXACT_ANCHORS = (8, 4, 2, 1)
-
-# A keyword table up to this size, as measured, is sent to every executor.
+from lineward.config import ScanConfig
+from lineward.functions.match import bounded_pattern, literal
+from lineward.functions.text import let, lines_of, strip
+from lineward.operators.scan import numbered_lines
+from lineward.session import stored
+
+# Letters of an anchor at most.
+ANCHOR_LETTERS = 3
+# Texts, and letters of each, in which the frequency of anchors is measured. It decides how fast a scan
+# is, never what it finds.
+SAMPLE_TEXTS = 50
+SAMPLE_LETTERS = 2_000
+# Up to so many anchors are one pattern.
+PATTERN_ANCHORS = 2_000
+# So many keywords are tried first on a line, to see how much of it needs to be searched.
+LIKELY_KEYWORDS = 200
+# Slots of the filter that tells which anchors are in use, a byte each.
+SLOTS = 1 << 17
+# A part of the keyword table up to this size, as measured, is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def _units(col: Column) -> Column:
-    """The text with two bytes per unit, so that any place in it can be cut out directly."""
-    return F.encode(col, "UTF-16BE")
-
-
-def _cut_out(units: Column, at: Column, count: Column) -> Column:
-    return F.substring(units, at * 2 + 1, count * 2)
+def _letters(col: Column) -> Column:
+    return F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
 
 
-def _places(lines: DataFrame, kept: Sequence[str], config: ScanConfig, window: int) -> DataFrame:
-    """``(kept..., at, units, window)``: every place of a line and the units that follow it."""
-    searched = F.lower(F.col("content")) if config.is_fuzzy else F.col("content")
-    placed = lines.where(F.col("content") != "").select(
-        *kept, _units(searched).alias("units"), F.length(searched).alias("letters")
+def _windows(col: Column, letters: int) -> Column:
+    """The distinct runs of up to ``letters`` letters, one from every place."""
+    return F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{1,{letters}}}))"), F.lit(1)))
+
+
+def _frequencies(df: DataFrame, text: str, config: ScanConfig) -> DataFrame:
+    """``(anchor, lines)``: in how many sampled lines each possible anchor is."""
+    sampled = df.select(F.left(F.col(text), F.lit(SAMPLE_LETTERS)).alias("text")).limit(SAMPLE_TEXTS)
+    lines = sampled.select(F.explode(lines_of(F.col("text"))).alias("content"))
+    searched = F.lower("content") if config.is_fuzzy else F.col("content")
+    sizes = F.array(*[F.lit(n) for n in range(1, ANCHOR_LETTERS + 1)])
+    grams = F.flatten(
+        F.transform(
+            sizes,
+            lambda n: F.array_distinct(
+                F.transform(_windows(searched, ANCHOR_LETTERS), lambda w: F.left(w, n))
+            ),
+        )
     )
-    size = (F.octet_length("units") / 2).cast("int")
-    return placed.select(
-        *kept,
-        "units",
-        (size > F.col("letters")).alias("wide"),
-        F.explode(F.sequence(F.lit(0), size - 1)).alias("at"),
-    ).withColumn("window", _cut_out(F.col("units"), F.col("at"), F.lit(window)))
-
-
-def _exact_offers(places: DataFrame, kept: Sequence[str], lengths: Sequence[int]) -> DataFrame:
-    """``(kept..., at, window, anchor)``, the anchors in all lengths in use."""
-    sized = places.withColumn("size", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    anchor = F.substring(F.col("window"), F.lit(1), F.col("size") * 2)
-    return sized.select(*kept, "at", "window", F.xxhash64(anchor).alias("anchor"))
+    return lines.select(F.explode(grams).alias("anchor")).groupBy("anchor").agg(F.count("*").alias("lines"))
 
 
-def _fuzzy_offers(
-    places: DataFrame, kept: Sequence[str], lengths: Sequence[int], max_insert: int
-) -> DataFrame:
-    """``(kept..., at, window, anchor)``: a letter with each letter that may follow it, or alone.
-
-    Letters beyond the basic plane take two units, so in lines that hold some (``wide``) the second
-    letter may be up to twice as far away. A distance of 0 offers the letter alone.
-    """
-    reach = F.when(F.col("wide"), 2 * max_insert + 1).otherwise(max_insert + 1)
-    nearest = F.lit(0 if 1 in lengths else 1)
-    farthest = reach if 2 in lengths else F.lit(0)
-    paired = places.withColumn("distance", F.explode(F.sequence(nearest, farthest)))
-    first = F.substring("window", 1, 2)
-    second = _cut_out(F.col("window"), F.col("distance"), F.lit(1))
-    anchor = F.when(F.col("distance") == 0, first).otherwise(F.concat(first, second))
-    return paired.select(*kept, "at", "window", F.xxhash64(anchor).alias("anchor"))
-
-
-def _begins_here(config: ScanConfig) -> Column:
-    """Whether the keyword of a pair begins at its place; for the fuzzy matcher, whether it may."""
-    if not config.is_fuzzy:
-        size = F.octet_length("keyword_units")
-        return F.substring(F.col("window"), F.lit(1), size) == F.col("keyword_units")
-    # A window that ends inside a two-unit letter is cut before it.
-    last = F.substring("window", -2, 1)
-    torn = last.between(F.lit(bytearray(b"\xd8")), F.lit(bytearray(b"\xdb")))
-    whole = F.when(
-        torn, F.substring(F.col("window"), F.lit(1), F.octet_length("window") - 2)
-    ).otherwise(F.col("window"))
-    return F.regexp_like(F.decode(whole, "UTF-16BE"), F.concat(F.lit("^"), F.col("bounded")))
-
-
-def _letters(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
-
-
-def _with_patterns(keywords: DataFrame, max_insert: int) -> DataFrame:
-    """The two patterns of the fuzzy matcher, built from the keyword column."""
+def _with_patterns(keywords: DataFrame) -> DataFrame:
+    """The letters of each keyword, and the pattern of its stretches (see ``functions.match``)."""
     quoted = F.transform(
         _letters(F.col("keyword")),
         lambda c: F.regexp_replace(c, r"([\x00-\x7f&&[^A-Za-z0-9]])", r"\\$1"),
@@ -111,55 +86,129 @@ def _with_patterns(keywords: DataFrame, max_insert: int) -> DataFrame:
         F.when(F.size("_quoted") > 1, stretch)
         .otherwise(F.concat(F.lit("("), first, F.lit(")")))
         .alias("stretch"),
-        F.array_join("_quoted", f"[^\\n]{{0,{max_insert}}}?").alias("bounded"),
+        F.array_distinct(_letters(F.col("keyword"))).alias("letters"),
     ).drop("_quoted")
 
 
-# A rank orders occurrences by their end and, at the same end, the longer ones first.
-_RANK_STEP = 1 << 24
+def anchored(keywords: DataFrame, frequencies: DataFrame, config: ScanConfig) -> DataFrame:
+    """``(ord, keyword, lines, anchor, size)``, one row for each anchor of a keyword, written."""
+    kw = (
+        keywords.where(F.length("keyword") > 0).groupBy("keyword").agg(F.min("ord").alias("ord"))
+    )
+    letters = F.length("keyword")
+    if config.is_fuzzy:
+        paired = letters >= config.max_insert + 2
+        size, picks = F.when(paired, 2).otherwise(1), F.when(paired, config.max_insert + 1).otherwise(1)
+    else:
+        size, picks = F.least(letters, F.lit(ANCHOR_LETTERS)), F.lit(1)
+    places = F.transform(
+        F.sequence(F.lit(1), letters - size + 1), lambda i: F.substring(F.col("keyword"), i, size)
+    )
+    possible = kw.select("keyword", "ord", picks.alias("picks"), F.posexplode(places).alias("at", "anchor"))
+    rated = possible.join(frequencies, "anchor", "left")
+    rarest = F.array_sort(
+        F.collect_list(F.struct(F.coalesce("lines", F.lit(0)).alias("lines"), "at", "anchor"))
+    )
+    chosen = rated.groupBy("keyword", "ord", "picks").agg(rarest.alias("rarest"))
+    each = F.explode(F.array_distinct(F.slice("rarest", F.lit(1), F.col("picks"))["anchor"]))
+    filed = chosen.select("ord", "keyword", F.get("rarest", F.lit(0))["lines"].alias("lines"), each.alias("anchor"))
+    filed = filed.withColumn("size", F.length("anchor"))
+    return stored(_with_patterns(filed) if config.is_fuzzy else filed, "anchors")
+
+
+def _slot(anchor: Column) -> Column:
+    return F.pmod(F.xxhash64(anchor), F.lit(SLOTS)).cast("int")
 
 
-def _exact_ranks(pairs: DataFrame, kept: Sequence[str]) -> DataFrame:
-    """The best occurrence of each line as one number, which merges in place before the shuffle."""
-    size = (F.octet_length("keyword_units") / 2).cast("bigint")
-    rank = (F.col("at") + size) * _RANK_STEP + (_RANK_STEP - size)
-    return pairs.groupBy(*kept).agg(F.min(rank).alias("rank"))
+def _anchor_pattern(anchors: Sequence[str]) -> str:
+    """Matches, without taking it, any of some anchors of one length."""
 
+    def tree(tails: Sequence[str]) -> str:
+        if len(tails[0]) == 1:
+            return f"[{''.join(map(literal, tails))}]"
+        heads: dict[str, list[str]] = {}
+        for tail in tails:
+            heads.setdefault(tail[0], []).append(tail[1:])
+        return "(?:" + "|".join(literal(h) + tree(t) for h, t in heads.items()) + ")"
 
-def _exact_hits(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Read the keyword back from the line: its end and length are known."""
-    size = _RANK_STEP - F.pmod("rank", F.lit(_RANK_STEP))
-    start = F.floor(F.col("rank") / _RANK_STEP) - size
-    keyword = F.decode(
-        _cut_out(_units(F.col("content")), start.cast("int"), size.cast("int")), "UTF-16BE"
-    )
-    found = ranked.select(*keys, "line", keyword.alias("keyword"), "content")
-    return found.select(
-        *keys,
-        "line",
+    firsts = "".join(literal(c) for c in dict.fromkeys(a[0] for a in anchors))
+    return f"(?s)(?=[{firsts}])(?=({tree(anchors)}))"
+
+
+def _listed(searched: Column, kw: DataFrame) -> Column:
+    """The distinct anchors of a line that are in use, and maybe some that are not.
+
+    Few anchors are one pattern. Of many, the driver sees at most SLOTS numbers of slots, and a line's runs of
+    letters are looked up there.
+    """
+    few = kw.select("size", "anchor").distinct().limit(PATTERN_ANCHORS + 1).collect()
+    if not few:
+        return F.array().cast("array<string>")
+    sizes = sorted({r["size"] for r in few})
+    if len(few) <= PATTERN_ANCHORS:
+        of = {n: sorted(r["anchor"] for r in few if r["size"] == n) for n in sizes}
+        each = [F.regexp_extract_all(searched, F.lit(_anchor_pattern(of[n])), F.lit(1)) for n in sizes]
+        return F.array_distinct(F.concat(*each))
+    used = kw.select("size", _slot(F.col("anchor")).alias("slot")).distinct().collect()
+    sizes = sorted({r["size"] for r in used})
+    filters = {n: bytearray(SLOTS) for n in sizes}
+    for row in used:
+        filters[row["size"]][row["slot"]] = 1
+
+    def in_use(grams: Column, size: int) -> Column:
+        one = F.lit(bytearray(b"\x01"))
+        return F.filter(grams, lambda g: F.substring(F.lit(filters[size]), _slot(g) + 1, F.lit(1)) == one)
+
+    def begins(windows: Column, size: int) -> Column:
+        return F.array_distinct(F.transform(windows, lambda w: F.left(w, F.lit(size))))
+
+    def of_all_sizes(windows: Column) -> Column:
+        return F.concat(*[in_use(windows if n == sizes[-1] else begins(windows, n), n) for n in sizes])
+
+    return let(_windows(searched, sizes[-1]), of_all_sizes)
+
+
+def _up_to_a_hit(content: Column, kw: DataFrame) -> Column:
+    """The line up to the end of an exact hit, if one of the keywords that are likely to hit is in it.
+
+    What ends later cannot be the first to end, so the rest of the line need not be looked at. Which keywords
+    are tried here decides nothing else.
+    """
+    likely = kw.orderBy(F.desc("lines"), "keyword").limit(LIKELY_KEYWORDS).collect()
+    if not likely:
+        return content
+    pattern = bounded_pattern([r["keyword"] for r in likely], 0)
+
+    def cut(found: Column) -> Column:
+        end = F.instr(content, found) + F.length(found) - 1
+        return F.when(found == "", content).otherwise(F.left(content, end))
+
+    return let(F.regexp_extract(content, pattern, 0), cut)
+
+
+def _exact_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs that hit, with the end of the first occurrence and the length: the best one is the least."""
+    placed = pairs.withColumn("at", F.instr(F.col("searched"), F.col("keyword"))).where("at > 0")
+    rank = F.struct(
+        (F.col("at") + F.length("keyword") - 1).alias("end"),
+        (-F.length("keyword")).alias("longest"),
         "keyword",
-        strip(F.col("content")).alias("content"),
         F.col("keyword").alias("matched_text"),
     )
+    return placed.withColumn("best", rank)
 
 
-def _fuzzy_hits(candidates: DataFrame, keys: Sequence[str], max_insert: int) -> DataFrame:
-    """The first keyword in list order whose stretches on the whole line include an accepted one."""
+def _fuzzy_pairs(pairs: DataFrame, max_insert: int) -> DataFrame:
+    """Pairs of which a stretch is accepted; the best keyword is the first in list order."""
     size = F.length("keyword")
     stretches = F.filter(
-        F.regexp_extract_all(F.lower(F.col("content")), F.col("stretch"), F.lit(1)),
+        F.regexp_extract_all(F.col("searched"), F.col("stretch"), F.lit(1)),
         lambda m: F.length(m).between(size, size + max_insert),
     )
-    matched = candidates.withColumn("matched_text", F.get(stretches, F.lit(0)))
-    best = F.min(
-        F.struct("ord", "keyword", strip(F.col("content")).alias("content"), "matched_text")
-    )
-    return (
-        matched.where(F.col("matched_text").isNotNull())
-        .groupBy(*keys, "line")
-        .agg(best.alias("best"))
-        .select(*keys, "line", "best.keyword", "best.content", "best.matched_text")
-    )
+    possible = F.forall("letters", lambda c: F.contains(F.col("searched"), c))
+    matched = pairs.withColumn("matched_text", F.when(possible, F.get(stretches, F.lit(0))))
+    best = F.struct("ord", "keyword", "matched_text")
+    return matched.where(F.col("matched_text").isNotNull()).withColumn("best", best)
 
 
 def join_keywords(
@@ -169,87 +218,36 @@ def join_keywords(
     keywords: DataFrame,
     config: ScanConfig,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = 16,
 ) -> DataFrame:
-    """The join form of the scan, for keyword tables ``(ord, keyword)`` of any length.
+    """Hits ``(keys..., line, keyword, content, matched_text)`` for a keyword table ``(ord, keyword)``.
 
-    A keyword table whose measured size is within ``broadcast_bytes`` is sent to all tasks, and the
-    lines are never shuffled. A larger one is joined by anchor: the places of a frequent anchor are
-    spread over ``salts`` groups, a place brings only as many letters as the longest keyword has, and
-    the pairs found fetch their line afterwards.
+    ``config`` gives the algorithm and the noise budget. Keywords are sent to the lines, which are never
+    shuffled: in one part if the table's measured size is within ``broadcast_bytes``, else in as many parts
+    as it takes, each with a scan of its own. What the parts find of a line is merged.
     """
-    kw = (
-        keywords.where(F.length("keyword") > 0)
-        .groupBy("keyword")
-        .agg(F.min("ord").alias("ord"))
-        .withColumn("keyword_units", _units(F.col("keyword")))
-    )
-    units = F.octet_length("keyword_units") / 2
-    sizes = (2, 1) if config.is_fuzzy else _EXACT_ANCHORS
-    size = F.coalesce(*[F.when(units >= n, F.lit(n)) for n in sizes])
-    # Anchors meet as 64-bit hashes, which Spark looks up several times faster than byte strings;
-    # a collision only adds a pair that fails the check behind the join.
-    anchor = F.substring(F.col("keyword_units"), F.lit(1), size * 2)
-    kw = kw.withColumn("size", size).withColumn("anchor", F.xxhash64(anchor))
-    if config.is_fuzzy:
-        kw = _with_patterns(kw, config.max_insert)
-    # One row: the anchor lengths in use (four values at most), the longest keyword, the table size.
-    texts = [c for c in kw.columns if c not in ("ord", "size", "anchor")]
-    width = sum((F.octet_length(c) for c in texts), F.lit(64))
-    measured = kw.agg(
-        F.collect_set("size").alias("lengths"),
-        F.max(units).cast("int").alias("longest"),
-        F.sum(width).alias("bytes"),
-    ).first()
-    lengths = sorted(measured["lengths"]) or [1]
-    window = measured["longest"] or 1
-    if config.is_fuzzy:
-        window += 2 * config.max_insert
-
-    lines = numbered_lines(df, keys, text)
-    small = (measured["bytes"] or 0) <= broadcast_bytes
-    kept = [*keys, "line", "content"] if small else [*keys, "line"]
-    places = _places(lines, kept, config, window)
-    if config.is_fuzzy:
-        offers = _fuzzy_offers(places, kept, lengths, config.max_insert)
-    else:
-        offers = _exact_offers(places, kept, lengths)
-
-    if small:
-        pairs = offers.join(F.broadcast(kw), "anchor")
-    else:
-        salt = F.pmod(F.xxhash64(*keys, "line"), F.lit(salts)).cast("int")
-        spread_kw = kw.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = offers.withColumn("salt", salt).join(spread_kw, ["anchor", "salt"])
-    begun = pairs.where(_begins_here(config))
-    # Many places of a long line may hit: they merge to one row per line, or per line and keyword,
-    # before anything is sorted or sent.
-    if config.is_fuzzy:
-        merged = begun.select(*kept, "ord", "keyword", "stretch").distinct()
-    else:
-        merged = _exact_ranks(begun, kept)
-    found = merged if small else merged.join(lines, [*keys, "line"])
-    if config.is_fuzzy:
-        return _fuzzy_hits(found, keys, config.max_insert)
-    return _exact_hits(found, keys)
+    kw = anchored(keywords, _frequencies(df, text, config), config)
+    width = sum((F.octet_length(F.col(c).cast("string")) for c in kw.columns), F.lit(64))
+    size = kw.agg(F.sum(width).alias("bytes")).first()["bytes"] or 0
+    parts = max(1, -(-size // max(broadcast_bytes, 1)))
+    whole = numbered_lines(df, keys, text).where(F.col("content") != "")
+
+    def found_by(part: DataFrame) -> DataFrame:
+        searched = F.lower("content") if config.is_fuzzy else _up_to_a_hit(F.col("content"), part)
+        lines = whole.withColumn("searched", searched)
+        listed = lines.withColumn("anchor", F.explode(_listed(F.col("searched"), part)))
+        pairs = listed.join(F.broadcast(part), "anchor")
+        judged = _fuzzy_pairs(pairs, config.max_insert) if config.is_fuzzy else _exact_pairs(pairs)
+        return judged.select(*keys, "line", "best", "content")
+
+    each = [found_by(kw.where(F.pmod(F.hash("keyword"), F.lit(parts)) == i)) for i in range(parts)]
+    merged = reduce(DataFrame.unionByName, each).groupBy(*keys, "line")
+    best = merged.agg(F.min("best").alias("best"), F.any_value("content").alias("content"))
+    content = strip(F.col("content")).alias("content")
+    return best.select(*keys, "line", "best.keyword", content, "best.matched_text")
 
 
 def scan_keyword_table(
-    df: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    keywords: DataFrame,
-    config: ScanConfig,
-    inline_limit: int = INLINE_KEYWORD_LIMIT,
+    df: DataFrame, keys: Sequence[str], text: str, keywords: DataFrame, config: ScanConfig
 ) -> DataFrame:
-    """Hits ``(keys..., line, keyword, content, matched_text)`` for a keyword table ``(ord, keyword)``.
-
-    ``config`` gives the algorithm and the noise budget. The driver sees at most
-    ``inline_limit + 1`` keywords, enough to tell a short list from a long one.
-    """
-    listed = keywords.where(F.length("keyword") > 0).select("ord", "keyword")
-    head = listed.orderBy("ord", "keyword").limit(inline_limit + 1).collect()
-    if len(head) <= inline_limit:
-        inline = ScanConfig([r["keyword"] for r in head], config.algorithm, config.max_insert)
-        return scan_text(df, keys, text, inline)
-    return join_keywords(df, keys, text, listed, config)
+    """The scan of ``df`` with a keyword table of any length, see ``join_keywords``."""
+    return join_keywords(df, keys, text, keywords.select("ord", "keyword"), config)

@@ -35,7 +35,9 @@ _RESULT = ("hits", "note", "file_type")
 _KNOWN = ("known_hits", "known_note", "known_type")
 # Buckets of a store on disk. Every session that opens a store has to name the same number.
 STORE_BUCKETS = 16
-# A filter over the fingerprints of a store up to this size is sent to every task (some 6 bytes each).
+# Stored results up to this size, as measured, are sent to every task.
+BROADCAST_BYTES = 32 * 1024 * 1024
+# Beyond that a filter over the fingerprints is, up to so many of them (some 6 bytes each).
 FILTER_ENTRIES = 8_000_000
 # Tags in one block of the filter.
 BLOCK_TAGS = 64
@@ -141,14 +143,22 @@ def known_results(store: DataFrame, kind: str, as_of: datetime | None = None) ->
     )
 
 
-def flagged(rows: DataFrame, known: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+def measured(table: DataFrame) -> tuple[int, int]:
+    """Rows of a table, and their bytes as JSON."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)
+    found = table.agg(F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return found["rows"], found["bytes"]
+
+
+def flagged(
+    rows: DataFrame, known: DataFrame, by: Sequence[str], name: str, entries: int
+) -> DataFrame:
     """Add ``name``: false where the columns ``by`` of a row are certainly not those of a row of ``known``.
 
-    The filter holds a 32-bit tag for every row of ``known``, in blocks that a hash selects. The row count of
-    ``known`` bounds its size; beyond FILTER_ENTRIES there is none, and every row with a value is flagged. About
-    one row in 2^32 / BLOCK_TAGS that isn't in ``known`` is flagged by chance.
+    The filter holds a 32-bit tag for every row of ``known``, in blocks that a hash selects. ``entries``, the
+    number of these rows, bounds its size; beyond FILTER_ENTRIES there is none, and every row with a value is
+    flagged. About one row in 2^32 / BLOCK_TAGS that isn't in ``known`` is flagged by chance.
     """
-    entries = known.count()
     if entries > FILTER_ENTRIES:
         return rows.withColumn(name, F.col(by[-1]).isNotNull())
     block = F.pmod(F.xxhash64(*by), F.lit(entries // BLOCK_TAGS + 1))
@@ -172,15 +182,23 @@ def looked_up(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 def reuse_results(rows: DataFrame, keys: Sequence[str], known: DataFrame) -> DataFrame:
     """Stored hits under the current names: ``(keys..., fp, hits)`` of the rows already known."""
-    candidates = flagged(rows.select(*keys, "fp"), known, ["fp"], "_maybe").where("_maybe")
-    candidates = stored(candidates.drop("_maybe"), "candidates")
-    found = looked_up(candidates, known).where("is_known")
-    return candidates.join(found, "fp").select(*keys, "fp", F.col("known_hits").alias("hits"))
+    entries, size = measured(known)
+    if size <= BROADCAST_BYTES:
+        found = rows.select(*keys, "fp").join(F.broadcast(known), "fp")
+    else:
+        candidates = flagged(rows.select(*keys, "fp"), known, ["fp"], "_maybe", entries).where("_maybe")
+        candidates = stored(candidates.drop("_maybe"), "candidates")
+        found = candidates.join(looked_up(candidates, known).where("is_known"), "fp")
+    return found.select(*keys, "fp", F.col("known_hits").alias("hits"))
 
 
 def pending(rows: DataFrame, keys: Sequence[str], known: DataFrame) -> DataFrame:
     """``(keys..., fp)`` of the rows that the store knows nothing about."""
-    marked = stored(flagged(rows.select(*keys, "fp"), known, ["fp"], "_maybe"), "marked")
+    fps = known.select("fp")
+    entries, size = measured(fps)
+    if size <= BROADCAST_BYTES:
+        return rows.select(*keys, "fp").join(F.broadcast(fps), "fp", "left_anti").select(*keys, "fp")
+    marked = stored(flagged(rows.select(*keys, "fp"), known, ["fp"], "_maybe", entries), "marked")
     candidates = marked.where("_maybe").drop("_maybe")
     missed = looked_up(candidates, known).where("not is_known").select("fp")
     new = marked.where("not _maybe").drop("_maybe")
@@ -191,12 +209,13 @@ def pending(rows: DataFrame, keys: Sequence[str], known: DataFrame) -> DataFrame
 Scan = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
-def _scan_unless(rows: DataFrame, keys: Sequence[str], content: str, skip: Column, scan: Scan) -> DataFrame:
-    """``(keys..., fp, _skip, result)``, written: rows are scanned where they are read, unless skipped."""
-    emptied = rows.withColumn("_skip", skip).withColumn(content, F.when(~F.col("_skip"), F.col(content)))
-    scanned = scan(emptied, [*keys, "fp", "_skip"])
-    result = F.when(~F.col("_skip"), F.struct(*_RESULT)).alias("result")
-    return stored(scanned.select(*keys, "fp", "_skip", result), "marked")
+def _scan_unless(
+    rows: DataFrame, content: str, skip: Column, scan: Scan, keep: Sequence[str]
+) -> DataFrame:
+    """``(keep..., _skip, hits, note, file_type)``: rows are scanned where they are read, unless skipped."""
+    emptied = rows.withColumn("_skip", skip)
+    emptied = emptied.withColumn(content, F.when(~F.col("_skip"), F.col(content)))
+    return scan(emptied, [*keep, "_skip"]).select(*keep, "_skip", *_RESULT)
 
 
 def _completed(
@@ -214,7 +233,7 @@ def _completed(
     )
     missed = found.where("not is_known").select("fp")
     again = scan(rows.join(missed, "fp", "left_semi"), [*keys, "fp"]).select(*columns)
-    new = marked.where("not _skip").select(*keys, "fp", "result.*").unionByName(again)
+    new = marked.where("not _skip").select(*columns).unionByName(again)
     return new.withColumn("reused", F.lit(False)).unionByName(old)
 
 
@@ -224,12 +243,22 @@ def scan_with_store(
     """``(keys..., fp, hits, note, file_type, reused)``: known contents take their stored results, the rest
     is scanned.
 
-    ``rows`` have an ``fp``. They are read once: contents that the filter rules out are scanned where they are
+    ``rows`` have an ``fp``. They are read once. Where all stored results, by their measured size, can be sent to every
+    task, that is all. Otherwise contents that a filter rules out are scanned where they are
     read, and of the others only keys and fingerprints go on, to the store. The few contents that pass
     the filter by chance (all new ones, where the store is too large for a filter) are read again.
     """
-    maybe = flagged(rows, known, ["fp"], "_maybe")
-    marked = _scan_unless(maybe, keys, content, F.col("_maybe"), scan)
+    entries, size = measured(known)
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(known), "fp", "left")
+        keep = [*keys, "fp", *_KNOWN]
+        scanned = _scan_unless(joined, content, F.col("known_hits").isNotNull(), scan, keep)
+        merged = [
+            F.when(F.col("_skip"), F.col(k)).otherwise(F.col(r)).alias(r) for r, k in zip(_RESULT, _KNOWN)
+        ]
+        return scanned.select(*keys, "fp", *merged, F.col("_skip").alias("reused"))
+    maybe = flagged(rows, known, ["fp"], "_maybe", entries)
+    marked = stored(_scan_unless(maybe, content, F.col("_maybe"), scan, [*keys, "fp"]), "marked")
     return _completed(rows, keys, marked, known, scan)
 
 
@@ -261,11 +290,14 @@ def scan_unique(df: DataFrame, keys: Sequence[str], text: str, config: ScanConfi
     first = F.min(F.struct(*keys)).alias("first")
     counted = rows.groupBy("fp").agg(F.count("*").alias("n"), first).where("n > 1 and fp is not null")
     copied = stored(counted.select("fp", "first.*"), "copied")
-    told = flagged(flagged(rows, copied, ["fp"], "_copied"), copied, [*keys, "fp"], "_first")
+    entries = copied.count()
+    told = flagged(rows, copied, ["fp"], "_copied", entries)
+    told = flagged(told, copied, [*keys, "fp"], "_first", entries)
     scan = text_scan(text, config)
-    marked = _scan_unless(told, keys, text, F.col("_copied") & ~F.col("_first"), scan)
+    skip = F.col("_copied") & ~F.col("_first")
+    marked = stored(_scan_unless(told, text, skip, scan, [*keys, "fp"]), "marked")
     of_first = marked.where("not _skip").join(copied.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    known = of_first.select("fp", *(F.col(f"result.{r}").alias(k) for r, k in zip(_RESULT, _KNOWN)))
+    known = of_first.select("fp", *(F.col(r).alias(k) for r, k in zip(_RESULT, _KNOWN)))
     return _completed(rows, keys, marked, known, scan).select(*keys, "fp", "hits")
 
 

@@ -105,13 +105,14 @@ def test_copies_are_scanned_once_and_all_reported(spark):
 def test_the_filter_misses_no_known_content(spark):
     known = spark.range(0, 3000, 2).select(F.md5(F.col("id").cast("string")).alias("fp"))
     rows = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("fp"))
-    told = {r.id: r.maybe for r in flagged(rows, known, ["fp"], "maybe").collect()}
+    told = {r.id: r.maybe for r in flagged(rows, known, ["fp"], "maybe", 1500).collect()}
     assert all(told[i] for i in range(0, 3000, 2)) and sum(told.values()) < 1510
-    assert not any(r.maybe for r in flagged(rows, known.limit(0), ["fp"], "maybe").collect())
+    assert not any(r.maybe for r in flagged(rows, known.limit(0), ["fp"], "maybe", 0).collect())
 
 
 @pytest.mark.parametrize("entries, tags", [(0, 64), (8_000_000, 1), (8_000_000, 10**9)])
 def test_reuse_without_a_filter_and_with_small_or_large_blocks(spark, monkeypatch, entries, tags):
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(store_module, "FILTER_ENTRIES", entries)
     monkeypatch.setattr(store_module, "BLOCK_TAGS", tags)
     known = known_results(stored(spark, "file", NOW, "一 秘密", "clean"), "file", NOW)
@@ -125,8 +126,8 @@ def test_reuse_without_a_filter_and_with_small_or_large_blocks(spark, monkeypatc
 
 
 def test_contents_that_pass_the_filter_by_chance_are_scanned(spark, monkeypatch):
-    real = store_module.flagged
-    monkeypatch.setattr(store_module, "flagged", lambda rows, known, by, name: real(rows, known, by, name).withColumn(name, F.lit(True)))
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(store_module, "flagged", lambda rows, known, by, name, entries: rows.withColumn(name, F.lit(True)))
     known = known_results(stored(spark, "file", NOW, "clean"), "file", NOW)
     rows = with_fingerprint(docs(spark, "new 机密", "clean"), "text", CONFIG)
     found = {r.id: (r.reused, len(r.hits)) for r in scan_incremental(rows, ["id"], "text", known, CONFIG).collect()}
@@ -156,7 +157,9 @@ def test_a_lookup_shuffles_no_store_and_no_text(spark, tmp_path):
     assert not any("Exchange" in line for line in above)
 
 
-def test_files_and_media_are_reused_under_other_names(spark):
+@pytest.mark.parametrize("most_bytes", [1 << 25, -1])
+def test_files_and_media_are_reused_under_other_names(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", most_bytes)
     png, mp3 = b"\x89PNG\r\n\x1a\n", b"ID3"
     rows = [("a/.x.txt", "一 秘密".encode(), None), ("b/y.png", png + b"1", "机密"), ("c/z.mp3", mp3 + b"1", "秘密"), ("d/e.txt", b"", None)]
     files = spark.createDataFrame(rows, "path string, content binary, words string")
