@@ -303,7 +303,7 @@ def count_filter(docs: DataFrame, grams: DataFrame, tokens: int, bits: int) -> C
     for i in range(n_parts):
         part = np.zeros((size, segment_bits // 8), np.uint8)
         of_part = segments.where((F.col("segment") >= i * size) & (F.col("segment") < (i + 1) * size))
-        for row in of_part.collect():  # PART_BITS together at most
+        for row in of_part.toLocalIterator():  # a few segments at a time
             part[row["segment"] - i * size] = np.frombuffer(row["bits"], np.uint8)
         parts.append(docs.sparkSession.sparkContext.broadcast(part.ravel()))
     return CountFilter(parts, segment_bits)
