@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, but for those written as ``kept``.
+
+    What is returned from within must not read the deleted ones any more. Shuffle files of the finished jobs
+    go as well, as soon as the driver drops its references to them.
+    """
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def written(
+    df: DataFrame, name: str, batch_rows: int | None = None, kept: bool = False
+) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back.
 
     A lost executor then costs no recomputation, and every reader takes only the columns it needs.
-    ``batch_rows`` bounds the rows that an Arrow function of ``df`` is given at once.
+    ``batch_rows`` bounds the rows that an Arrow function of ``df`` is given at once. ``kept`` makes the table
+    outlive the innermost ``scratch``.
     """
+    scopes = _scopes.__dict__.get("open", [])
+    scopes = scopes[:-1] if kept else scopes
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if scopes:
+        scopes[-1].append(folder)
     before = spark.conf.get(BATCH_ROWS)
     spark.conf.set(BATCH_ROWS, batch_rows or before)
     try:

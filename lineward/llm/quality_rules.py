@@ -5,11 +5,12 @@ the distinct documents are counted. Copies and near copies of a document are no
 count as one. Whether documents are near copies is decided by what they do not share: lines in more distinct
 whole contents than the limit are candidates, and a document is known by its other lines, but for variants
 of candidates. Where that leaves fewer than MIN_OWN_WORDS words, it is known by all of its lines. Documents
-whose lines so taken are near duplicates are one. Candidates in more documents than the limit are removed;
+whose lines so taken are near duplicates, by a sketch of their smallest shingle hashes, are one. Candidates in more documents than the limit are removed;
 a document that loses more than a share of its words with them is depleted and rejected.
 
 Null and empty texts have no words and fail by their length. Documents without host share one host.
-Rows are judged one by one, repeated ones too.
+Rows are judged one by one, repeated ones too. A very long text is taken alone, in arrays of some 60 bytes for each
+of its bytes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import TEXT_ROWS, written
+from lineward.llm.common import TEXT_ROWS, scratch, written
 from lineward.llm.minhash import near_duplicates
 from lineward.llm.words import Block, Hasher, blocks, lower_table, repeated, same_text, sequence_hashes
 
@@ -36,6 +37,10 @@ VARIANT_PERCENT = 20
 MIN_OWN_WORDS = 5
 # Documents are near copies when their sets of shingles agree in this share.
 NEAR_PERCENT = 60
+# Smallest shingle hashes that a document is known by.
+KNOWN_BY = 256
+# Documents that a task remembers, to take repeated rows once.
+SEEN_ROWS = 200_000
 # Row numbers and shingles up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 # A line that stands in more distinct documents of a host than this is boilerplate.
@@ -117,8 +122,18 @@ def line_shingles(words: np.ndarray, first: np.ndarray, last: np.ndarray, hasher
     return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(first)))]), value.astype(np.uint32)
 
 
+def contents(block: Block, words: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """The hash of all words of each text."""
+    ends = np.cumsum(block.words)
+    return hasher.runs(words, ends - block.words, ends)
+
+
+def _hosted(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row its number, id, host, counts, content hash, its lines with their words, and their shingles."""
+    """Per row its number, id, host, counts, content hash, and its lines with the number of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, folded, plain = Hasher(np.arange(256, dtype=np.uint8)), Hasher(line_table()), Hasher()
@@ -126,10 +141,7 @@ def measured(docs: DataFrame) -> DataFrame:
             for block in blocks(batch.column(2)):
                 found = counts(block, exact)
                 doc, value, first, last = lines(block, folded)
-                words = plain.words(block)
-                ends = np.cumsum(block.words)
-                content = plain.runs(words, ends - block.words, ends)
-                near_bounds, near = line_shingles(words, first, last, plain)
+                content = contents(block, plain.words(block), plain)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.rows))])
                 pairs = pa.StructArray.from_arrays(
                     [pa.array(value.view(np.int64)), pa.array((last - first).astype(np.int64))], ["line", "words"]
@@ -141,43 +153,94 @@ def measured(docs: DataFrame) -> DataFrame:
                         *(pa.array(v.astype(np.int64)) for v in found.values()),
                         pa.array(content.view(np.int64)),
                         pa.ListArray.from_arrays(bounds.astype(np.int32), pairs),
+                    ],
+                    ["doc_id", "host", *found, "content", "lines"],
+                )
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    schema = f"doc_id {doc_id}, host string, {', '.join(n + ' long' for n in names)}, content long"
+    found = _hosted(docs).mapInArrow(run, f"{schema}, lines array<struct<line: long, words: long>>")
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "measured", TEXT_ROWS)
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """Per document (repeated rows of a task once) its id, host, content hash, and its lines with their words
+    and shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded, plain = Hasher(line_table()), Hasher()
+        seen: set[tuple] = set()
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                doc, value, first, last = lines(block, folded)
+                words = plain.words(block)
+                near_bounds, near = line_shingles(words, first, last, plain)
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.rows))])
+                ids = batch.column(0).slice(block.first, block.rows)
+                hosts = batch.column(1).slice(block.first, block.rows)
+                content = contents(block, words, plain).view(np.int64)
+                rows = []
+                for i, row in enumerate(zip(ids.to_pylist(), hosts.to_pylist(), content.tolist())):
+                    if row not in seen:
+                        rows.append(i)
+                        seen.add(row)
+                if len(seen) > SEEN_ROWS:
+                    seen.clear()
+                found = pa.RecordBatch.from_arrays(
+                    [
+                        ids,
+                        hosts,
+                        pa.array(content),
+                        pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array((last - first).astype(np.int32))),
+                        pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(value.view(np.int64))),
                         pa.ListArray.from_arrays(
                             bounds.astype(np.int32),
                             pa.ListArray.from_arrays(near_bounds.astype(np.int32), near.view(np.int32)),
                         ),
                     ],
-                    ["doc_id", "host", *found, "content", "lines", "shingles"],
+                    ["doc_id", "host", "content", "words", "line", "near"],
                 )
+                yield found.take(pa.array(rows, pa.int64()))
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = f"doc_id {doc_id}, host string, {', '.join(n + ' long' for n in names)}, content long"
-    found = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
-    found = found.mapInArrow(
-        run, f"{schema}, lines array<struct<line: long, words: long>>, shingles array<array<int>>"
+    return _hosted(docs).mapInArrow(
+        run,
+        f"doc_id {doc_id}, host string, content long, words array<int>, line array<long>, near array<array<int>>",
     )
-    return written(found.withColumn("row", F.monotonically_increasing_id()), "measured", TEXT_ROWS)
 
 
 def _above(spread: DataFrame, identity: str, max_documents: int, name: str) -> DataFrame:
     """Host and hash of the lines that ``spread`` has with more than ``max_documents`` identities."""
     frequent = spread.select("host", "line", identity).distinct().groupBy("host", "line").count()
     frequent = frequent.where(F.col("count") > max_documents)
-    return written(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "count"), name)
+    named = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "count")
+    return written(named, name)
 
 
 def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def identities(rows: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
-    """For each row of ``held`` (n_row, host, line: the candidates in it) the row its near copies are known by."""
+def identities(docs: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each host and content of ``held`` (n_row, doc_id, host, content, line: the candidates in it) the
+    number its near copies are known by.
+
+    One document stands for all of the same host and content; its text is read again for the shingles.
+    """
     is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))
-    holding = written(held.select("n_row").distinct(), "holding")
+    each = held.groupBy(F.col("host").alias("h_host"), F.col("content").alias("h_content"))
+    holding = written(each.agg(F.min("doc_id").alias("h_id"), F.min("n_row").alias("row")), "holding")
+    same = (
+        (F.col("host") == F.col("h_host"))
+        & (F.col("content") == F.col("h_content"))
+        & F.col("doc_id").eqNullSafe(F.col("h_id"))
+    )
     placed = (
-        rows.join(_small(holding), F.col("row") == F.col("n_row"), "left_semi")
-        .select("row", "host", F.posexplode(F.arrays_zip("lines", "shingles")).alias("place", "at"))
-        .select("row", "host", "place", "at.lines.line", "at.lines.words", F.col("at.shingles").alias("near"))
+        shingled(docs)
+        .join(_small(holding), same)
+        .select("row", "host", F.posexplode(F.arrays_zip("words", "line", "near")).alias("place", "at"))
+        .select("row", "host", "place", "at.*")
         .join(candidates, is_candidate, "left")
         .select("row", "host", "place", "words", "near", F.col("f_line").isNotNull().alias("is_candidate"))
     )
@@ -205,21 +268,30 @@ def identities(rows: DataFrame, held: DataFrame, candidates: DataFrame) -> DataF
         )
         .select("row", F.when(F.col("own_words") >= MIN_OWN_WORDS, F.col("own")).otherwise(F.col("all")).alias("values"))
     )
-    texts = known.select(F.col("row").alias("doc_id"), F.array_join(F.col("values").cast("array<string>"), " ").alias("text"))
+    least = F.slice(F.array_sort(F.array_distinct("values")), F.lit(1), F.lit(KNOWN_BY))
+    words = F.array_join(F.transform(least, lambda v: F.hex(v.cast("long") + F.lit(1 << 31))), " ")
+    texts = known.select(F.col("row").alias("doc_id"), words.alias("text"))
     found = near_duplicates(written(texts, "known-by"), 1, NEAR_PERCENT)
-    return found.select(F.col("doc_id").alias("i_row"), F.col("component_id").alias("identity"))
+    named = holding.join(found, F.col("row") == F.col("doc_id")).select(
+        F.col("h_host").alias("i_host"), F.col("h_content").alias("i_content"), F.col("component_id").alias("identity")
+    )
+    return written(named.distinct(), "identities", kept=True)
 
 
-def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def frequent_lines(docs: DataFrame, rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Host and hash of the lines in more distinct documents of a host than ``max_documents``."""
-    occurring = rows.select(F.col("row").alias("n_row"), "host", "content", F.explode("lines.line").alias("line"))
+    line = F.explode("lines.line").alias("line")
+    occurring = rows.select(F.col("row").alias("n_row"), "doc_id", "host", "content", line)
     candidates = _above(occurring, "content", max_documents, "candidates")
     if candidates.isEmpty():
         return candidates
     is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))
-    held = written(occurring.join(candidates, is_candidate, "left_semi").select("n_row", "host", "line").distinct(), "held")
-    known = identities(rows, held, candidates)
-    return _above(held.join(known, F.col("n_row") == F.col("i_row")), "identity", max_documents, "frequent")
+    held = occurring.join(candidates, is_candidate, "left_semi")
+    with scratch(docs.sparkSession):
+        known = identities(docs, held, candidates)
+    is_known = (F.col("host") == F.col("i_host")) & (F.col("content") == F.col("i_content"))
+    lines_of_known = held.select("host", "content", "line").distinct().join(known, is_known)
+    return _above(lines_of_known, "identity", max_documents, "frequent")
 
 
 def quality_rules(
@@ -230,13 +302,13 @@ def quality_rules(
     occurring = rows.select("row", "host", F.explode("lines").alias("at")).select("row", "host", "at.*")
     removed = (
         occurring.join(
-            frequent_lines(rows, max_documents),
+            frequent_lines(docs, rows, max_documents),
             (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line")),
         )
         .groupBy(F.col("row").alias("r_row"))
         .agg(F.sum("words").alias("removed_words"))
     )
-    judged = rows.drop("lines", "shingles", "content", "host").join(removed, F.col("row") == F.col("r_row"), "left")
+    judged = rows.drop("lines", "content", "host").join(removed, F.col("row") == F.col("r_row"), "left")
     removed_words = F.coalesce("removed_words", F.lit(0).cast("long"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")
