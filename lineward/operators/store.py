@@ -87,8 +87,10 @@ def _opened(spark: SparkSession, path: str, buckets: int) -> str:
 def _current(spark: SparkSession, path: str, buckets: int) -> str:
     """The same, with the kinds and files that other sessions have added."""
     name = _opened(spark, path, buckets)
-    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-    spark.catalog.refreshTable(name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        spark.catalog.refreshTable(name)
     return name
 
 

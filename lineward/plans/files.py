@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineward.config import ScanConfig
@@ -13,7 +13,7 @@ from lineward.functions.match import hits
 from lineward.functions.sniff import base_name, extension, extension_mismatch, file_type, is_hidden
 from lineward.operators.report import target_report
 from lineward.operators.store import Scan, known_results, scan_with_store, with_fingerprint
-from lineward.sources.files import with_file_text
+from lineward.sources.files import SPLIT_BYTES, read_text_splits, with_file_text
 from lineward.sources.office import zip_encryption
 
 # Notes on files. The last one goes with uploads in the oldest slide format.
@@ -144,6 +144,21 @@ def scan_new_files(
     )
 
 
+def scan_text_files(
+    spark: SparkSession,
+    folder: str,
+    config: ScanConfig,
+    files: DataFrame | None = None,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """``(path, line, keyword, content, matched_text)`` of text files of any size, see ``read_text_splits``."""
+    pieces = read_text_splits(spark, folder, files, split_bytes)
+    found = pieces.select("path", "first_line", F.inline_outer(hits(F.col("text"), config)))
+    found = found.where(F.col("line").isNotNull())
+    line = (F.col("first_line") + F.col("line") - 1).alias("line")
+    return found.select("path", line, "keyword", "content", "matched_text")
+
+
 def file_report(
     results: DataFrame, checked_at: str, fmt: str = "md", uploaded: bool = False
 ) -> DataFrame:

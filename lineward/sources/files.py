@@ -10,10 +10,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from lineward.functions.sniff import OFFICE_MEMBERS, office_kind
-from lineward.session import cut
+from lineward.session import cut, stored
 from lineward.sources.office import office_text
 
 # Bytes of file content handed to Spark at a time by one reading task.
@@ -166,3 +167,109 @@ def with_file_text(
         .when(opaque, F.lit(""))
         .otherwise(decode_text(F.when(F.col("_kind").isNull() & ~opaque, body))),
     ).drop("_kind")
+
+
+# Bytes of a text file that one task reads at a time.
+SPLIT_BYTES = 64 * 1024 * 1024
+
+
+def _lines_from(stream, start: int, end: int, length: int, ahead: int = 1 << 16) -> bytes:
+    """The lines of a file that begin between two places, each with the line feed that ends it."""
+    before = min(start, 1)  # what ends the line before may be the very byte before
+    stream.seek(start - before)
+    data = stream.read(end - start + before)
+    if before:
+        first = data.find(b"\n") + 1
+        if not first:
+            return b""  # a longer line stretches over all of it
+        data = data[first:]
+    while data and not data.endswith(b"\n") and stream.tell() < length:
+        more = stream.read(ahead)
+        at = more.find(b"\n") + 1
+        data += more[:at] if at else more
+        if at:
+            break
+    return data
+
+
+def _is(encoding: str, data: bytes) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _splits(folder: str, prefix: str):
+    """Of each split (path, length, start, end): line feeds, whether it is UTF-8 and GBK, lines begin in it."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                with filesystem.open_input_file(row["path"][len(prefix) :]) as stream:
+                    data = _lines_from(stream, row["start"], row["end"], row["length"])
+                row |= {"feeds": data.count(b"\n"), "utf8": _is("utf-8", data), "gbk": _is("gbk", data)}
+                rows.append(row | {"is_used": bool(data) or row["start"] == 0})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return measured
+
+
+def _texts(folder: str, prefix: str):
+    schema = pa.schema([("path", pa.string()), ("first_line", pa.int64()), ("text", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with filesystem.open_input_file(row["path"][len(prefix) :]) as stream:
+                    data = _lines_from(stream, row["start"], row["end"], row["length"])
+                text = data.decode(row["encoding"], errors="ignore")
+                if not row["is_last"]:  # the line feed at its end begins no line here
+                    text = text.removesuffix("\n")
+                columns = {"path": [row["path"]], "first_line": [row["first_line"]], "text": [text]}
+                yield pa.RecordBatch.from_pydict(columns, schema=schema)
+
+    return read
+
+
+def read_text_splits(
+    spark: SparkSession, folder: str, files: DataFrame | None = None, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """``(path, first_line, text)``: text files in pieces of whole lines, read by many tasks.
+
+    ``files`` are ``(path, length)`` as ``list_files`` gives them; all of ``folder`` by default. A piece has the lines
+    that begin within its range of bytes, and the number of the first. Whether a file is UTF-8, GBK or neither is
+    decided over all its pieces, as ``decode_text`` does for a whole file. Line feeds are no part of another character
+    in either encoding. Files are read twice, first for their encoding and line counts, of
+    which there is one row for each piece. A single line is never divided.
+    """
+    folder = folder.rstrip("/")
+    prefix = _prefix(folder)
+    listed = list_files(spark, folder) if files is None else files
+    last_start = F.greatest(F.col("length") - 1, F.lit(0))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), last_start, F.lit(split_bytes).cast("bigint")))
+    ranges = listed.select("path", "length", starts.alias("start")).withColumn(
+        "end", F.least(F.col("start") + split_bytes, F.col("length"))
+    )
+    tasks = spark.sparkContext.defaultParallelism * 4
+    columns = "path string, length bigint, start bigint, end bigint"
+    measured = ranges.repartition(tasks, "path", "start").mapInArrow(
+        _splits(folder, prefix), f"{columns}, feeds bigint, utf8 boolean, gbk boolean, is_used boolean"
+    )
+    measured = stored(measured, "splits")
+    encodings = measured.groupBy("path").agg(
+        F.when(F.bool_and("utf8") | ~F.bool_and("gbk"), "utf-8").otherwise("gbk").alias("encoding"),
+        F.max(F.when(F.col("is_used"), F.col("start"))).alias("last"),
+    )
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counted = measured.withColumn("first_line", F.coalesce(F.sum("feeds").over(before), F.lit(0)) + 1)
+    pieces = counted.where("is_used").join(encodings, "path").select(
+        "path", "length", "start", "end", "first_line", "encoding", (F.col("start") == F.col("last")).alias("is_last")
+    )
+    return pieces.repartition(tasks, "path", "start").mapInArrow(
+        _texts(folder, prefix), "path string, first_line bigint, text string"
+    )

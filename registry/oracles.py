@@ -803,6 +803,16 @@ ORACLES = {
         f"SELECT s.*, {_fp(TEXT_FUZZY)} IN ({_KNOWN}) AS reused FROM "
         f"({summed('documents', 'doc_id', 'text', TEXT_FUZZY)}) s JOIN documents USING (doc_id)"
     ),
+    "stream_scan": (
+        f"SELECT s.*, doc_id NOT IN ({_LABELLED}) AND {_fp(TEXT_FUZZY)} IN ({_KNOWN}) AS reused FROM "
+        f"({summed('documents', 'doc_id', 'text', TEXT_FUZZY)}) s JOIN documents USING (doc_id)"
+    ),
+    "src_text_splits": (
+        f"SELECT source, CAST(before + line AS BIGINT) AS line, keyword, content FROM "
+        f"({hit_rows('documents', 'doc_id', 'text', TEXT_EXACT)}) JOIN (SELECT doc_id, source, coalesce(sum("
+        "len(string_split(text, chr(10)))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED "
+        "PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) USING (doc_id)"
+    ),
     "text_rescan": (
         f"SELECT *, true AS reused FROM ({summed('documents', 'doc_id', 'text', TEXT_FUZZY)})"
     ),

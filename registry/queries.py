@@ -56,15 +56,16 @@ from lineward.operators.store import (
     write_store,
 )
 from lineward.plans.database import database_report, scan_database
-from lineward.plans.files import classify_files, scan_files, scan_new_files
+from lineward.plans.files import classify_files, scan_files, scan_new_files, scan_text_files
 from lineward.plans.media import audio_report
 from lineward.plans.web import page_report, scan_new_pages, scan_pages
 from lineward.session import checkpoint_dir, stored
-from lineward.sources.files import decode_text, read_files, with_file_text
+from lineward.sources.files import decode_text, list_files, read_files, with_file_text
 from lineward.sources.office import zip_encryption
 from lineward.sources.pages import distinct_pages
 from lineward.sources.sinks import write_report
 from lineward.sources.tables import Table, read_folder_tables, text_columns
+from lineward.streaming.incremental import scan_arrivals
 from registry import derived
 from registry.derived import read
 from registry.settings import (
@@ -139,6 +140,36 @@ def src_files(spark, folder):
     return results.select(base_name(F.col("path")).alias("name"), "file_type", "is_hidden", "note")
 
 
+def src_text_splits(spark, folder):
+    """The documents of each source as one text file, scanned in pieces of 64 KB."""
+
+    def make():
+        path = f"{checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
+        docs = _documents(spark, folder).repartition("source").sortWithinPartitions("source", "doc_id")
+        docs.select("source", "text").write.partitionBy("source").text(path)
+        return path
+
+    path = _once(spark, folder, "text-files", make)
+    location = path if "://" in path else f"file://{path}"
+    files = list_files(spark, location).where(F.col("path").endswith(".txt"))
+    found = scan_text_files(spark, location, TEXT_EXACT, files, split_bytes=64 * 1024)
+    source = F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")
+    return found.select(source, F.col("line").cast("bigint"), "keyword", "content")
+
+
+def stream_scan(spark, folder):
+    """Documents that arrive on a stream, the labelled ones first; copies take the hits of the first batch."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = _documents(spark, folder).select("doc_id", "text", F.lit(STORE_AS_OF).alias("at"))
+    labels = read(spark, folder, "labels")
+    for how in ("left_semi", "left_anti"):
+        docs.join(labels, "doc_id", how).write.mode("append").parquet(f"{base}/in")
+        arrivals = spark.readStream.schema(docs.schema).parquet(f"{base}/in")
+        names = (f"{base}/{n}" for n in ("store", "out", "marks"))
+        scan_arrivals(arrivals, ["doc_id"], "text", "at", TEXT_FUZZY, *names).awaitTermination()
+    return _summed(spark.read.parquet(f"{base}/out"), "doc_id", "reused")
+
+
 def src_pages(spark, folder):
     pages = distinct_pages(read(spark, folder, "pages"))
     return pages.select("url", F.length("html").cast("bigint").alias("n_chars"))
@@ -873,6 +904,7 @@ def report_combined(spark, folder):
 QUERIES = {
     "src_text_table": src_text_table,
     "src_files": src_files,
+    "src_text_splits": src_text_splits,
     "src_pages": src_pages,
     "src_tables": src_tables,
     "sink_report": sink_report,
@@ -931,6 +963,7 @@ QUERIES = {
     "reuse_images": reuse_images,
     "reuse_audio": reuse_audio,
     "office_rescan": office_rescan,
+    "stream_scan": stream_scan,
     "scan_unique": scan_unique_query,
     "ttl_filter": ttl_filter,
     "latest_entries": latest_entries_query,

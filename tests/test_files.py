@@ -4,6 +4,7 @@ import struct
 from io import BytesIO
 from zipfile import ZipFile
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,9 +24,9 @@ from lineward.functions.sniff import (
     is_image,
     is_text,
 )
-from lineward.plans.files import file_report, scan_files
+from lineward.plans.files import file_report, scan_files, scan_text_files
 from lineward.operators.report import report_text
-from lineward.sources.files import decode_text, list_files, read_files, read_visible_files
+from lineward.sources.files import decode_text, list_files, read_files, read_text_splits, read_visible_files
 from lineward.sources.office import read_office, zip_flags
 from lineward.sources.tables import read_whole_texts
 from registry.derived import docx_bytes, pptx_bytes, relations, xlsx_bytes
@@ -278,3 +279,34 @@ def test_office_details():
     )
     assert read_office("pptx", deck) == "===== Slide 1 =====\ntop\nf\nin\nf\ncell\nnote"
     assert read_office("docx", b"no zip") == ""
+
+
+@pytest.mark.parametrize("split_bytes", [1, 3, 7, 64, 10_000])
+def test_text_files_in_pieces_equal_whole_ones(spark, tmp_path, split_bytes):
+    config = ScanConfig("秘密,tion", "regex", 1)
+    contents = {
+        "utf8.txt": "一 秘密\n\nx\r\nna tion 秘1密\nend".encode(),
+        "gbk.txt": "第一行\n机密 秘密\n".encode("gbk"),
+        "neither.txt": b"\xff\xfe tion\n" + "秘密".encode() + b"\xff\n\n",
+        "empty.txt": b"",
+        "feeds.txt": b"\n\n\n",
+        "one line": ("long " * 40 + "tion").encode(),
+        ".hidden": b"tion",
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    folder = f"file://{tmp_path}"
+    found = scan_text_files(spark, folder, config, split_bytes=split_bytes).collect()
+    whole = spark.createDataFrame(list(contents.items()), "name string, content binary")
+    texts = {r.name: r.text for r in whole.select("name", decode_text(F.col("content")).alias("text")).collect()}
+    want = sorted((n, *h) for n, t in texts.items() for h in brute.hits(t, config))
+    assert sorted((r.path.rsplit("/", 1)[1], *r[1:]) for r in found) == want and len(want) == 7
+
+
+def test_pieces_of_a_file_go_to_many_tasks(spark, tmp_path):
+    (tmp_path / "large.txt").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    pieces = read_text_splits(spark, f"file://{tmp_path}", split_bytes=4096)
+    rows = pieces.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > 8
+    assert sorted((r.first_line, r.text.split("\n")[0]) for r in rows if r.text)[-1][1].startswith("line 19")
+    assert all(r.text.startswith(f"line {r.first_line - 1}") for r in rows if r.text)
