@@ -49,9 +49,6 @@ SAMPLED_SEGMENTS = 16
 # Pairs that meet in one task at most, about: a segment is dealt to as many tasks as that needs.
 PAIRS_TOGETHER = 4_000_000
 COMMON_SHARE = 1 << 20
-# Training rows whose pairs fit the weights of the mixture: those whose id falls into one of this many
-# parts of so many that about FIT_ROWS remain.
-FIT_ROWS = 20_000
 RATIO_BINS = 64
 # Pairs a task gathers before it sends them on; bounds its memory only.
 GATHERED = 2_000_000
@@ -362,11 +359,9 @@ class Model:
         return level_before, after, overall
 
 
-def _fitted(docs: DataFrame, model, held: CountFilter, rows: int) -> np.ndarray:
+def _fitted(docs: DataFrame, model, held: CountFilter) -> np.ndarray:
     """The weight of the share after the word before, for each of its levels: by expectation
     maximisation over counts of ratios between the two shares, each token's own occurrence left out."""
-    parts = max(1, rows // FIT_ROWS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = Hasher(), np.zeros((LEVELS, RATIO_BINS), np.int64)
         for _, block in probed_blocks(batches, 1, held):
@@ -377,8 +372,8 @@ def _fitted(docs: DataFrame, model, held: CountFilter, rows: int) -> np.ndarray:
         level, ratio = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"level": level, "ratio": ratio, "n": counts[level, ratio]})
 
-    sample = _training(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
-    found = sample.mapInArrow(run, "level long, ratio long, n long").groupBy("level", "ratio").agg(F.sum("n").alias("n"))
+    each = _training(docs).mapInArrow(run, "level long, ratio long, n long")
+    found = each.groupBy("level", "ratio").agg(F.sum("n").alias("n"))
     counts = np.zeros((LEVELS, RATIO_BINS))
     for row in found.collect():  # LEVELS * RATIO_BINS rows at most
         counts[row["level"], row["ratio"]] = row["n"]
@@ -401,9 +396,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     totals = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"),
         F.count("*").alias("kinds"),
-        F.coalesce(F.sum(F.when(F.col("gram") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("rows"),
     ).first()
-    tokens, kinds, rows = totals["tokens"], totals["kinds"], totals["rows"]
+    tokens, kinds = totals["tokens"], totals["kinds"]
     is_common = F.col("c") * F.lit(COMMON_SHARE) >= F.lit(tokens)
     common = words.where(is_common).select("gram", "c").toArrow()  # COMMON_SHARE rows at most
     held = count_filter(docs, grams, tokens, filter_bits(grams))
@@ -414,7 +408,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         kinds,
     )
     unfitted = spark.sparkContext.broadcast(model)
-    model.weights = _fitted(docs, unfitted, held, rows)
+    model.weights = _fitted(docs, unfitted, held)
     shared, weights = unfitted, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
