@@ -222,56 +222,68 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def identities(docs: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
-    """For each host and content of ``held`` (n_row, doc_id, host, content, line: the candidates in it) the
-    number its near copies are known by.
+def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Row and sketch (as a text of hashes) of the lines that each document of ``holding`` is known by.
 
-    One document stands for all of the same host and content; its text is read again for the shingles.
+    The shingles stay where they are written; what is shuffled has a row for each line at most.
     """
     is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))
-    each = held.groupBy(F.col("host").alias("h_host"), F.col("content").alias("h_content"))
-    holding = written(each.agg(F.min("doc_id").alias("h_id"), F.min("n_row").alias("row")), "holding")
     same = (
         (F.col("host") == F.col("h_host"))
         & (F.col("content") == F.col("h_content"))
         & F.col("doc_id").eqNullSafe(F.col("h_id"))
     )
-    placed = (
-        shingled(docs)
-        .join(_small(holding), same)
-        .select("row", "host", F.posexplode(F.arrays_zip("words", "line", "near")).alias("place", "at"))
-        .select("row", "host", "place", "at.*")
-        .join(candidates, is_candidate, "left")
-        .select("row", "host", "place", "words", "near", F.col("f_line").isNotNull().alias("is_candidate"))
-    )
-    placed = written(placed, "placed-lines")
-    common = written(
-        placed.where("is_candidate").select(F.col("host").alias("c_host"), F.explode("near").alias("c_value")).distinct(),
-        "common-values",
-    )
+    read = shingled(docs).join(_small(holding), same).select("row", "host", "words", "line", "near")
+    read = written(read, "held-lines")
+
+    def each(*columns: str) -> DataFrame:
+        at = F.posexplode(F.arrays_zip("line", *columns)).alias("place", "at")
+        placed = read.select("row", "host", at).select("row", "host", "place", "at.*")
+        return placed.join(_small(candidates), is_candidate, "left").withColumn(
+            "is_candidate", F.col("f_line").isNotNull()
+        )
+
+    near = each("near")
+    common = near.where("is_candidate").select(F.col("host").alias("c_host"), F.explode("near").alias("c_value"))
+    common = written(common.distinct(), "common-values")
+    is_common = (F.col("host") == F.col("c_host")) & (F.col("value") == F.col("c_value"))
     variants = (
-        placed.where("not is_candidate")
+        near.where("not is_candidate")
         .select("row", "host", "place", F.explode("near").alias("value"))
-        .join(_small(common), (F.col("host") == F.col("c_host")) & (F.col("value") == F.col("c_value")), "left")
+        .join(_small(common), is_common, "left")
         .groupBy(F.col("row").alias("v_row"), F.col("place").alias("v_place"))
         .agg((F.lit(100) * F.count("c_value") >= F.lit(VARIANT_PERCENT) * F.count("*")).alias("is_variant"))
         .where("is_variant")
     )
     is_own = ~F.col("is_candidate") & F.col("is_variant").isNull()
-    known = (
-        placed.join(variants, (F.col("row") == F.col("v_row")) & (F.col("place") == F.col("v_place")), "left")
-        .groupBy("row")
+    own = (
+        each("words")
+        .join(variants, (F.col("row") == F.col("v_row")) & (F.col("place") == F.col("v_place")), "left")
+        .groupBy(F.col("row").alias("o_row"))
         .agg(
             F.sum(F.when(is_own, F.col("words")).otherwise(0)).alias("own_words"),
-            F.flatten(F.collect_list(F.when(is_own, F.col("near")))).alias("own"),
-            F.flatten(F.collect_list("near")).alias("all"),
+            F.collect_list(F.when(is_own, F.col("place"))).alias("places"),
         )
-        .select("row", F.when(F.col("own_words") >= MIN_OWN_WORDS, F.col("own")).otherwise(F.col("all")).alias("values"))
     )
-    least = F.slice(F.array_sort(F.array_distinct("values")), F.lit(1), F.lit(KNOWN_BY))
+    own = written(own, "own-lines")
+    kept = F.transform("places", lambda p: F.get("near", p))
+    values = F.flatten(F.when(F.col("own_words") >= MIN_OWN_WORDS, kept).otherwise(F.col("near")))
+    least = F.slice(F.array_sort(F.array_distinct(values)), F.lit(1), F.lit(KNOWN_BY))
     words = F.array_join(F.transform(least, lambda v: F.hex(v.cast("long") + F.lit(1 << 31))), " ")
-    texts = known.select(F.col("row").alias("doc_id"), words.alias("text"))
-    found = near_duplicates(written(texts, "known-by"), 1, NEAR_PERCENT)
+    return read.join(_small(own), F.col("row") == F.col("o_row")).select(F.col("row").alias("doc_id"), words.alias("text"))
+
+
+def identities(docs: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each host and content of ``held`` (n_row, doc_id, host, content, line: the candidates in it) the
+    number its near copies are known by.
+
+    One document stands for all of the same host and content; its text is read again for the shingles.
+    """
+    each = held.groupBy(F.col("host").alias("h_host"), F.col("content").alias("h_content"))
+    holding = written(each.agg(F.min("doc_id").alias("h_id"), F.min("n_row").alias("row")), "holding")
+    with scratch(docs.sparkSession):
+        known = written(known_by(docs, holding, candidates), "known-by", kept=True)
+    found = near_duplicates(known, 1, NEAR_PERCENT)
     named = holding.join(found, F.col("row") == F.col("doc_id")).select(
         F.col("h_host").alias("i_host"), F.col("h_content").alias("i_content"), F.col("component_id").alias("identity")
     )
