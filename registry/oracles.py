@@ -509,6 +509,30 @@ REPORT_DB = (
 )
 
 
+REPORT_DB_MD = (
+    f"WITH {_HITS}, s AS ({_STATS}), c AS (SELECT count(*) AS targets, CAST(sum(hits) AS BIGINT) AS hits, "
+    "count_if(affected) AS affected FROM s), "
+    'k AS (SELECT "table", hits, row_number() OVER (ORDER BY "table") AS target_no FROM s WHERE affected) '
+    + _report_rows(
+        [
+            _md_head(
+                "数据库涉密数据检查报告", q("| 数据库信息 | tables |"), q(f"| 检查时间 | {CHECKED_AT} |"),
+                "'| 扫描表数 | ' || targets || ' |'", "'| 涉密数据条数 | ' || hits || ' |'",
+                "'| 涉及表数 | ' || affected || ' |'",
+            ),
+            _targets(
+                "k",
+                f"list_concat({_BLANK}, ['### 表名：' || \"table\", '- **命中数：** 共 ' || hits || ' 条'])",
+            ),
+            "SELECT 1, CAST(target_no AS BIGINT), CAST(10 AS BIGINT), "
+            "concat_ws(chr(1), row_pk, \"column\", keyword, content), "
+            "'- 行 `' || row_pk || '` | 字段 `' || \"column\" || '` | 关键词 `' || keyword || '` | ' || content "
+            'FROM h JOIN k USING ("table")',
+        ]
+    )
+)
+
+
 def _kind_total(kind: str, source: str, keys: str, text: str, config: ScanConfig) -> str:
     return (
         f"SELECT {q(kind)} AS kind, (SELECT count(*) FROM {source}) AS sources, "
@@ -901,6 +925,7 @@ ORACLES = {
     "report_audio_md": REPORT_AUDIO_MD,
     "report_image_txt": REPORT_IMAGE_TXT,
     "report_db": REPORT_DB,
+    "report_db_md": REPORT_DB_MD,
     "report_combined": REPORT_COMBINED,
     "store_stats": (
         f"WITH h AS ({hit_rows('documents', 'doc_id', 'text', TEXT_FUZZY)}), "

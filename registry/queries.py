@@ -888,6 +888,11 @@ def report_db(spark, folder):
     return database_report(found, "tables", CHECKED_AT, "txt")
 
 
+def report_db_md(spark, folder):
+    found = scan_database(_tables(spark, folder), TABLE_FUZZY)
+    return database_report(found, "tables", CHECKED_AT, "md")
+
+
 def report_combined(spark, folder):
     tables = _tables(spark, folder)
     found = scan_database(tables, TABLE_FUZZY)
@@ -992,5 +997,6 @@ QUERIES = {
     "report_audio_md": report_audio_md,
     "report_image_txt": report_image_txt,
     "report_db": report_db,
+    "report_db_md": report_db_md,
     "report_combined": report_combined,
 }
