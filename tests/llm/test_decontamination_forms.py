@@ -1,6 +1,10 @@
 """Copies of benchmark items that differ in single slots; short and slot-heavy items."""
 
-from lineward.llm.decontaminate import leaks
+import random
+
+from pyspark.sql import functions as F
+
+from lineward.llm.decontaminate import decontaminate, leaks, with_windows
 
 
 def found(spark, item, texts):
@@ -29,3 +33,32 @@ def test_short_and_slot_heavy_items(spark):
     }
     for item, text in texts.items():
         assert found(spark, item, [text, "nothing of that kind"]) == {0}, item
+
+
+def test_common_words_tell_no_item(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    some = [(-i, f"{i} talks were held on Marie Curie in town") for i in range(1, 6)]
+    docs = docs.union(spark.createDataFrame(some, docs.schema))
+    items = [(1, "the"), (2, "Of the"), (3, "Marie Curie")]
+    found = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).where("contaminated").collect()
+    assert {(r["doc_id"], tuple(r["item_ids"])) for r in found} == {(-i, (3,)) for i in range(1, 6)}
+
+
+def test_windows_of_every_size_tell_their_words(spark):
+    words = random.Random(3).choices("ab", k=600)
+    rows = spark.createDataFrame([(words,), (words[::-1],), ([],), (["a"],)], "words array<string>")
+    sizes = list(range(1, 9))
+    rows = with_windows(rows, F.col("words"), sizes, "w").collect()
+    for size in sizes:
+        seen = set()
+        for row in rows:
+            hashes = row[f"w_{size}"]
+            assert len(hashes) == len(row["words"])
+            seen |= {(tuple(row["words"][i : i + size]), hashes[i]) for i in range(len(hashes) - size + 1)}
+        assert len(seen) == len({run for run, _ in seen}) == len({h for _, h in seen})
+
+
+def test_item_at_the_very_end_and_start(spark):
+    item = "one two three four five six seven eight"
+    texts = [item, f"so {item}", f"{item}.", item[:-6], "", " ", "seven eight"]
+    assert found(spark, item, texts) == {0, 1, 2}
