@@ -4,7 +4,8 @@ A page is read into nodes and blocks of text. Parts that are never article text
 (menus, headers, footers, forms, scripts) and by the words of class, id and role (sidebars, notices,
 adverts, comments), unless the part holds the article. Then every block gives points for its length and
 its commas to the nodes above it, less with each level and less the more of it is link text. The node with
-the most points and its siblings that are alike are the article; their blocks are the text, in page order.
+the most points and its siblings that are alike are the article; their blocks are the text, in page order. Of containers with equal points the outermost is taken; pages and blocks
+that are repeated are each read by themselves, and an empty table gives an empty one.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by a line
 feed. Null, empty and markup-only pages give an empty text. Unclosed, misnested and cut-off markup is read
@@ -15,6 +16,8 @@ are safe; nothing is cut.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,7 +28,7 @@ PAGES_AT_ONCE = 500
 
 # Elements of the HTML standard by their role here; fixed values.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object select button".split())
+RAW = set("script style noscript template iframe textarea title svg annotation select button".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption"
     " figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section"
@@ -57,6 +60,11 @@ ARTICLE_WORDS = set("article content entry post story text body main page prose"
 # Reader comments may be longer than the article, and single ones may be article elements themselves.
 COMMENT_WORDS = set("comment comments commentlist disqus replies reply respond".split())
 STRONG_WORDS = set("article post story main".split())
+# Behind these a name tells what stands next to the part, not what the part is.
+LAYOUT_WORDS = set("with has no without".split())
+# What a container hands on to the one above it, where that holds other text as well.
+HANDED_ON = 0.5
+SENTENCE_END = tuple(".!?\u2026\u3002\uff01\uff1f")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
@@ -67,7 +75,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "beside", "comments", "holds_main", "score", "size", "article_words")
+    __slots__ = ("tag", "parent", "beside", "comments", "holds_main", "score", "size", "article_words", "holds_beside", "own")
 
     def __init__(self, tag: str, parent: int, words: set[str] = frozenset()):
         self.tag, self.parent = tag, parent
@@ -76,8 +84,9 @@ class Node:
         self.article_words = not words.isdisjoint(ARTICLE_WORDS)
         aside_article = tag == "article" and self.beside and words.isdisjoint(STRONG_WORDS)
         self.holds_main = tag in MAIN and not aside_article or tag == "h1"
-        self.score = 0.0
+        self.score = self.own = 0.0
         self.size = 0
+        self.holds_beside = False
 
 
 class Block:
@@ -93,7 +102,9 @@ def _named_parts(attributes: str) -> set[str]:
     for name, double, single, bare in _NAMED.findall(attributes):
         name, value = name.lower(), double or single or bare
         if name in ("class", "id", "role"):
-            found |= {w.lower() for w in _WORDS.findall(value)}
+            for part in value.split():
+                words = [w.lower() for w in _WORDS.findall(part)]
+                found |= {w for before, w in zip(["", *words], words) if before not in LAYOUT_WORDS}
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             found.add("hidden")
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -107,6 +118,8 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
     blocks: list[Block] = []
     open_nodes = [0]
     block_nodes = [0]
+    block_depths = [0]
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open nodes of each tag
     parts: list[str] = []
     links = in_link = 0
 
@@ -123,9 +136,11 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
         while len(open_nodes) > depth:
             node = open_nodes.pop()
             tag = nodes[node].tag
+            depths[tag].pop()
             if tag in BLOCK:
                 end_block()
                 block_nodes.pop()
+                block_depths.pop()
             elif tag == "a":
                 in_link -= 1
 
@@ -150,13 +165,9 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
             continue
         tag = tag.lower()
         if ending:
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                name = nodes[open_nodes[depth]].tag
-                if name == tag:
-                    close(depth)
-                    break
-                if name in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag does not close the block around it
+            # An inline end tag does not close the block around it.
+            if depths[tag] and (tag in BLOCK or depths[tag][-1] > block_depths[-1]):
+                close(depths[tag][-1])
             if tag == "p" or tag == "br":
                 parts.append(" ")
             continue
@@ -174,31 +185,23 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
             continue
         if tag in BLOCK:
             end_block()
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                name = nodes[open_nodes[depth]].tag
-                if name == "p":
-                    close(depth)
-                    break
-                if name in BLOCK:
-                    break
+            if nodes[block_nodes[-1]].tag == "p":
+                close(block_depths[-1])
             heads, bounds = CLOSES.get(tag, ((), ()))
-            for depth in range(len(open_nodes) - 1, 0, -1) if heads else ():
-                name = nodes[open_nodes[depth]].tag
-                if name in bounds:
-                    break
-                if name in heads:
-                    close(depth)
+            bound = max((depths[name][-1] for name in bounds if depths[name]), default=0)
+            above = [d[bisect_right(d, bound)] for d in (depths[name] for name in heads) if d and d[-1] > bound]
+            if above:
+                close(min(above))
         elif tag == "a" and in_link:
-            for depth in range(len(open_nodes) - 1, 0, -1):
-                if nodes[open_nodes[depth]].tag == "a":
-                    close(depth)
-                    break
+            close(depths["a"][-1])
         nodes.append(Node(tag, open_nodes[-1], _named_parts(attributes) if attributes.strip() else frozenset()))
         if attributes.rstrip().endswith("/"):
             continue
+        depths[tag].append(len(open_nodes))
         open_nodes.append(len(nodes) - 1)
         if tag in BLOCK:
             block_nodes.append(len(nodes) - 1)
+            block_depths.append(len(open_nodes) - 1)
         elif tag == "a":
             in_link += 1
     close(1)
@@ -206,6 +209,11 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
     return nodes, blocks
 
 
+def _points(block: Block) -> float:
+    density = min(block.links / block.size, 1.0)
+    return (1 + block.text.count(",") + min(block.size / 100, 10)) * (1 - density)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page as text; empty if there is none."""
     if not html:
@@ -213,34 +221,43 @@ def main_text(html: str | None) -> str:
     nodes, blocks = read_page(html)
     for block in blocks:
         nodes[block.node].size += block.size
+        nodes[block.node].own += _points(block)
     for node in reversed(nodes[1:]):
         nodes[node.parent].holds_main |= node.holds_main
         nodes[node.parent].size += node.size
+        aside = node.beside or node.tag in NEVER_TEXT
+        nodes[node.parent].holds_beside |= aside or node.holds_beside
+        # Points of named parts stay with them: what is left above is the text beside which they stand.
+        nodes[node.parent].own += 0.0 if node.beside and not node.holds_beside or node.tag in NEVER_TEXT else node.own
     dropped = [False] * len(nodes)
     for i, node in enumerate(nodes):
         if i:
             by_tag = node.tag in NEVER_TEXT and not (node.tag == "form" and node.holds_main)
             # A part that is named for the article too, and holds most of the text, is the article.
             is_most = node.article_words and not node.comments and 2 * node.size > nodes[0].size
-            by_name = node.beside and not node.holds_main and not is_most
+            # So is one that stands around named parts, and holds most points outside them.
+            is_layout = node.holds_beside and not node.comments and 2 * node.own > nodes[0].own > 0
+            by_name = node.beside and not node.holds_main and not is_most and not is_layout
             dropped[i] = dropped[node.parent] or by_tag or by_name and node.tag not in ("html", "body")
     lists = _link_lists(nodes, blocks)
     kept = [b for b in blocks if not dropped[b.node] and b.node not in lists]
     if not kept:
         return ""
+    sizes = [0] * len(nodes)
     for block in kept:
+        sizes[block.node] += block.size
         if nodes[block.node].tag in HEADINGS:
             continue
-        density = min(block.links / block.size, 1.0)
-        points = (1 + block.text.count(",") + min(block.size / 100, 10)) * (1 - density)
-        at, share, level = nodes[block.node].parent, 1.0, 1
+        at = nodes[block.node].parent
         if nodes[block.node].tag not in ("p", "pre", "blockquote", "li", "td", "dd"):
             at = block.node  # text that stands in its container without an element of its own
-        while at > 0 and level <= 6:
-            nodes[at].score += points * share
-            level += 1
-            share = 1 / level
-            at = nodes[at].parent
+        nodes[max(at, 0)].score += _points(block)
+    for i in range(len(nodes) - 1, 0, -1):
+        sizes[nodes[i].parent] += sizes[i]
+    for i in range(len(nodes) - 1, 0, -1):
+        # A wrapper of nothing else is no level, however often it is nested.
+        above = nodes[i].parent
+        nodes[above].score += nodes[i].score * (1 if sizes[above] == sizes[i] else HANDED_ON)
     for node in nodes:
         if node.tag in MAIN:
             node.score = node.score * 2 + 25
@@ -259,21 +276,25 @@ def main_text(html: str | None) -> str:
 def _siblings(nodes: list[Node], blocks: list[Block], best: int, dropped: list[bool]) -> set[int]:
     """Siblings of the best node that belong to the article: as good a container, or a paragraph or heading."""
     parent, out = nodes[best].parent, set()
+    branch = [0] * len(nodes)  # the child of the parent that a node lies in
+    for i in range(1, len(nodes)):
+        branch[i] = i if nodes[i].parent == parent else branch[nodes[i].parent]
     size: dict[int, int] = {}
     links: dict[int, int] = {}
+    prose: dict[int, bool] = {}
     for block in blocks:
-        at = block.node
-        while at > 0 and nodes[at].parent != parent:
-            at = nodes[at].parent
+        at = branch[block.node]
         if at > 0:
             size[at] = size.get(at, 0) + block.size
             links[at] = links.get(at, 0) + block.links
+            is_prose = nodes[block.node].tag == "p" and (block.size >= 25 or block.text.endswith(SENTENCE_END))
+            prose[at] = prose.get(at, True) and is_prose
     for at, n in size.items():
         if at == best or dropped[at]:
             continue
         density = links[at] / n
         alike = nodes[at].score >= max(10.0, 0.2 * nodes[best].score) and density < 0.3
-        paragraph = nodes[at].tag == "p" and density < 0.25 and n >= 25
+        paragraph = prose[at] and density < 0.25
         heading = nodes[at].tag in ("h1", "h2") and at < best
         if alike or paragraph or heading:
             out.add(at)
@@ -281,13 +302,17 @@ def _siblings(nodes: list[Node], blocks: list[Block], best: int, dropped: list[b
 
 
 def _link_lists(nodes: list[Node], blocks: list[Block]) -> set[int]:
-    """Nodes of the blocks of lists that are nearly all links: menus without a name."""
+    """Nodes of the blocks of lists that are nearly all links: menus without a name. Lists of an article are its own."""
     size: dict[int, list[int]] = {}
     owner: dict[int, int] = {}
+    lists = [0] * len(nodes)
+    for i in range(1, len(nodes)):
+        if nodes[i].tag != "article":
+            lists[i] = i if nodes[i].tag in ("ul", "ol") and lists[nodes[i].parent] >= 0 else lists[nodes[i].parent]
+        else:
+            lists[i] = -1
     for block in blocks:
-        at = block.node
-        while at > 0 and nodes[at].tag not in ("ul", "ol"):
-            at = nodes[at].parent
+        at = lists[block.node]
         if at > 0:
             owner[block.node] = at
             total = size.setdefault(at, [0, 0, 0])
