@@ -27,7 +27,7 @@ DROPPED_ELEMENTS = ("script", "style", "nav", "footer", "header")
 # Elements whose text is not page text (templates, ruby annotations).
 _SILENT_ELEMENTS = ("template", "rt", "rp")
 
-# HTML elements that never have an end tag.
+# Elements without end tag, those of the HTML standard and the obsolete ones its parsing rules name.
 _VOID_ELEMENTS = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()

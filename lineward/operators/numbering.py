@@ -14,14 +14,18 @@ _ROW_BITS = 33  # monotonically_increasing_id() keeps the row number in its lowe
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, 3, ... in the given order.
+    """Add ``name``: 1, 2, 3, ... in the given order; rows that tie go by a hash of their other columns.
 
-    ``df`` is read twice, so it should be a table or a cut result rather than a scan. Rows are range-partitioned and sorted; the sorted copy is written once, which fixes where each
-    row stands. The offset of a partition comes from the row counts of the partitions before it, a
+    ``df`` is read twice, so it should be a table or a cut result rather than a scan. Rows are range-partitioned
+    and sorted, with the hash as last key, so that one value held by very many rows is divided too; the sorted
+    copy is written once, which fixes where each row stands. The offset of a partition comes from the row counts of the partitions before it, a
     table with one row per partition.
     """
+    others = [f.name for f in df.schema if f.name not in order and "map<" not in f.dataType.simpleString()]
+    tied = df.withColumn("_tie", F.xxhash64(*others) if others else F.lit(0).cast("long"))
+    keys = [*order, "_tie"]
     # Without a fixed number of partitions, adaptive execution merges small ones.
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
     fixed = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
     placed = fixed.withColumn("_part", F.shiftright("_at", _ROW_BITS))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -270,7 +270,7 @@ def target_report(
     # Written once: the summary, the numbering and the details all read this copy, not the scan.
     results = cut(results)
     listed = results if layout.lists_clean_targets else results.where(F.size("hits") > 0)
-    ranked = numbered(listed, order or [name], "target_no")
+    ranked = numbered(listed, [*(order or ()), name], "target_no")
     summary = _summary_row(results, layout)
     if fmt == "txt":
         head, target = _head_txt(layout, mode, checked_at), _target_txt(layout, name)

@@ -186,6 +186,14 @@ def test_numbers_are_consecutive_in_order(spark):
     assert numbered(df.limit(0), ["k"], "n").count() == 0
 
 
+def test_numbers_of_ties_are_the_same_in_every_run(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    first, again = ({r.id: r.n for r in numbered(d, ["k"], "n").collect()} for d in (df, df.repartition(5)))
+    assert first == again and sorted(first.values()) == list(range(1, 3001))
+    keys = {i: "hot" if i % 3 == 0 else str(i) for i in first}
+    assert [keys[i] for i in sorted(first, key=first.get)] == sorted(keys.values())
+
+
 def test_reports_and_hits_on_disk(spark, tmp_path):
     df = results(spark, [(f"p{i:03d}", "", "", ["1|k|x"]) for i in range(50)])
     report = target_report(df, "web", "path", "m", AT, "txt")
