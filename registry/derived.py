@@ -55,8 +55,20 @@ def signed_files(documents: DataFrame, signatures: dict[str, bytes] = FILE_SIGNA
     return documents.select("doc_id", content.alias("content"), path.alias("path"))
 
 
-def _encoded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# Bytes of documents turned into files at a time.
+PIECE_BYTES = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about PIECE_BYTES each, whatever the rows Spark sends at once."""
     for batch in batches:
+        rows = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, 1))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def _encoded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
         contents = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             content = text.encode()
@@ -170,7 +182,7 @@ _WRITERS = [docx_bytes, xlsx_bytes, pptx_bytes]
 
 def _office_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
-    for batch in batches:
+    for batch in _pieces(batches):
         rows = []
         for row in batch.to_pylist():
             kind = row["doc_id"] % 3
@@ -202,7 +214,7 @@ def _flagged(data: bytes, signature: bytes, flag_at: int) -> bytes:
 
 def _zip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
-    for batch in batches:
+    for batch in _pieces(batches):
         rows = []
         for row in batch.to_pylist():
             data = _archive({"text.txt": row["text"].encode()})
