@@ -53,6 +53,7 @@ RATIO_BINS = 64
 # Pairs a task gathers before it sends them on; bounds its memory only.
 GATHERED = 2_000_000
 
+BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
 END = np.uint64(0x1F83D9ABFB41BD6B)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,7 +97,10 @@ class CountFilter:
 
     @staticmethod
     def place(item: np.ndarray, segment_bits: int) -> np.ndarray:
-        return ((item >> np.uint64(20)) % np.uint64(segment_bits)).astype(np.int64)
+        place = item >> np.uint64(20)
+        if segment_bits & (segment_bits - 1):
+            return (place % np.uint64(segment_bits)).view(np.int64)
+        return (place & np.uint64(segment_bits - 1)).view(np.int64)  # the same, without a division
 
     @classmethod
     def made(cls, keys: np.ndarray, levels: np.ndarray, segment_bits: int) -> np.ndarray:
@@ -110,7 +114,11 @@ class CountFilter:
         return np.packbits(bits, bitorder="little")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The highest level of each key such that all levels up to it are present."""
+        """The highest level of each key such that all levels up to it are present.
+
+        Each distinct key is looked up once, in the order of the segments, so that lookups stay close together.
+        """
+        keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
         segment = self.segment(keys)
         size = SEGMENTS // len(self.parts)
@@ -120,18 +128,20 @@ class CountFilter:
                 out[at] = self.probed(part.value, keys[at], (segment[at] - i * size) * self.segment_bits)
                 if self.split and part.__dict__.get("_path") is not None:
                     part.__dict__.pop("_value", None)  # read again from its file when it is next asked for
-        return out
+        return out[back]
 
     def probed(self, bits: np.ndarray, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
         """The levels of keys whose segments begin at the bits ``base`` of a part."""
         out = np.zeros(len(keys), np.int64)
         held = np.arange(len(keys))
         for level in range(1, LEVELS):
-            item, step = self.items(keys[held], level)
+            item, step = self.items(keys, level)
             for _ in range(PROBES):
-                at = base[held] + self.place(item, self.segment_bits)
-                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                held, item, step = held[hit], (item + step)[hit], step[hit]
+                at = base + self.place(item, self.segment_bits)
+                hit = np.flatnonzero(bits[at >> 3] & BIT[at & 7])
+                item = item + step
+                if len(hit) < len(held):
+                    held, keys, base, item, step = (x[hit] for x in (held, keys, base, item, step))
             if not len(held):
                 break
             out[held] = level
@@ -338,8 +348,9 @@ class Model:
 
     def shares(
         self, held: CountFilter, tokens: np.ndarray, before: np.ndarray, left_out: int = 0
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Level of the token before; the token's share after that one, and its share of all words."""
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Level of the token before; the token's share after that one, and its share of all words; whether
+        it is a common word, and its exact count."""
         keys, back = np.unique(tokens, return_inverse=True)
         found, exact = self.common(keys)
         levels = np.zeros(len(keys), np.int64)
@@ -348,15 +359,17 @@ class Model:
         levels[~found] = probed[: len(rare)]
         counts = np.where(found, exact, self.of_level[levels])
         levels = np.where(found, level_of(exact), levels)
-        of_before = np.minimum(np.searchsorted(keys, before), len(keys) - 1)
-        known = keys[of_before] == before  # all but the end token before a text, which closes it as well
+        of_before = np.concatenate([back[:1], back[:-1]])
+        other = np.flatnonzero(keys[of_before] != before)  # before the first token of a text: the end token
+        of_before[other] = np.minimum(np.searchsorted(keys, before[other]), len(keys) - 1)
+        known = keys[of_before] == before
         count_before = np.where(known, counts[of_before], 0)
         level_before = np.where(known, levels[of_before], 0)
         pair = self.of_level[probed[len(rare) :]]
         after = np.maximum(pair - left_out, 0) / np.maximum(count_before - left_out, 1)
         after = np.where(count_before > left_out, np.minimum(after, 1), 0)
         overall = (np.maximum(counts[back] - left_out, 0) + FLOOR) / max(self.scale - left_out, FLOOR)
-        return level_before, after, overall
+        return level_before, after, overall, found[back], exact[back]
 
 
 def _fitted(docs: DataFrame, model, held: CountFilter) -> np.ndarray:
@@ -366,9 +379,10 @@ def _fitted(docs: DataFrame, model, held: CountFilter) -> np.ndarray:
         hasher, counts = Hasher(), np.zeros((LEVELS, RATIO_BINS), np.int64)
         for _, block in probed_blocks(batches, 1, held):
             _, tokens, before = token_stream(block, hasher.words(block))
-            level, after, overall = model.value.shares(held, tokens, before, 1)
+            level, after, overall, _, _ = model.value.shares(held, tokens, before, 1)
             ratio = np.clip(np.log2(np.maximum(after / overall, 2.0**-10)) + 10, 0, RATIO_BINS / 2 - 1) * 2
-            np.add.at(counts, (level, np.where(after > 0, 1 + ratio, 0).astype(int)), 1)
+            cell = level * RATIO_BINS + np.where(after > 0, 1 + ratio, 0).astype(int)
+            counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
         level, ratio = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"level": level, "ratio": ratio, "n": counts[level, ratio]})
 
@@ -416,8 +430,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch, block in probed_blocks(batches, 2, held):
             doc, tokens, before = token_stream(block, hasher.words(block))
             n = block.rows
-            found, exact = model.common(tokens)
-            level, after, overall = model.shares(held, tokens, before)
+            level, after, overall, found, exact = model.shares(held, tokens, before)
             mix = weights[level] * after + (1 - weights[level]) * overall
             base = np.log10((exact[found] + FLOOR) / model.scale)
             order = np.lexsort((tokens[~found], doc[~found]))
