@@ -327,16 +327,20 @@ def _mixed_pairs(
     both = sketched.select("doc_id", "n_shingles", "registers").join(smallest, F.col("doc_id") == F.col("node"))
     lists = (
         dealt.join(written(both, "both"), F.col("doc") == F.col("doc_id"))
-        .groupBy("key", "block")
+        .groupBy("key", "block", "n_blocks")
         .agg(F.collect_list(F.struct("doc", "component", "n_shingles", "registers", "smallest")).alias("rows"))
     )
     lists = written(lists, "blocks")
-    other = lists.select(
+    # A band of one block meets itself where it is; its rows need no second shuffle, nor a copy of them.
+    single = lists.where("n_blocks = 1").select(F.lit(True).alias("same"), "key", "rows", F.lit(None).alias("o_rows"))
+    several = lists.where("n_blocks > 1")
+    other = several.select(
         F.col("key").alias("o_key"), F.col("block").alias("o_block"), F.col("rows").alias("o_rows")
     )
-    met = lists.join(other, (F.col("key") == F.col("o_key")) & (F.col("block") <= F.col("o_block"))).select(
+    met = several.join(other, (F.col("key") == F.col("o_key")) & (F.col("block") <= F.col("o_block"))).select(
         (F.col("block") == F.col("o_block")).alias("same"), "key", "rows", "o_rows"
     )
+    met = single.withColumn("o_rows", F.col("o_rows").cast(met.schema["o_rows"].dataType)).union(met)
 
     def side(column: pa.Array, i: int):
         rows = column[i].values
@@ -356,7 +360,7 @@ def _mixed_pairs(
             for row in range(batch.num_rows):
                 same, key = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 doc_x, part_x, n_x, reg_x, low_x = side(batch.column(2), row)
-                doc_y, part_y, n_y, reg_y, low_y = side(batch.column(3), row)
+                doc_y, part_y, n_y, reg_y, low_y = side(batch.column(2 if same else 3), row)
                 at_x, at_y = np.nonzero(part_x[:, None] != part_y[None, :])
                 if same:
                     at_x, at_y = at_x[at_x < at_y], at_y[at_x < at_y]

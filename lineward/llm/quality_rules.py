@@ -234,7 +234,7 @@ def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> Data
         & F.col("doc_id").eqNullSafe(F.col("h_id"))
     )
     read = shingled(docs).join(_small(holding), same).select("row", "host", "words", "line", "near")
-    read = written(read, "held-lines")
+    read = written(read, "held-lines", TEXT_ROWS, compression="zstd")
 
     def each(*columns: str) -> DataFrame:
         at = F.posexplode(F.arrays_zip("line", *columns)).alias("place", "at")
@@ -282,7 +282,7 @@ def identities(docs: DataFrame, held: DataFrame, candidates: DataFrame) -> DataF
     each = held.groupBy(F.col("host").alias("h_host"), F.col("content").alias("h_content"))
     holding = written(each.agg(F.min("doc_id").alias("h_id"), F.min("n_row").alias("row")), "holding")
     with scratch(docs.sparkSession):
-        known = written(known_by(docs, holding, candidates), "known-by", kept=True)
+        known = written(known_by(docs, holding, candidates), "known-by", kept=True, compression="zstd")
     found = near_duplicates(known, 1, NEAR_PERCENT)
     named = holding.join(found, F.col("row") == F.col("doc_id")).select(
         F.col("h_host").alias("i_host"), F.col("h_content").alias("i_content"), F.col("component_id").alias("identity")
