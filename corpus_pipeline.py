@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineward.llm.common import fresh, scratch, table, written
+from lineward.llm.common import fresh, scratch, small, table, written
 from lineward.llm.decontaminate import decontaminate
 from lineward.llm.minhash import near_duplicates
 from lineward.llm.quality_classifier import classify_quality
@@ -42,12 +42,12 @@ def _rejected(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], name: s
 def _only_kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """The rows of ``docs`` that ``decide`` (a row for each row, ``doc_id`` and ``kept``) keeps.
 
-    The keys that go are written first. A filtering stage rejects the smaller part, so the texts stay where
-    they are as long as those keys are few enough to be broadcast, which Spark decides by their size; a
-    shuffle join takes over beyond.
+    The keys that go are written first and counted. A filtering stage rejects the smaller part, so the texts
+    stay where they are as long as those keys are few enough to be broadcast (``small``); a shuffle join takes
+    over beyond.
     """
     gone, rejected, _ = _rejected(docs, decide, name)
-    return docs.join(rejected, _key() == F.col(gone), "left_anti")
+    return docs.join(small(rejected), _key() == F.col(gone), "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, and of repeated rows one."""
     gone, rejected, repeated = _rejected(docs, lambda d: near_duplicates(d, size=5, percent=80), "dedup")
-    kept = docs.join(rejected, _key() == F.col(gone), "left_anti")
+    kept = docs.join(small(rejected), _key() == F.col(gone), "left_anti")
+    repeated = small(repeated)
     is_again = _key() == F.col(repeated.columns[0])
     once = kept.join(repeated, is_again, "left_anti")
     least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
