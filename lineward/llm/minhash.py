@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import TEXT_ROWS, written
+from lineward.llm.common import TEXT_ROWS, small, written
 from lineward.llm.components import components
 from lineward.llm.words import Hasher, blocks, mixed, same_text, sequence_hashes
 
@@ -49,8 +49,6 @@ ROUNDING = 0.005
 # Members of one block when the members of a band are compared pair by pair.
 BLOCK_ROWS = 256
 BLOCKS_AT_ONCE = 16
-# Candidate ids up to this number (8 MB) are broadcast to pick their texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(block, hasher: Hasher, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +204,7 @@ def _fixed_width(values: np.ndarray) -> pa.Array:
 
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Id and text of the documents in ``ids`` (one column ``node``)."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small(written(ids, "picked"))
     return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node"), "left_semi")
 
 
@@ -234,7 +231,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def _smallest(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The second sketches of the documents in ``ids``."""
+    """The second sketches of the documents in ``ids``, not written: they are joined where they meet their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -252,7 +249,7 @@ def _smallest(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     found = _picked(docs, ids).mapInArrow(run, f"node {doc_id}, smallest binary")
-    return written(found.dropDuplicates(["node"]), "smallest", TEXT_ROWS)
+    return found.dropDuplicates(["node"])
 
 
 def _plausible(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
@@ -326,7 +323,8 @@ def _mixed_pairs(
     smallest = _smallest(docs, dealt.select(F.col("doc").alias("node")).distinct(), size)
     both = sketched.select("doc_id", "n_shingles", "registers").join(smallest, F.col("doc_id") == F.col("node"))
     lists = (
-        dealt.join(written(both, "both"), F.col("doc") == F.col("doc_id"))
+        written(both, "both", TEXT_ROWS)
+        .join(small(dealt), F.col("doc") == F.col("doc_id"))
         .groupBy("key", "block", "n_blocks")
         .agg(F.collect_list(F.struct("doc", "component", "n_shingles", "registers", "smallest")).alias("rows"))
     )
@@ -403,12 +401,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(F.col("set_a").alias("c_a"), F.col("set_b").alias("c_b"), F.col("n_shingles").alias("c_n"), "rep"),
         "classes",
     )
-    reps = written(
-        sketched.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi"), "reps"
+    reps = sketched.select("doc_id", "bands").join(
+        small(classes.select("rep")), F.col("doc_id") == F.col("rep"), "left_semi"
     )
-    bands = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
+    bands = written(reps, "reps").select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
     shared = written(bands.groupBy("key").count().where("count > 1").withColumnRenamed("key", "k"), "shared")
-    members = written(bands.join(shared, F.col("key") == F.col("k")).select("doc", "key", "count"), "members")
+    members = written(bands.join(small(shared), F.col("key") == F.col("k")).select("doc", "key", "count"), "members")
+    # Most documents share no band; the registers of the others are all that is compared from here on.
+    sharing = written(members.select(F.col("doc").alias("m")).distinct(), "sharing")
+    compared = written(
+        sketched.select("doc_id", "n_shingles", "registers").join(
+            small(sharing), F.col("doc_id") == F.col("m"), "left_semi"
+        ),
+        "compared",
+    )
     popular = members.groupBy("doc").agg(F.sum("count").alias("shares"))
     ranked = members.join(popular.withColumnRenamed("doc", "p"), F.col("doc") == F.col("p"))
     hubs = ranked.groupBy("key").agg(F.max_by("doc", F.struct("shares", -F.col("doc"))).alias("hub"))
@@ -419,12 +425,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
         .distinct()
     )
-    links = written(_verified(_plausible(stars, reps, least), docs, size, percent), "links")
+    links = written(_verified(_plausible(stars, compared, least), docs, size, percent), "links")
     found = written(components(links), "found")
     placed = members.join(found, F.col("doc") == F.col("node"), "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("component")
     )
-    pairs = _mixed_pairs(written(placed, "placed"), reps, docs, size, percent)
+    pairs = _mixed_pairs(written(placed, "placed"), compared, docs, size, percent)
     rest = written(_verified(pairs, docs, size, percent, BLOCKS_AT_ONCE), "rest")
     found = components(links.union(rest))
     named = written(

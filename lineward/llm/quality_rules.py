@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import TEXT_ROWS, scratch, written
+from lineward.llm.common import TEXT_ROWS, scratch, small, written
 from lineward.llm.minhash import near_duplicates
 from lineward.llm.words import Block, Hasher, blocks, lower_table, repeated, same_text, sequence_hashes
 
@@ -41,8 +41,6 @@ NEAR_PERCENT = 60
 KNOWN_BY = 256
 # Documents that a task remembers, to take repeated rows once.
 SEEN_ROWS = 200_000
-# Row numbers and shingles up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 # A line that stands in more distinct documents of a host than this is boilerplate.
 MAX_DOCUMENTS = 20
 # A document that keeps less than this share of its words is depleted.
@@ -218,8 +216,15 @@ def _above(spread: DataFrame, identity: str, max_documents: int, name: str) -> D
     return written(named, name)
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _often(occurring: DataFrame, max_documents: int) -> DataFrame:
+    """The rows of ``occurring`` with lines that occur more often than ``max_documents`` on their host.
+
+    Most lines occur once. They are counted by a hash of 40 bits, in rows as short as can be; lines that share
+    one go on together, so none that recurs is lost.
+    """
+    tag = F.shiftrightunsigned(F.xxhash64("host", "line"), 24)
+    recurring = occurring.groupBy(tag.alias("tag")).count().where(F.col("count") > max_documents).select("tag")
+    return occurring.join(small(written(recurring, "recurring")), tag == F.col("tag"), "left_semi")
 
 
 def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -233,13 +238,13 @@ def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> Data
         & (F.col("content") == F.col("h_content"))
         & F.col("doc_id").eqNullSafe(F.col("h_id"))
     )
-    read = shingled(docs).join(_small(holding), same).select("row", "host", "words", "line", "near")
+    read = shingled(docs).join(small(holding), same).select("row", "host", "words", "line", "near")
     read = written(read, "held-lines", TEXT_ROWS, compression="zstd")
 
     def each(*columns: str) -> DataFrame:
         at = F.posexplode(F.arrays_zip("line", *columns)).alias("place", "at")
         placed = read.select("row", "host", at).select("row", "host", "place", "at.*")
-        return placed.join(_small(candidates), is_candidate, "left").withColumn(
+        return placed.join(small(candidates), is_candidate, "left").withColumn(
             "is_candidate", F.col("f_line").isNotNull()
         )
 
@@ -249,16 +254,17 @@ def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> Data
     is_common = (F.col("host") == F.col("c_host")) & (F.col("value") == F.col("c_value"))
     variants = (
         near.where("not is_candidate")
-        .select("row", "host", "place", F.explode("near").alias("value"))
-        .join(_small(common), is_common, "left")
-        .groupBy(F.col("row").alias("v_row"), F.col("place").alias("v_place"))
-        .agg((F.lit(100) * F.count("c_value") >= F.lit(VARIANT_PERCENT) * F.count("*")).alias("is_variant"))
+        .select("row", "host", "place", F.size("near").alias("values"), F.explode("near").alias("value"))
+        .join(small(common), is_common)  # lines that share nothing are no variants
+        .groupBy(F.col("row").alias("v_row"), F.col("place").alias("v_place"), "values")
+        .agg((F.lit(100) * F.count("*") >= F.lit(VARIANT_PERCENT) * F.col("values")).alias("is_variant"))
         .where("is_variant")
     )
+    variants = written(variants.drop("values"), "variants")
     is_own = ~F.col("is_candidate") & F.col("is_variant").isNull()
     own = (
         each("words")
-        .join(variants, (F.col("row") == F.col("v_row")) & (F.col("place") == F.col("v_place")), "left")
+        .join(small(variants), (F.col("row") == F.col("v_row")) & (F.col("place") == F.col("v_place")), "left")
         .groupBy(F.col("row").alias("o_row"))
         .agg(
             F.sum(F.when(is_own, F.col("words")).otherwise(0)).alias("own_words"),
@@ -270,7 +276,7 @@ def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> Data
     values = F.flatten(F.when(F.col("own_words") >= MIN_OWN_WORDS, kept).otherwise(F.col("near")))
     least = F.slice(F.array_sort(F.array_distinct(values)), F.lit(1), F.lit(KNOWN_BY))
     words = F.array_join(F.transform(least, lambda v: F.hex(v.cast("long") + F.lit(1 << 31))), " ")
-    return read.join(_small(own), F.col("row") == F.col("o_row")).select(F.col("row").alias("doc_id"), words.alias("text"))
+    return read.join(small(own), F.col("row") == F.col("o_row")).select(F.col("row").alias("doc_id"), words.alias("text"))
 
 
 def identities(docs: DataFrame, held: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -294,7 +300,7 @@ def frequent_lines(docs: DataFrame, rows: DataFrame, max_documents: int = MAX_DO
     """Host and hash of the lines in more distinct documents of a host than ``max_documents``."""
     line = F.explode("lines.line").alias("line")
     occurring = rows.select(F.col("row").alias("n_row"), "doc_id", "host", "content", line)
-    candidates = _above(occurring, "content", max_documents, "candidates")
+    candidates = _above(_often(occurring, max_documents), "content", max_documents, "candidates")
     if candidates.isEmpty():
         return candidates
     is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))

@@ -41,3 +41,56 @@ def test_bands_of_one_block_meet_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(minhash, "written", lambda df, name, *more: kept.append((name, df.columns)) or written(df, name, *more))
     minhash._mixed_pairs(members, sketched, docs, 1, 80)
     assert "n_blocks" in dict(kept)["blocks"]
+
+
+def _watched(monkeypatch, module):
+    """The rows of the tables that ``module`` writes from now on, by name."""
+    found, written = {}, module.written
+
+    def watched(df, name, *some, **more):
+        table = written(df, name, *some, **more)
+        found[name] = table.collect()
+        return table
+
+    monkeypatch.setattr(module, "written", watched)
+    return found
+
+
+def test_only_recurring_lines_meet_their_documents(spark, monkeypatch):
+    tables = _watched(monkeypatch, quality_rules)
+    spread = [("a", 1, i) for i in range(5)] + [("a", 2, 7)] * 5 + [("b", 1, i) for i in range(3)]
+    spread += [("a", 100 + i, i) for i in range(50)]
+    occurring = spark.createDataFrame(spread, "host string, line long, content long")
+    often = quality_rules._often(occurring, 3)
+    assert sorted(map(tuple, often.collect())) == sorted(s for s in spread if s[0] == "a" and s[1] < 3)
+    assert len(tables["recurring"]) == 2
+    named = quality_rules._above(often, "content", 3, "candidates")
+    assert [tuple(r) for r in named.collect()] == [("a", 1, 5)]
+
+
+def test_lines_that_share_nothing_are_not_grouped(spark, monkeypatch):
+    tables = _watched(monkeypatch, quality_rules)
+    own = "alpha{0} beta{0} gamma{0} delta{0} epsilon{0} zeta{0} eta{0}"
+    rows = [(i, f"all rights of this page are reserved\n{own.format(i)}", "h") for i in range(25)]
+    # A variant shares 2 of its 6 shingles with the candidate; the line below it none.
+    rows += [(50, f"all rights of this page are reserved\nall rights of this other place gone away\n{own.format('x')}", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["removed_words"] for r in quality_rules.quality_rules(docs).collect()}
+    assert set(found.values()) == {7}
+    variants = tables["variants"]
+    assert [r["v_place"] for r in variants] == [1]
+    words = {r["o_row"]: r["own_words"] for r in tables["own-lines"]}
+    assert words[variants[0]["v_row"]] == 7 and set(words.values()) == {7}
+
+
+def test_only_documents_with_a_common_band_are_compared(spark, monkeypatch):
+    tables = _watched(monkeypatch, minhash)
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, f"{near} x{i}") for i in range(4)] + [(100 + i, " ".join(f"o{i}n{j}" for j in range(60))) for i in range(30)]
+    rows += [(200, near + " x1"), (1, near + " x1"), (None, near + " x2"), (300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, 1, 80).collect()}
+    want = {(i, 0) for i in (0, 1, 2, 3, 200, None)} | {(100 + i, 100 + i) for i in range(30)} | {(300, 300)}
+    assert found == want
+    assert {r["doc_id"] for r in tables["compared"]} == {0, 1, 2, 3}
+    assert set(tables["reps"][0].asDict()) == {"doc_id", "bands"}
