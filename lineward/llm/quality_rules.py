@@ -108,16 +108,20 @@ def lines(block: Block, folded: Hasher) -> tuple[np.ndarray, ...]:
     return doc, folded.runs(words, first, last), first, last
 
 
-def line_shingles(words: np.ndarray, first: np.ndarray, last: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """The bounds and the values of each line's shingles; a line shorter than a shingle has its own hash."""
+def line_shingles(words: np.ndarray, first: np.ndarray, last: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
+    """The bounds and the distinct values of each line's shingles, and how often the line has each.
+
+    A line shorter than a shingle has its own hash.
+    """
     line = np.repeat(np.arange(len(first)), last - first)  # every word stands in one line
     runs = sequence_hashes(words, SHINGLE)
     inside = same_text(line, SHINGLE)
     few = np.flatnonzero(last - first < SHINGLE)
-    of = np.concatenate([line[: len(runs)][inside], few])
+    of = np.concatenate([line[: len(runs)][inside], few]).astype(np.uint64)
     value = np.concatenate([runs[inside], hasher.runs(words, first[few], last[few])])
-    value = value[np.argsort(of, kind="stable")] >> np.uint64(32)
-    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(first)))]), value.astype(np.uint32)
+    placed, times = np.unique((of << np.uint64(32)) | (value >> np.uint64(32)), return_counts=True)
+    bounds = np.searchsorted(placed >> np.uint64(32), np.arange(len(first) + 1, dtype=np.uint64))
+    return bounds, placed.astype(np.uint32), times.astype(np.int32)
 
 
 def contents(block: Block, words: np.ndarray, hasher: Hasher) -> np.ndarray:
@@ -164,7 +168,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def shingled(docs: DataFrame) -> DataFrame:
     """Per document (repeated rows of a task once) its id, host, content hash, and its lines with their words
-    and shingles."""
+    and distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded, plain = Hasher(line_table()), Hasher()
@@ -173,7 +177,8 @@ def shingled(docs: DataFrame) -> DataFrame:
             for block in blocks(batch.column(2)):
                 doc, value, first, last = lines(block, folded)
                 words = plain.words(block)
-                near_bounds, near = line_shingles(words, first, last, plain)
+                near_bounds, near, times = line_shingles(words, first, last, plain)
+                near_bounds = near_bounds.astype(np.int32)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.rows))])
                 ids = batch.column(0).slice(block.first, block.rows)
                 hosts = batch.column(1).slice(block.first, block.rows)
@@ -192,19 +197,22 @@ def shingled(docs: DataFrame) -> DataFrame:
                         pa.array(content),
                         pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array((last - first).astype(np.int32))),
                         pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(value.view(np.int64))),
-                        pa.ListArray.from_arrays(
-                            bounds.astype(np.int32),
-                            pa.ListArray.from_arrays(near_bounds.astype(np.int32), near.view(np.int32)),
+                        *(
+                            pa.ListArray.from_arrays(
+                                bounds.astype(np.int32), pa.ListArray.from_arrays(near_bounds, of_each)
+                            )
+                            for of_each in (near.view(np.int32), times)
                         ),
                     ],
-                    ["doc_id", "host", "content", "words", "line", "near"],
+                    ["doc_id", "host", "content", "words", "line", "near", "times"],
                 )
                 yield found.take(pa.array(rows, pa.int64()))
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     return _hosted(docs).mapInArrow(
         run,
-        f"doc_id {doc_id}, host string, content long, words array<int>, line array<long>, near array<array<int>>",
+        f"doc_id {doc_id}, host string, content long, words array<int>, line array<long>, near array<array<int>>,"
+        " times array<array<int>>",
     )
 
 
@@ -230,7 +238,8 @@ def _often(occurring: DataFrame, max_documents: int) -> DataFrame:
 def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> DataFrame:
     """Row and sketch (as a text of hashes) of the lines that each document of ``holding`` is known by.
 
-    The shingles stay where they are written; what is shuffled has a row for each line at most.
+    The shingles stay where they are written; what is shuffled has a row for each line at most. A value that a
+    line repeats is looked up once and counted as often as it stands there.
     """
     is_candidate = (F.col("host") == F.col("f_host")) & (F.col("line") == F.col("f_line"))
     same = (
@@ -238,7 +247,7 @@ def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> Data
         & (F.col("content") == F.col("h_content"))
         & F.col("doc_id").eqNullSafe(F.col("h_id"))
     )
-    read = shingled(docs).join(small(holding), same).select("row", "host", "words", "line", "near")
+    read = shingled(docs).join(small(holding), same).select("row", "host", "words", "line", "near", "times")
     read = written(read, "held-lines", TEXT_ROWS, compression="zstd")
 
     def each(*columns: str) -> DataFrame:
@@ -248,16 +257,18 @@ def known_by(docs: DataFrame, holding: DataFrame, candidates: DataFrame) -> Data
             "is_candidate", F.col("f_line").isNotNull()
         )
 
-    near = each("near")
+    near = each("words", "near", "times")
     common = near.where("is_candidate").select(F.col("host").alias("c_host"), F.explode("near").alias("c_value"))
     common = written(common.distinct(), "common-values")
     is_common = (F.col("host") == F.col("c_host")) & (F.col("value") == F.col("c_value"))
+    n_values = F.greatest(F.col("words") - F.lit(SHINGLE - 1), F.lit(1))
     variants = (
         near.where("not is_candidate")
-        .select("row", "host", "place", F.size("near").alias("values"), F.explode("near").alias("value"))
+        .select("row", "host", "place", n_values.alias("values"), F.explode(F.arrays_zip("near", "times")).alias("at"))
+        .select("row", "host", "place", "values", F.col("at.near").alias("value"), "at.times")
         .join(small(common), is_common)  # lines that share nothing are no variants
         .groupBy(F.col("row").alias("v_row"), F.col("place").alias("v_place"), "values")
-        .agg((F.lit(100) * F.count("*") >= F.lit(VARIANT_PERCENT) * F.col("values")).alias("is_variant"))
+        .agg((F.lit(100) * F.sum("times") >= F.lit(VARIANT_PERCENT) * F.col("values")).alias("is_variant"))
         .where("is_variant")
     )
     variants = written(variants.drop("values"), "variants")

@@ -94,3 +94,23 @@ def test_only_documents_with_a_common_band_are_compared(spark, monkeypatch):
     assert found == want
     assert {r["doc_id"] for r in tables["compared"]} == {0, 1, 2, 3}
     assert set(tables["reps"][0].asDict()) == {"doc_id", "bands"}
+
+
+def test_values_that_a_line_repeats_are_looked_up_once(spark, monkeypatch):
+    tables = _watched(monkeypatch, quality_rules)
+    own = "alpha{0} beta{0} gamma{0} delta{0} epsilon{0} zeta{0} eta{0}"
+    rows = [(i, f"tick tock tick tock\n{own.format(i)}", "h") for i in range(25)]
+    many, other = " ".join(["tick tock"] * 200), " ".join(f"word{i}" for i in range(20))
+    # 6 of 26 shingles are the candidate's, but only 2 of the 22 distinct ones; then 2 of 24, and 398 of 398.
+    rows += [(50, f"tick tock tick tock\ntick tock tick tock tick tock tick tock {other}\n{own.format('x')}", "h")]
+    rows += [(51, f"tick tock tick tock\ntick tock tick tock {other} gone away\n{own.format('y')}", "h")]
+    rows += [(52, f"tick tock tick tock\n{many}\n{own.format('z')}", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["removed_words"] for r in quality_rules.quality_rules(docs).collect()}
+    assert set(found.values()) == {4}
+    words = sorted(r["own_words"] for r in tables["own-lines"])
+    assert words == [7] * 27 + [33]  # the line of document 51 is no variant
+    assert len(tables["variants"]) == 2
+    assert max(len(near) - len(set(near)) for r in tables["held-lines"] for near in r["near"]) == 0
+    held = [(len(near), sum(times)) for r in tables["held-lines"] for near, times in zip(r["near"], r["times"])]
+    assert held.count((2, 398)) == 1
