@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineward.llm.common import fresh, scratch, small, table, written
+from lineward.llm.common import TEXT_ROWS, fresh, scratch, small, table, written
 from lineward.llm.decontaminate import decontaminate
 from lineward.llm.minhash import near_duplicates
 from lineward.llm.quality_classifier import classify_quality
@@ -32,7 +32,7 @@ def _rejected(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], name: s
     gone, again = fresh(docs.columns, "gone_key"), fresh(docs.columns, "again_key")
     with scratch(docs.sparkSession):
         decided = decide(docs.withColumn("doc_id", _key()))
-        decided = written(decided.select("doc_id", "kept"), f"decided-{name}")
+        decided = written(decided.select("doc_id", "kept"), f"decided-{name}", TEXT_ROWS)
         kept = decided.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
         rejected = kept.where("not kept").select(F.col("doc_id").alias(gone))
         repeated = kept.where("kept and rows > 1").select(F.col("doc_id").alias(again))

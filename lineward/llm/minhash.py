@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lineward.llm.common import TEXT_ROWS, small, written
 from lineward.llm.components import components
-from lineward.llm.words import Hasher, blocks, mixed, same_text, sequence_hashes
+from lineward.llm.words import HASHED_BYTES, Hasher, blocks, mixed, same_text, sequence_hashes
 
 BANDS = 40
 ROWS = 5
@@ -139,7 +139,7 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), HASHED_BYTES):
                 doc, value = shingle_sets(block, hasher, size)
                 n = np.bincount(doc, minlength=block.rows)
                 ends = np.cumsum(n)
@@ -214,7 +214,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), HASHED_BYTES):
                 doc, value = shingle_sets(block, hasher, size)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.rows))])
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +236,7 @@ def _smallest(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), HASHED_BYTES):
                 bounds, short = smallest_hashes(*shingle_sets(block, hasher, size), block.rows)
                 sketch = pa.Array.from_buffers(
                     pa.binary(),
@@ -283,7 +283,7 @@ def _plausible(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, batch_rows: int | None = None):
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, batch_rows: int = TEXT_ROWS):
     """The pairs whose full sets reach the threshold."""
     pairs = written(pairs, "pairs", batch_rows)
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineward.llm.common import TEXT_ROWS, written
-from lineward.llm.words import SPACES, Block, Hasher, blocks, mixed, repeated, same_text, sequence_hashes
+from lineward.llm.common import TEXT_ROWS, pieces, written
+from lineward.llm.words import HASHED_BYTES, SPACES, Block, Hasher, blocks, mixed, repeated, same_text, sequence_hashes
 
 # Documents whose features and weak labels train the scorer.
 SAMPLE_ROWS = 20_000
@@ -157,7 +157,7 @@ def described(docs: DataFrame) -> DataFrame:
         hasher = Hasher()
         powers = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), HASHED_BYTES):
                 shape, found = shares(block, hasher)
                 doc, key, value = features(block, shape, found)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=block.rows))]).astype(np.int32)
@@ -253,7 +253,7 @@ def classify_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, TEXT_ROWS):
             n = batch.num_rows
             lists = batch.column(3)
             at = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))

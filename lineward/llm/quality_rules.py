@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lineward.llm.common import TEXT_ROWS, scratch, small, written
 from lineward.llm.minhash import near_duplicates
-from lineward.llm.words import Block, Hasher, blocks, lower_table, repeated, same_text, sequence_hashes
+from lineward.llm.words import HASHED_BYTES, Block, Hasher, blocks, lower_table, repeated, same_text, sequence_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -140,7 +140,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, folded, plain = Hasher(np.arange(256, dtype=np.uint8)), Hasher(line_table()), Hasher()
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), HASHED_BYTES):
                 found = counts(block, exact)
                 doc, value, first, last = lines(block, folded)
                 content = contents(block, plain.words(block), plain)
@@ -174,7 +174,7 @@ def shingled(docs: DataFrame) -> DataFrame:
         folded, plain = Hasher(line_table()), Hasher()
         seen: set[tuple] = set()
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), HASHED_BYTES):
                 doc, value, first, last = lines(block, folded)
                 words = plain.words(block)
                 near_bounds, near, times = line_shingles(words, first, last, plain)

@@ -24,6 +24,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lineward.llm.common import TEXT_ROWS, pieces, written
+
 SPACE = "▁"
 # Chunks a task keeps at most, in characters; then it begins afresh. Results do not depend on it.
 CACHE_CHARS = 6_000_000
@@ -247,23 +249,18 @@ def encode_texts(cache: ChunkCache, texts: list[str]) -> list[tuple[str, str, in
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            yield batch.slice(first, TEXTS_AT_ONCE)
-
-
 def encode_documents(docs: DataFrame, model_path: str | Path, keep_texts: bool = False) -> DataFrame:
     """Per document the number of ids, digests of the ids and of the decoded text.
 
-    With ``keep_texts`` also the ids (joined by commas) and the decoded text.
+    With ``keep_texts`` also the ids (joined by commas) and the decoded text. The result is written, so that
+    texts reach the encoder in small batches and nobody encodes them twice.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     extra = "ids string, decoded string, " if keep_texts else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = ChunkCache(MergeVocabulary(model.value))
-        for batch in _pieces(batches):
+        for batch in pieces(batches, TEXTS_AT_ONCE):
             rows: list[tuple] = []
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for ids, decoded, corrected in encode_texts(cache, texts):
@@ -289,4 +286,5 @@ def encode_documents(docs: DataFrame, model_path: str | Path, keep_texts: bool =
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long"
     doc_id = docs.schema["doc_id"].dataType.simpleString()
     tail = f", {extra.rstrip(', ')}" if extra else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, {schema}{tail}")
+    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, {schema}{tail}")
+    return written(found, "encoded", TEXT_ROWS)

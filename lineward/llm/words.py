@@ -15,6 +15,8 @@ import pyarrow as pa
 SPACES = b"\t\n\x0b\x0c\r "
 # Most bytes of text that are turned into arrays at once; a single longer text is taken alone.
 BLOCK_BYTES = 1 << 20
+# The same for the stages that hold many numbers for each byte; a worker keeps what its largest block took.
+HASHED_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
